@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,6 +26,14 @@ def fresh_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Limits an Arrow batch by its bytes unless the session does so already: 10,000 rows of long text
+    would be far too much for a worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) >= 64 << 20:
+        spark.conf.set(name, str(8 << 20))
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """The rows, written once to a Parquet table in the shared folder and read from there: cuts the
     lineage, survives lost executors, and is computed once however often it is used."""
@@ -39,3 +49,52 @@ def drop_folder(spark: SparkSession, df_or_path: DataFrame | str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Bits of the filter below; its size is fixed, so broadcasting it is safe at any scale.
+FILTER_BITS = 1 << 23
+
+
+def hash_filter(df: DataFrame, column: str):
+    """A broadcast bitmap of ``FILTER_BITS`` bits, in which the bits of all (long) values are set.
+
+    Rows whose bit is not set surely have no partner, so they need no shuffle. When more values are there
+    than the bitmap can tell apart it lets everything through: results never depend on it.
+    """
+    spark = df.sparkSession
+
+    def run(batches):
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            bits[filter_place(batch.column(0).drop_null().to_numpy())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    def unite(batches):
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for batch in batches:
+            for x in batch.column(0):
+                bits |= np.frombuffer(x.as_buffer(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+
+    parts = df.select(column).mapInArrow(run, "bits binary")
+    few = parts.repartition(16).mapInArrow(unite, "bits binary").repartition(1).mapInArrow(unite, "bits binary")
+    bits = np.frombuffer(few.collect()[0]["bits"], np.uint8)
+    return spark.sparkContext.broadcast(bits)
+
+
+def filter_place(values: np.ndarray) -> np.ndarray:
+    x = values.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x >> np.uint64(64 - int(FILTER_BITS).bit_length() + 1)).astype(np.int64)
+
+
+def may_pass(df: DataFrame, column: str, bits) -> DataFrame:
+    """The rows that the filter can't rule out; ``column`` is a long."""
+    at = df.columns.index(column)
+
+    def run(batches):
+        for batch in batches:
+            place = filter_place(batch.column(at).fill_null(0).to_numpy())
+            ok = (bits.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1
+            yield batch.filter(pa.array(ok.astype(bool)))
+
+    return df.mapInArrow(run, df.schema)

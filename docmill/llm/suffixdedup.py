@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm import textcore
-from docmill.llm.shared import written
+from docmill.llm.shared import bounded_batches, written
 
 LENGTH = 400
 GRAM = 16
@@ -41,9 +41,9 @@ REACH = 160
 #: Triggers with one continuation beyond which their strings are counted one by one.
 HOT = 4096
 #: Bytes of text that one vectorised step handles.
-STEP = 2 << 20
+STEP = 1 << 20
 #: Triggers that one sorting task holds, about.
-TASK_ROWS = 100_000
+TASK_ROWS = 40_000
 _SECOND_BASE = 0x2545F4914F6CDD1D
 
 
@@ -195,6 +195,7 @@ def _order(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         return order, np.where(np.concatenate([[True], group[order][1:] != group[order][:-1]]), -1, 0)
     both = np.concatenate([group.astype(">u4").view(np.uint8).reshape(-1, 4), rows], axis=1)
     order = np.argsort(np.ascontiguousarray(both).view(f"S{both.shape[1]}").ravel(), kind="stable")
+    del both
     same = rows[order[1:]] == rows[order[:-1]]
     common = np.where(same.all(axis=1), rows.shape[1], same.argmin(axis=1))
     common[group[order[1:]] != group[order[:-1]]] = -1
@@ -298,6 +299,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
     """(rows, texts, spans): rows has a row per document (digest, key, n_bytes); texts one per different
     text (tid, digest, key of one holder, n_bytes, copies); spans the removed runs of texts (tid, spans as
     pairs of little-endian 32-bit integers), without those that go as a whole for having copies."""
+    bounded_batches(docs.sparkSession)
     parser = Parser(length, min(REACH, max(2, length * 2 // 5)), min(GRAM, max(1, length // 8)))
     source = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = written(source.mapInArrow(_scan(parser), "digest binary, key long, n_bytes long, keys binary"), "parsed")
