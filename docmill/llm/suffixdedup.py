@@ -38,12 +38,12 @@ from docmill.llm.shared import bounded_batches, written
 LENGTH = 400
 GRAM = 16
 REACH = 160
-#: Triggers with one continuation beyond which their strings are counted one by one.
-HOT = 4096
 #: Bytes of text that one vectorised step handles.
 STEP = 1 << 20
 #: Triggers that one sorting task holds, about.
 TASK_ROWS = 40_000
+#: Triggers with one continuation beyond which their strings are counted one by one: more than a task's.
+HOT = TASK_ROWS
 _SECOND_BASE = 0x2545F4914F6CDD1D
 
 
@@ -307,7 +307,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
     texts = written(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
 
     triggers = texts.where(F.octet_length("keys") > 0).select("tid", "keys").mapInArrow(_explode, "k long, tid long, idx int")
-    twice = triggers.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    twice = written(triggers.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "repeated")  # a plain scan, so that Spark can split a skewed join with it
     wanted = triggers.join(twice, "k").groupBy("tid").agg(F.collect_list(F.when(F.col("n") <= hot, F.col("idx"))).alias("cold"), F.collect_list(F.when(F.col("n") > hot, F.col("idx"))).alias("hot"))
     wanted = wanted.join(texts.select("tid", "digest", "key"), "tid")
     full = source.withColumn("digest", F.unhex(F.sha2("text", 256)))
