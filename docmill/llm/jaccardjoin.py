@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from docmill.llm import textcore
 from docmill.llm.components import connected_components
@@ -340,7 +341,7 @@ def linked_components(docs: DataFrame, size: int = SIZE, text: str = "text", key
         links = good if links is None else links.union(good)
         refused = bad if refused is None else refused.union(bad)
         labels = connected_components(links)
-    return rows.select("rid", "key", "digest", "n"), sets, labels
+    return rows.select("rid", "key", "h", "digest", "n"), sets, labels
 
 
 def _pivots(mass: np.ndarray) -> np.ndarray:
@@ -348,18 +349,38 @@ def _pivots(mass: np.ndarray) -> np.ndarray:
     share = np.cumsum(mass) / max(1.0, mass.sum())
     out = []
     for f in range(1, FRAGMENTS):
-        c = int(np.searchsorted(share, f / FRAGMENTS))
+        c = min(int(np.searchsorted(share, f / FRAGMENTS)), len(mass) - 1)
         below = share[c - 1] if c else 0.0
         inside = (f / FRAGMENTS - below) / max(1e-12, share[c] - below)
-        out.append((c << 58) + int(inside * ((1 << 58) - 1)))
+        out.append((c << 58) + int(min(1.0, inside) * ((1 << 58) - 1)))
     return np.array(out, np.uint64)
 
 
-def component_ids(docs: DataFrame, size: int = SIZE, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_shingles, component_id (the smallest key reachable by links) of every document."""
+def _with_roots(docs: DataFrame, size: int, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, named): all rows, and of those with shingles (rid, root, key, h)."""
     rows, sets, labels = linked_components(docs, size, text, key)
     roots = sets.join(labels, F.col("tid") == F.col("v"), "left").select("digest", F.coalesce("root", "tid").alias("root"))
-    named = rows.where("n > 0").join(roots, "digest").select("rid", "root", "key")
+    return rows, rows.where("n > 0").join(roots, "digest").select("rid", "root", "key", "h")
+
+
+def component_ids(docs: DataFrame, size: int = SIZE, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, n_shingles, component_id (the smallest key reachable by links) of every document."""
+    rows, named = _with_roots(docs, size, text, key)
     least = named.groupBy("root").agg(F.min("key").alias("component_id"))
-    out = rows.join(named.drop("key"), "rid", "left").join(least, "root", "left")
+    out = rows.join(named.drop("key", "h"), "rid", "left").join(least, "root", "left")
     return out.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("root").isNull(), F.col("key"))).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, size: int = SIZE, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of each component, that of the smallest key, with all its columns; documents without
+    shingles stay."""
+    rows, named = _with_roots(docs, size, text, key)
+    null = F.lit(-(2**63))
+    least = named.groupBy("root").agg(F.min(F.struct(F.coalesce("key", F.lit(2**63 - 1)).alias("o"), "key", "h", "rid")).alias("first"))
+    kept = least.select(F.col("first.h").alias("h"), F.coalesce("first.key", null).alias("at"), F.lit(1).alias("most"))
+    empty = rows.where("n = 0").groupBy("h", F.coalesce("key", null).alias("at")).agg(F.count("*").cast("int").alias("most"))
+    kept = kept.unionByName(empty).withColumnsRenamed({"h": "__h", "at": "__at"})
+    marked = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))).withColumn("__at", F.coalesce(F.col(key).cast("long"), null))
+    # rows that repeat both key and text are told apart by number alone
+    nth = F.row_number().over(W.partitionBy("__h", "__at").orderBy("__h"))
+    return marked.join(kept, ["__h", "__at"]).withColumn("__n", nth).where("__n <= most").select(*docs.columns)

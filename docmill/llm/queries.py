@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docmill.llm import bpe, jaccardjoin, packing, quality, suffixdedup, tokenfile, warc
+from docmill.llm import bpe, jaccardjoin, packing, quality, suffixdedup, tokenfile, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccardjoin.component_ids(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.fit_labelled(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digests(_table(spark, sf_dir, "pages"))
 
@@ -42,13 +47,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_bpe": op3_bpe,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {}

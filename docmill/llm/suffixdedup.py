@@ -351,3 +351,34 @@ def removal_digests(docs: DataFrame, length: int = LENGTH, text: str = "text", k
     out = rows.join(cut.unionByName(whole), "digest", "left")
     zero = F.lit(0).cast("long")
     return out.select(F.col("key").alias(key), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.lower(F.hex(F.coalesce("kept", "digest"))).alias("kept_sha256"))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The documents without the bytes that repeated strings cover, with all their columns.
+
+    Of a character that is cut through nothing stays. ``n_chars``, if there, follows the new text. A
+    document of which nothing but white space is left goes; one that was so before stays.
+    """
+    _, texts, spans = repeated_spans(docs, length, text, key)
+    partial = texts.where((F.col("copies") == 1) & (F.col("n_bytes") >= length)).select("tid", "digest").join(spans, "tid").select("digest", "spans")
+    whole = texts.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("digest", F.lit(b"").alias("spans"))
+    marked = docs.withColumn("__digest", F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)))
+    marked = marked.join(partial.unionByName(whole).toDF("__digest", "__spans"), "__digest", "left").select(*docs.columns, "__spans")
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans = batch.column(at), batch.column(len(batch.schema) - 1)
+            out, kept = [], []
+            for k in range(len(batch)):
+                raw, cut = texts[k].as_py(), spans[k].as_py()
+                new = raw if cut is None else _cut(raw.encode(), cut).decode("utf-8", "ignore") if cut else ""
+                out.append(new)
+                kept.append(cut is None or bool(new.strip()))
+            columns = [pa.array(out, texts.type) if i == at else batch.column(i) for i in range(len(batch.schema) - 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1]).filter(pa.array(kept, pa.bool_()))
+
+    out = marked.mapInArrow(run, docs.schema)
+    if "n_chars" in docs.columns and text != "n_chars":
+        out = out.withColumn("n_chars", F.when(F.col(text).isNotNull(), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out
