@@ -9,7 +9,7 @@ bits of frequency class, 58 bits of hash. Only speed depends on the sketch; any
 groups; a group is named by an XOR of its members' hashes, so each different group is looked at once,
 however many shingles its members share. In a group, a parity bitmap of each set bounds the overlap of
 two sets (each odd bit is at least one shingle that only one has): pairs that surely don't link are left
-out, and of the rest only the edges that would connect components that are still apart are proposed.
+out, and of the rest the likeliest that would connect components still apart are proposed.
 
 **Fragments.** Proposed pairs are verified exactly: the order is cut into fragments of equal mass, a
 pair's partial overlaps are counted in each fragment apart, and summed. Linked pairs merge components;
@@ -27,7 +27,6 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +46,10 @@ SKETCH_BITS = 20
 FRAGMENTS = 8
 #: Members of a group that one task compares; larger groups are dealt to pairs of blocks.
 BLOCK = 2048
+#: Members of a group whose pairs are all looked at together with those of other groups.
+SMALL = 48
+#: Pairs of a task that all go out once some have been refused.
+FEW = 5_000
 
 
 def _source(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -144,77 +147,124 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.tobytes(), np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), per))], names=["token", "tid"])
 
 
-class Bitmaps:
-    """Parity bitmaps of a group's members, by width; wider ones fold to narrower ones by XOR."""
+class Members:
+    """The different members of a task's groups: sizes, labels and parity bitmaps, by bitmap width."""
 
-    def __init__(self, n: np.ndarray, bitmaps: list[bytes]):
-        self.n = n.astype(np.int64)
-        self.width = np.array([len(b) // 8 for b in bitmaps])
-        self.of_width = {int(w): np.flatnonzero(self.width == w) for w in np.unique(self.width)}
-        self.rank = np.zeros(len(n), np.int64)
-        self.matrix = {}
-        for w, own in self.of_width.items():
+    def __init__(self, tid: np.ndarray, n: np.ndarray, label: np.ndarray, bitmaps: list[bytes]):
+        self.tid, self.n = tid, n.astype(np.int64)
+        _, self.label = np.unique(label, return_inverse=True)
+        self.width = np.array([len(b) // 8 for b in bitmaps], np.int64)
+        self.rank = np.zeros(len(tid), np.int64)
+        self.matrix: dict[tuple[int, int], np.ndarray] = {}
+        for w in np.unique(self.width):
+            own = np.flatnonzero(self.width == w)
             self.rank[own] = np.arange(len(own))
-            self.matrix[w, w] = np.frombuffer(b"".join(bitmaps[k] for k in own), np.uint64).reshape(len(own), w)
+            self.matrix[int(w), int(w)] = np.frombuffer(b"".join(bitmaps[k] for k in own), np.uint64).reshape(len(own), w)
 
-    def folded(self, w: int, to: int) -> np.ndarray:
+    def rows(self, members: np.ndarray, w: int, to: int) -> np.ndarray:
+        """Bitmaps of members of width w, folded by XOR to width ``to``."""
         if (w, to) not in self.matrix:
             self.matrix[w, to] = np.bitwise_xor.reduce(self.matrix[w, w].reshape(-1, w // to, to), axis=1)
-        return self.matrix[w, to]
-
-    def may_link(self, x: int, among: np.ndarray) -> np.ndarray:
-        """Which of the members in the mask ``among`` may link with x (never leaves out a link)."""
-        out = []
-        wx = int(self.width[x])
-        for w, own in self.of_width.items():
-            cols = own[among[own]]
-            need = -(-NUMERATOR * (self.n[x] + self.n[cols]) // (NUMERATOR + DENOMINATOR))
-            fits = np.minimum(self.n[x], self.n[cols]) >= need
-            cols, need = cols[fits], need[fits]
-            if len(cols):
-                to = min(w, wx)
-                odd = np.bitwise_count(self.folded(w, to)[self.rank[cols]] ^ self.folded(wx, to)[self.rank[x]]).sum(axis=1, dtype=np.int64)
-                out.append(cols[self.n[x] + self.n[cols] - odd >= 2 * need])
-        return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
-
-
-def propose(tid: np.ndarray, n: np.ndarray, bitmaps: list[bytes], label: np.ndarray, refused: set[tuple[int, int]], block: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that would connect the labels of one group as far as its possible pairs can.
-
-    A breadth-first search from a leader, the member with the least hash, along pairs that may link; an
-    edge goes out for each label it newly reaches. ``block`` holds 0 or 1; when both occur only pairs
-    across are looked at, since other tasks have those within.
+        return self.matrix[w, to][self.rank[members]]
+
+    def likeness(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Highest possible Jaccard similarity of pairs by size and bitmap; 0 where they surely don't link.
+
+        Each odd bit of the XOR of two bitmaps is at least one shingle that only one of the sets has.
+        """
+        total = self.n[a] + self.n[b]
+        need = -(-NUMERATOR * total // (NUMERATOR + DENOMINATOR))
+        out = np.zeros(len(a))
+        fits = np.flatnonzero((np.minimum(self.n[a], self.n[b]) >= need) & (self.label[a] != self.label[b]))
+        low, high = np.minimum(self.width[a[fits]], self.width[b[fits]]), np.maximum(self.width[a[fits]], self.width[b[fits]])
+        for code in np.unique(low * (1 << 32) + high):
+            lo, hi = int(code >> 32), int(code & 0xFFFFFFFF)
+            own = fits[(low == lo) & (high == hi)]
+            for k in range(0, len(own), step := max(1, (4 << 20) // (8 * lo))):
+                at = own[k : k + step]
+                wide, narrow = np.where(self.width[a[at]] == hi, a[at], b[at]), np.where(self.width[a[at]] == hi, b[at], a[at])
+                odd = np.bitwise_count(self.rows(wide, hi, lo) ^ self.rows(narrow, lo, lo)).sum(axis=1, dtype=np.int64)
+                shared = (total[at] - odd) // 2
+                out[at] = np.where(shared >= need[at], shared / (total[at] - shared), 0.0)
+        return out
+
+
+def all_pairs(members: Members, groups: list[np.ndarray], sides: list[np.ndarray]) -> np.ndarray:
+    """Rows (a, b) of all pairs within small groups, each once; in groups of two blocks only those across."""
+    found = []
+    for m in {len(g) for g in groups}:
+        own = [k for k, g in enumerate(groups) if len(g) == m]
+        i, j = np.triu_indices(m, 1)
+        rows, side = np.array([groups[k] for k in own]), np.array([sides[k] for k in own])
+        two = (side.min(axis=1) != side.max(axis=1))[:, None]
+        a, b = rows[:, i], rows[:, j]
+        ok = (members.label[a] != members.label[b]) & ~(two & (side[:, i] == side[:, j]))
+        found.append(np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok]], axis=1))
+    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+
+
+def likeliest_tree(members: Members, group: np.ndarray, side: np.ndarray, refused: dict[int, set[int]]) -> list[tuple[int, int, float]]:
+    """Edges (a, b, likeness) of a maximum spanning forest over the labels of one large group."""
+    two = side.min() != side.max()
+    label = members.label[group]
+    best, source = np.zeros(len(group)), np.zeros(len(group), np.int64)
+    outside = np.ones(len(group), bool)
+    edges: list[tuple[int, int, float]] = []
+    while outside.any():
+        v = int(np.argmax(np.where(outside, best, -1.0)))
+        if best[v] > 0:
+            edges.append((int(group[source[v]]), int(group[v]), float(best[v])))
+        fresh = np.flatnonzero(outside & (label == label[v]))
+        outside[fresh] = False
+        for x in fresh:
+            rest = np.flatnonzero(outside & (side != side[x]) if two else outside)
+            like = members.likeness(np.full(len(rest), group[x]), group[rest])
+            if no := refused.get(int(group[x])):
+                like[np.isin(group[rest], list(no))] = 0.0
+            better = like > best[rest]
+            best[rest[better]], source[rest[better]] = like[better], x
+    return edges
+
+
+def spanning_forest(label: np.ndarray, edges: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
+    """The edges, likeliest first, that join labels not joined so far."""
+    parent = list(range(int(label.max()) + 1)) if len(label) else []
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for a, b, _ in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+        x, y = find(int(label[a])), find(int(label[b]))
+        if x != y:
+            parent[x] = y
+            out.append((a, b))
+    return out
+
+
+def propose(members: Members, groups: list[np.ndarray], sides: list[np.ndarray], refused: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Pairs of members that would connect the labels of these groups as far as possible pairs can.
+
+    ``refused`` holds pairs of members that are known not to link. While few pairs are left, all go out, so
+    that few rounds are needed; else those of a maximum spanning forest by likeness.
     """
-    if len(np.unique(label)) < 2:
-        return []
-    order = np.lexsort((tid, textcore.mix(tid.astype(np.uint64))))
-    tid, n, block = tid[order], n[order], block[order]
-    _, lab = np.unique(label[order], return_inverse=True)
-    maps = Bitmaps(n, [bitmaps[k] for k in order])
-    two = block.min() != block.max()
+    small = [k for k, g in enumerate(groups) if len(g) <= SMALL]
+    pairs = all_pairs(members, [groups[k] for k in small], [sides[k] for k in small])
+    like = members.likeness(pairs[:, 0], pairs[:, 1])
+    edges = [(a, b, w) for a, b, w in zip(pairs[:, 0].tolist(), pairs[:, 1].tolist(), like.tolist(), strict=True) if w and (a, b) not in refused]
     not_with: dict[int, set[int]] = {}
     for x, y in refused:
         not_with.setdefault(x, set()).add(y)
         not_with.setdefault(y, set()).add(x)
-    met = np.zeros(lab.max() + 1, bool)
-    edges: list[tuple[int, int]] = []
-    for first in range(len(tid)):
-        if met[lab[first]]:
-            continue
-        met[lab[first]] = True
-        queue = deque(np.flatnonzero(lab == lab[first]))
-        while queue:
-            x = queue.popleft()
-            among = ~met[lab] & (block != block[x]) if two else ~met[lab]
-            if not among.any():
-                continue
-            no = not_with.get(int(tid[x]), ())
-            for y in maps.may_link(x, among):
-                if not met[lab[y]] and int(tid[y]) not in no:
-                    met[lab[y]] = True
-                    edges.append((int(min(tid[x], tid[y])), int(max(tid[x], tid[y]))))
-                    queue.extend(np.flatnonzero(lab == lab[y]))
-    return edges
+    large = [k for k, g in enumerate(groups) if len(g) > SMALL]
+    for k in large:
+        edges += [(min(a, b), max(a, b), w) for a, b, w in likeliest_tree(members, groups[k], sides[k], not_with)]
+    if refused and len(edges) <= FEW:
+        return sorted({(a, b) for a, b, _ in edges})
+    return spanning_forest(members.label, edges)
 
 
 def _propose_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,19 +273,21 @@ def _propose_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         return
     table = pa.Table.from_batches(held).combine_chunks()
     col = {c: table.column(c).to_numpy() for c in ("g1", "g2", "part", "tid", "n", "label", "block")}
+    tid, first, member = np.unique(col["tid"], return_index=True, return_inverse=True)
+    bitmap, no = table.column("bitmap").combine_chunks(), table.column("refused").combine_chunks()
+    members = Members(tid, col["n"][first], col["label"][first], [bitmap[int(k)].as_py() for k in first])
     order = np.lexsort((col["part"], col["g2"], col["g1"]))
     new = np.flatnonzero(np.concatenate([[True], np.any([col[c][order][1:] != col[c][order][:-1] for c in ("g1", "g2", "part")], axis=0)]))
-    bitmap, refused = table.column("bitmap").combine_chunks(), table.column("refused").combine_chunks()
-    found: set[tuple[int, int]] = set()
-    for i, j in zip(new, np.append(new[1:], len(order)), strict=True):
-        own = order[i:j]
-        if len(own) < 2:
-            continue
-        no = {(int(t), int(u)) for t, k in zip(col["tid"][own], own, strict=True) for u in (refused[int(k)].as_py() or ())}
-        found.update(propose(col["tid"][own], col["n"][own], [bitmap[int(k)].as_py() for k in own], col["label"][own], no, col["block"][own]))
+    cuts = [order[i:j] for i, j in zip(new, np.append(new[1:], len(order)), strict=True) if j > i + 1]
+    refused: set[tuple[int, int]] = set()
+    for x, k in enumerate(first):
+        if others := no[int(k)].as_py():
+            at = np.searchsorted(tid, others)
+            refused.update((min(x, int(y)), max(x, int(y))) for y, o in zip(at, others, strict=True) if y < len(tid) and tid[y] == o)
+    found = propose(members, [member[c] for c in cuts], [col["block"][c] for c in cuts], refused)
     if found:
-        a, b = np.array(sorted(found), np.int64).T
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        pairs = np.sort(tid[np.array(found)], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def _segments(classes, pivots: np.ndarray, size: int):
