@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +48,9 @@ FRAGMENTS = 8
 #: Members of a group that one task compares; larger groups are dealt to pairs of blocks.
 BLOCK = 2048
 #: Members of a group whose pairs are all looked at together with those of other groups.
-SMALL = 48
-#: Pairs of a task that all go out once some have been refused.
-FEW = 5_000
+SMALL = 128
+#: Pairs of a task that all go out in rounds after the first.
+FEW = 20_000
 
 
 def _source(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -245,29 +246,57 @@ def spanning_forest(label: np.ndarray, edges: list[tuple[int, int, float]]) -> l
     return out
 
 
-def propose(members: Members, groups: list[np.ndarray], sides: list[np.ndarray], refused: set[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Pairs of members that would connect the labels of these groups as far as possible pairs can.
+def cross_pairs(members: Members, group: np.ndarray, side: np.ndarray) -> list[tuple[int, int, float]]:
+    """All pairs of one large group that may link two labels, from each member outside its main label."""
+    two = side.min() != side.max()
+    label = members.label[group]
+    kinds, count = np.unique(label, return_counts=True)
+    out: list[tuple[int, int, float]] = []
+    for x in np.flatnonzero(label != kinds[np.argmax(count)]):
+        rest = np.flatnonzero((label != label[x]) & (side != side[x]) if two else label != label[x])
+        like = members.likeness(np.full(len(rest), group[x]), group[rest])
+        out += [(int(group[x]), int(y), float(w)) for y, w in zip(group[rest][like > 0], like[like > 0], strict=True)]
+    return out
+
 
-    ``refused`` holds pairs of members that are known not to link. While few pairs are left, all go out, so
-    that few rounds are needed; else those of a maximum spanning forest by likeness.
+def propose(members: Members, groups: list[np.ndarray], sides: list[np.ndarray], refused: set[tuple[int, int]], first: bool) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of members to verify, so that the labels of these groups get connected as far as they can be,
+    and whether these are all pairs that are left.
+
+    ``refused`` holds pairs of members that are known not to link. The ``first`` round takes a maximum
+    spanning forest by likeness; later ones take all that is left, or if that is more than ``FEW`` the
+    forest and each label's likeliest pairs.
     """
     small = [k for k, g in enumerate(groups) if len(g) <= SMALL]
     pairs = all_pairs(members, [groups[k] for k in small], [sides[k] for k in small])
     like = members.likeness(pairs[:, 0], pairs[:, 1])
-    edges = [(a, b, w) for a, b, w in zip(pairs[:, 0].tolist(), pairs[:, 1].tolist(), like.tolist(), strict=True) if w and (a, b) not in refused]
+    may = like > 0
+    edges = list(zip(pairs[may, 0].tolist(), pairs[may, 1].tolist(), like[may].tolist(), strict=True))
+    whole = True
     not_with: dict[int, set[int]] = {}
     for x, y in refused:
         not_with.setdefault(x, set()).add(y)
         not_with.setdefault(y, set()).add(x)
-    large = [k for k, g in enumerate(groups) if len(g) > SMALL]
-    for k in large:
-        edges += [(min(a, b), max(a, b), w) for a, b, w in likeliest_tree(members, groups[k], sides[k], not_with)]
-    if refused and len(edges) <= FEW:
-        return sorted({(a, b) for a, b, _ in edges})
-    return spanning_forest(members.label, edges)
-
-
-def _propose_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for k, g in enumerate(groups):
+        if len(g) > SMALL:
+            whole = whole and not first
+            edges += likeliest_tree(members, g, sides[k], not_with) if first else cross_pairs(members, g, sides[k])
+    edges = list({(min(a, b), max(a, b)): w for a, b, w in edges if (min(a, b), max(a, b)) not in refused}.items())
+    edges = [(a, b, w) for (a, b), w in edges]
+    if not first and len(edges) <= FEW:
+        return sorted((a, b) for a, b, _ in edges), whole
+    out = set(spanning_forest(members.label, edges))
+    if not first:
+        taken: dict[int, int] = {}
+        for a, b, _ in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+            x, y = int(members.label[a]), int(members.label[b])
+            if min(taken.get(x, 0), taken.get(y, 0)) < 16:
+                taken[x], taken[y] = taken.get(x, 0) + 1, taken.get(y, 0) + 1
+                out.add((a, b))
+    return sorted(out), whole and len(out) == len(edges)
+
+
+def _propose_groups(batches: Iterator[pa.RecordBatch], first_round: bool) -> Iterator[pa.RecordBatch]:
     held = [b for b in batches if len(b)]
     if not held:
         return
@@ -284,10 +313,10 @@ def _propose_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         if others := no[int(k)].as_py():
             at = np.searchsorted(tid, others)
             refused.update((min(x, int(y)), max(x, int(y))) for y, o in zip(at, others, strict=True) if y < len(tid) and tid[y] == o)
-    found = propose(members, [member[c] for c in cuts], [col["block"][c] for c in cuts], refused)
+    found, whole = propose(members, [member[c] for c in cuts], [col["block"][c] for c in cuts], refused, first_round)
     if found:
         pairs = np.sort(tid[np.array(found)], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array([whole] * len(pairs))], names=["a", "b", "whole"])
 
 
 def _segments(classes, pivots: np.ndarray, size: int):
@@ -317,24 +346,25 @@ def _partial_overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             both = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)])
             both.sort(kind="stable")
             out[k] = np.count_nonzero(both[1:] == both[:-1])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["a", "b", "shared"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(out)], names=["a", "b", "part", "shared"])
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """(a, b, shared) of the pairs that share anything: partial overlaps by fragment, summed."""
+    """(a, b, shared) of the pairs that share anything: partial overlaps by fragment, summed. Where repeated
+    rows gave a set's segments twice they count once."""
     right = pairs.join(segments.toDF("b", "part", "y"), "b")
     both = right.join(segments.toDF("a", "part", "x"), ["a", "part"])
-    return both.select("a", "b", "x", "y").mapInArrow(_partial_overlaps, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    return both.select("a", "b", "x", "y", "part").mapInArrow(_partial_overlaps, "a long, b long, part int, shared long").groupBy("a", "b", "part").agg(F.max("shared").alias("shared")).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
 
 
 def _texts_of(source: DataFrame, holders: DataFrame) -> DataFrame:
     """(tid, text) of the holders, found by key and text hash; a filter of fixed size spares most other
-    texts the shuffle. Repeated rows with one key and text give one row."""
+    texts the shuffle. Rows that repeat both give repeated rows."""
     bits = hash_filter(holders, "h")
     null = F.lit(-(2**63))
     left = may_pass(source, "h", bits).withColumn("at", F.coalesce("key", null)).drop("key")
     right = holders.withColumn("at", F.coalesce("key", null)).drop("key")
-    return left.join(right, ["h", "at"]).groupBy("h", "at", "tid").agg(F.first("text").alias("text")).select("tid", "text")
+    return left.join(right, ["h", "at"]).select("tid", "text")
 
 
 def linked_components(docs: DataFrame, size: int = SIZE, text: str = "text", key: str = "doc_id", block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -354,15 +384,16 @@ def linked_components(docs: DataFrame, size: int = SIZE, text: str = "text", key
 
     postings = own.select("tid", "prefix").mapInArrow(_explode, "token long, tid long")
     name = [F.expr(f"bit_xor(xxhash64(tid, {k}))").alias(f"g{k}") for k in (1, 2)]
-    groups = postings.groupBy("token").agg(F.count("*").alias("m"), *name).where("m > 1")
-    members = written(postings.join(groups, "token").select("g1", "g2", "m", "tid").distinct(), "members")
+    groups = postings.groupBy("token").agg(F.count("*").alias("m"), F.min(F.xxhash64("tid")).alias("leader"), *name).where("m > 1")
+    members = postings.join(groups, "token").select("g1", "g2", "leader", "m", "tid").distinct()
     blocks = F.ceil(F.col("m") / block).cast("int")
     members = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
     # a member of block i is in the tasks of every pair of blocks (i, j); the pair (i, i) has one block
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select(
-        "g1", "g2", "tid", (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).cast("long").alias("part"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("block")
+        "g1", "g2", "leader", "tid", (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).cast("long").alias("part"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("block")
     )
+    members = written(members, "members")
 
     involved = members.select("tid").distinct()
     details = written(own.select("tid", "n", "bitmap").join(involved, "tid"), "bitmaps")
@@ -372,20 +403,23 @@ def linked_components(docs: DataFrame, size: int = SIZE, text: str = "text", key
     links: DataFrame | None = None
     refused: DataFrame | None = None
     labels = spark.createDataFrame([], "v long, root long")
+    first = True
     while True:
-        now = members.join(details, "tid").join(labels, F.col("tid") == F.col("v"), "left").withColumn("label", F.coalesce("root", "tid")).drop("v", "root")
-        if refused is None:
-            now = now.withColumn("refused", F.lit(None).cast("array<long>"))
-        else:
-            now = now.join(refused.groupBy(F.col("a").alias("tid")).agg(F.collect_list("b").alias("refused")), "tid", "left")
-        now = now.select("g1", "g2", "part", "tid", "n", "label", "block", "bitmap", "refused")
-        if links is not None:  # groups that are one component have nothing left to propose
+        now = members.join(labels, F.col("tid") == F.col("v"), "left").withColumn("label", F.coalesce("root", "tid")).drop("v", "root")
+        if not first:  # groups that are one component have nothing left to propose
             apart = now.groupBy("g1", "g2", "part").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2").select("g1", "g2", "part")
             now = now.join(apart, ["g1", "g2", "part"])
-        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        proposed = written(now.repartition(tasks, "g1", "g2", "part").mapInArrow(_propose_groups, "a long, b long").distinct(), "proposed")
-        if not proposed.take(1):
+        now = now.join(details, "tid")
+        now = now.withColumn("refused", F.lit(None).cast("array<long>")) if first else now.join(refused.groupBy(F.col("a").alias("tid")).agg(F.collect_list("b").alias("refused")), "tid", "left")
+        # groups with one leader mostly share their members: in one task a pair goes out once
+        now = now.select("g1", "g2", "part", "tid", "n", "label", "block", "bitmap", "refused", "leader")
+        dealt = now.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "leader", "part")
+        proposed = written(dealt.mapInArrow(partial(_propose_groups, first_round=first), "a long, b long, whole boolean").groupBy("a", "b").agg(F.min("whole").alias("whole")), "proposed")
+        first = False
+        done = proposed.agg(F.min("whole").alias("whole")).first()["whole"]
+        if done is None:
             break
+        proposed = proposed.select("a", "b")
         size_of = details.select("tid", "n")
         judged = proposed.join(overlaps(proposed, segments), ["a", "b"], "left").join(size_of.toDF("a", "na"), "a").join(size_of.toDF("b", "nb"), "b")
         judged = written(judged.select("a", "b", (F.coalesce("shared", F.lit(0)) * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (F.col("na") + F.col("nb"))).alias("link")), "judged")
@@ -393,6 +427,8 @@ def linked_components(docs: DataFrame, size: int = SIZE, text: str = "text", key
         links = good if links is None else links.union(good)
         refused = bad if refused is None else refused.union(bad)
         labels = connected_components(links)
+        if done:
+            break
     return rows.select("rid", "key", "h", "digest", "n"), sets, labels
 
 
