@@ -7,13 +7,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docmill.llm import bpe, jaccardjoin, packing, quality, suffixdedup, tokenfile, toxicity, warc
+from docmill.llm import bpe, jaccardjoin, maskedlm, nndescent, packing, quality, suffixdedup, tokenfile, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file_digests(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digests(_table(spark, sf_dir, "pages"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return maskedlm.score(docs, maskedlm.train(docs))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.removal_digests(_table(spark, sf_dir, "documents"))
 
@@ -54,11 +63,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_nn_descent": op1_nn_descent,
     "op2_token_files": op2_token_files,
     "op3_bpe": op3_bpe,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
