@@ -44,7 +44,7 @@ from docmill.llm.shingles import SIZE, STEP, shingle_sets
 #: The link condition: NUMERATOR / DENOMINATOR of the union must be shared.
 NUMERATOR, DENOMINATOR = 4, 5
 SKETCH_BITS = 20
-FRAGMENTS = 8
+FRAGMENTS = 4
 #: Members of a group that one task compares; larger groups are dealt to pairs of blocks.
 BLOCK = 2048
 #: Members of a group whose pairs are all looked at together with those of other groups.
@@ -357,6 +357,15 @@ def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y", "part").mapInArrow(_partial_overlaps, "a long, b long, part int, shared long").groupBy("a", "b", "part").agg(F.max("shared").alias("shared")).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
 
 
+def _first_rows(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(tid, n, prefix, bitmap) of each set's first row. A filter of fixed size tells most of them from
+    later rows; only what it can't tell is joined."""
+    later = rows.where("n > 0").select("rid", "digest").join(sets.select("digest", "tid"), "digest").where("rid <> tid")
+    bits = hash_filter(later, "rid")
+    wide = rows.where("n > 0").select(F.col("rid").alias("tid"), "n", "prefix", "bitmap")
+    return may_pass(wide, "tid", bits, keep=False).union(may_pass(wide, "tid", bits).join(sets.select("tid"), "tid", "left_semi"))
+
+
 def _texts_of(source: DataFrame, holders: DataFrame) -> DataFrame:
     """(tid, text) of the holders, found by key and text hash; a filter of fixed size spares most other
     texts the shuffle. Rows that repeat both give repeated rows."""
@@ -380,12 +389,14 @@ def linked_components(docs: DataFrame, size: int = SIZE, text: str = "text", key
 
     rows = written(source.mapInArrow(_signatures(classes, size), "key long, h long, digest binary, n int, prefix binary, bitmap binary").withColumn("rid", F.monotonically_increasing_id()), "signatures")
     sets = written(rows.where("n > 0").groupBy("digest").agg(F.min("rid").alias("tid"), F.min("n").alias("n")), "sets")
-    own = rows.select(F.col("rid").alias("tid"), "prefix", "bitmap").join(sets.select("tid", "n"), "tid")
+    own = _first_rows(rows, sets)
 
     postings = own.select("tid", "prefix").mapInArrow(_explode, "token long, tid long")
+    shared = written(postings.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "shared")
+    some = may_pass(postings, "token", hash_filter(shared, "token")).join(shared, "token")
     name = [F.expr(f"bit_xor(xxhash64(tid, {k}))").alias(f"g{k}") for k in (1, 2)]
-    groups = postings.groupBy("token").agg(F.count("*").alias("m"), F.min(F.xxhash64("tid")).alias("leader"), *name).where("m > 1")
-    members = postings.join(groups, "token").select("g1", "g2", "leader", "m", "tid").distinct()
+    groups = some.groupBy("token").agg(F.min(F.xxhash64("tid")).alias("leader"), *name)
+    members = some.join(groups, "token").select("g1", "g2", "leader", "m", "tid").distinct()
     blocks = F.ceil(F.col("m") / block).cast("int")
     members = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
     # a member of block i is in the tasks of every pair of blocks (i, j); the pair (i, i) has one block
@@ -397,9 +408,6 @@ def linked_components(docs: DataFrame, size: int = SIZE, text: str = "text", key
 
     involved = members.select("tid").distinct()
     details = written(own.select("tid", "n", "bitmap").join(involved, "tid"), "bitmaps")
-    holders = rows.select("key", "h", F.col("rid").alias("tid")).join(involved, "tid")
-    segments = written(_texts_of(source, holders).mapInArrow(_segments(classes, pivots, size), "tid long, part int, segment binary"), "segments")
-
     links: DataFrame | None = None
     refused: DataFrame | None = None
     labels = spark.createDataFrame([], "v long, root long")
@@ -420,6 +428,9 @@ def linked_components(docs: DataFrame, size: int = SIZE, text: str = "text", key
         if done is None:
             break
         proposed = proposed.select("a", "b")
+        needed = proposed.select(F.col("a").alias("tid")).union(proposed.select("b")).distinct()
+        holders = rows.select("key", "h", F.col("rid").alias("tid")).join(needed, "tid")
+        segments = written(_texts_of(source, holders).mapInArrow(_segments(classes, pivots, size), "tid long, part int, segment binary"), "segments")
         size_of = details.select("tid", "n")
         judged = proposed.join(overlaps(proposed, segments), ["a", "b"], "left").join(size_of.toDF("a", "na"), "a").join(size_of.toDF("b", "nb"), "b")
         judged = written(judged.select("a", "b", (F.coalesce("shared", F.lit(0)) * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (F.col("na") + F.col("nb"))).alias("link")), "judged")

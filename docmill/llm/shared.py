@@ -87,14 +87,14 @@ def filter_place(values: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(64 - int(FILTER_BITS).bit_length() + 1)).astype(np.int64)
 
 
-def may_pass(df: DataFrame, column: str, bits) -> DataFrame:
-    """The rows that the filter can't rule out; ``column`` is a long."""
+def may_pass(df: DataFrame, column: str, bits, keep: bool = True) -> DataFrame:
+    """The rows that the filter can't rule out, or those that it rules out; ``column`` is a long."""
     at = df.columns.index(column)
 
     def run(batches):
         for batch in batches:
             place = filter_place(batch.column(at).fill_null(0).to_numpy())
             ok = (bits.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1
-            yield batch.filter(pa.array(ok.astype(bool)))
+            yield batch.filter(pa.array(ok.astype(bool) == keep))
 
     return df.mapInArrow(run, df.schema)
