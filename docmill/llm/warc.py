@@ -1,7 +1,7 @@
 """A content-addressed web archive.
 
-Every different payload is stored once, as a WARC ``resource`` record named by its SHA-256, in WARC files
-that Spark's text writer puts in place. The exact header of every original record lies in a table beside
+Every different payload is stored once, as a WARC ``resource`` record named by its SHA-256, in compressed
+WARC files that Spark's text writer puts in place. The exact header of every original record lies in a table beside
 them, with the payload's digest. A reader parses the payload files in parallel, recomputes each digest and
 fails if it differs from the name, and joins headers to payloads to rebuild the original records byte for
 byte. Of records with equal payloads of at least ``MIN_REVISIT`` bytes the one with the smallest page id is
@@ -14,6 +14,7 @@ ends in a URL are percent-encoded; an empty table gives no rows.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -74,7 +75,7 @@ def write_archive(pages: DataFrame, path: str) -> None:
         F.lit(f"{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.octet_length("payload").cast("string"), F.lit(END + END),
     )
     record = F.concat(head.cast("binary"), F.col("payload")).cast("string")
-    once.select(record.alias("value")).write.option("lineSep", END + END).option("maxRecordsPerFile", FILE_RECORDS).text(f"{path}/payloads")
+    once.select(record.alias("value")).write.option("lineSep", END + END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(f"{path}/payloads")
 
 
 def parse_warc(raw: memoryview) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -103,7 +104,7 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column(0):
                 held: list[tuple[str, bytes]] = []
                 size = 0
-                for fields, block in parse_warc(content.as_buffer().to_pybytes()):
+                for fields, block in parse_warc(gzip.decompress(content.as_buffer())):
                     name = fields["warc-record-id"].removeprefix("<urn:sha256:").removesuffix(">")
                     if hashlib.sha256(block).hexdigest() != name:
                         raise ValueError(f"the payload stored as {name} has another digest")
