@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, IntegerType
 
 from docmill.config import DEFAULT_CODE_PATTERNS, ChunkingConfig
 from docmill.functions.codes import extract
@@ -13,7 +14,7 @@ from docmill.functions.text import strip
 from docmill.operators.blocks import with_sections
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def greedy_groups(lengths: pd.Series, budget: pd.Series) -> pd.Series:
     """Group number of each block: a block that would exceed the budget begins the next group. Each group
     depends on where the last one ended, so this is one pass over the lengths, not a window."""

@@ -18,7 +18,8 @@ def ingest_stream(spark: SparkSession, folder: str, index: str, checkpoint: str,
 
     The stream remembers files, so a rewritten file of the same name and time needs ``update`` on a listing.
     """
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    schema = spark.read.format("binaryFile").load(folder).schema
+    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)
     wanted = files.where(F.lower("path").rlike("(?:" + "|".join(s.replace(".", r"\.") for s in SUFFIXES) + ")$"))
     rows = wanted.select(F.col("path").alias("source_path"), "content", content_hash(F.col("content")).alias("content_hash"))
 
