@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 
 from docmill.llm import textcore
 from docmill.llm.components import connected_components
-from docmill.llm.shared import bounded_batches, hash_filter, may_pass, written
+from docmill.llm.shared import bounded_batches, free_names, hash_filter, may_pass, written
 from docmill.llm.shingles import SIZE, STEP, shingle_sets
 
 #: The link condition: NUMERATOR / DENOMINATOR of the union must be shared.
@@ -478,8 +478,8 @@ def keep_one(docs: DataFrame, size: int = SIZE, text: str = "text", key: str = "
     least = named.groupBy("root").agg(F.min(F.struct(F.coalesce("key", F.lit(2**63 - 1)).alias("o"), "key", "h", "rid")).alias("first"))
     kept = least.select(F.col("first.h").alias("h"), F.coalesce("first.key", null).alias("at"), F.lit(1).alias("most"))
     empty = rows.where("n = 0").groupBy("h", F.coalesce("key", null).alias("at")).agg(F.count("*").cast("int").alias("most"))
-    kept = kept.unionByName(empty).withColumnsRenamed({"h": "__h", "at": "__at"})
-    marked = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))).withColumn("__at", F.coalesce(F.col(key).cast("long"), null))
+    h, at, most, nth = free_names(docs, "h", "at", "most", "nth")
+    marked = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))).withColumn(at, F.coalesce(F.col(key).cast("long"), null))
     # rows that repeat both key and text are told apart by number alone
-    nth = F.row_number().over(W.partitionBy("__h", "__at").orderBy("__h"))
-    return marked.join(kept, ["__h", "__at"]).withColumn("__n", nth).where("__n <= most").select(*docs.columns)
+    number = F.row_number().over(W.partitionBy(h, at).orderBy(h))
+    return marked.join(kept.unionByName(empty).toDF(h, at, most), [h, at]).withColumn(nth, number).where(F.col(nth) <= F.col(most)).select(*docs.columns)

@@ -98,3 +98,15 @@ def may_pass(df: DataFrame, column: str, bits, keep: bool = True) -> DataFrame:
             yield batch.filter(pa.array(ok.astype(bool) == keep))
 
     return df.mapInArrow(run, df.schema)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put before them until no column of the frame is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

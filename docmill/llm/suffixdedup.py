@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm import textcore
-from docmill.llm.shared import bounded_batches, written
+from docmill.llm.shared import bounded_batches, free_names, written
 
 LENGTH = 400
 GRAM = 16
@@ -362,8 +362,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
     _, texts, spans = repeated_spans(docs, length, text, key)
     partial = texts.where((F.col("copies") == 1) & (F.col("n_bytes") >= length)).select("tid", "digest").join(spans, "tid").select("digest", "spans")
     whole = texts.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("digest", F.lit(b"").alias("spans"))
-    marked = docs.withColumn("__digest", F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)))
-    marked = marked.join(partial.unionByName(whole).toDF("__digest", "__spans"), "__digest", "left").select(*docs.columns, "__spans")
+    digest, cut = free_names(docs, "digest", "spans")
+    marked = docs.withColumn(digest, F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)))
+    marked = marked.join(partial.unionByName(whole).toDF(digest, cut), digest, "left").select(*docs.columns, cut)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
