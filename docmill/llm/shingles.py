@@ -8,7 +8,7 @@ from docmill.llm import textcore
 
 SIZE = 5
 #: Bytes of text that one vectorised step handles.
-STEP = 2 << 20
+STEP = 1 << 19
 _ODD = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(16)]
 
 
