@@ -33,7 +33,7 @@ CHUNK_BAND = (0.32, 0.90)
 CHUNK_SHARE = 0.5
 LEVEL = 3
 #: Bytes of text that one vectorised step handles.
-STEP = 2 << 20
+STEP = 1 << 20
 
 
 def _repeats(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

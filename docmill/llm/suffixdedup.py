@@ -39,7 +39,7 @@ LENGTH = 400
 GRAM = 16
 REACH = 160
 #: Bytes of text that one vectorised step handles.
-STEP = 1 << 20
+STEP = 1 << 19
 #: Triggers that one sorting task holds, about.
 TASK_ROWS = 40_000
 #: Triggers with one continuation beyond which their strings are counted one by one: more than a task's.

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one vectorised step handles; bounds a worker's memory whatever the batch holds.
-STEP_BYTES = 6 << 20
+STEP_BYTES = 3 << 20
 
 SPACE, LETTER, DIGIT, PUNCT, APOSTROPHE, OTHER = range(6)
 
