@@ -75,4 +75,19 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {}
+_SHINGLES = r"""s as materialized (select doc_id, case when len(w) >= 5 then list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)])
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end as sh
+  from (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents)),
+u as materialized (select doc_id, len(sh) as n, unnest(sh) as x from s),
+l as materialized (select a, b from (select p.doc_id as a, q.doc_id as b, any_value(p.n) as na, any_value(q.n) as nb, count(*) as c from u p join u q on p.x = q.x and p.doc_id <> q.doc_id group by 1, 2)
+  where 100 * c >= 80 * (na + nb - c))"""
+
+#: DuckDB SQL of the queries that SQL can express on whole tables.
+ORACLES: dict[str, str] = {
+    "op4_ngram_jaccard_join": f"""with recursive {_SHINGLES},
+r(doc_id, reach) as (select doc_id, doc_id from s union select r.doc_id, l.b from r join l on l.a = r.reach)
+select s.doc_id, any_value(len(sh))::bigint as n_shingles, min(reach) as component_id from s join r on r.doc_id = s.doc_id group by 1""",
+    "op6_warc": """select page_id, n as payload_bytes, d as payload_digest, case when n < 100 or page_id = first then 'response' else 'revisit' end as record_type,
+  case when n >= 100 and page_id <> first then first end as refers_to
+from (select *, min(page_id) over (partition by d) as first from (select page_id, strlen(coalesce(html, ''))::bigint as n, sha256(coalesce(html, '')) as d from pages))""",
+}
