@@ -451,7 +451,7 @@ def _pivots(mass: np.ndarray) -> np.ndarray:
         c = min(int(np.searchsorted(share, f / FRAGMENTS)), len(mass) - 1)
         below = share[c - 1] if c else 0.0
         inside = (f / FRAGMENTS - below) / max(1e-12, share[c] - below)
-        out.append((c << 58) + int(min(1.0, inside) * ((1 << 58) - 1)))
+        out.append((c << 58) + min(int(min(1.0, inside) * (1 << 58)), (1 << 58) - 1))
     return np.array(out, np.uint64)
 
 
