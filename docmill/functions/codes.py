@@ -21,20 +21,19 @@ def _let(value: Column, body) -> Column:
 def _matches(text: Column, order: int, rule: CodePattern) -> Column:
     """(start, order, kind, value, raw) of a rule's matches; starts come from the pieces between them."""
     pattern = "(?iU)" + GUARD + rule.regex.replace("(?P<id>", "(")
+
+    def placed(whole: Column) -> Column:
+        # one more piece than matches: the last has no match beside it
+        pairs = F.zip_with(F.split(text, pattern, -1), whole, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("raw")))
+        begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        step = lambda acc, x: F.struct((acc["at"] + x["gap"] + F.coalesce(F.length(x["raw"]), F.lit(0))).alias("at"), F.array_append(acc["starts"], acc["at"] + x["gap"]).alias("starts"))
+        starts = F.aggregate(pairs, begun, step)["starts"]
+        value = lambda m: F.concat(F.lit(rule.prefix + "-"), F.upper(F.regexp_extract(m, pattern, 1)))
+        made = lambda s, m: F.struct(s.alias("start"), F.lit(order).alias("order"), F.lit(rule.name).alias("kind"), value(m).alias("value"), F.trim(m).alias("raw"))
+        return F.zip_with(F.slice(starts, 1, F.size(whole)), whole, made)
+
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    ids = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    gaps = F.split(text, pattern, -1)  # one more than matches: the last has no match beside it
-    ends = F.aggregate(
-        F.zip_with(gaps, whole, lambda g, m: F.struct(F.length(g).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("own"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, x: F.struct((acc["at"] + x["gap"] + x["own"]).alias("at"), F.array_append(acc["starts"], acc["at"] + x["gap"]).alias("starts")),
-    )["starts"]
-    found = F.zip_with(
-        F.zip_with(ends, whole, lambda s, m: F.struct(s.alias("start"), m.alias("raw"))),
-        ids,
-        lambda m, i: F.struct(m["start"].alias("start"), F.lit(order).alias("order"), F.lit(rule.name).alias("kind"), F.concat(F.lit(rule.prefix + "-"), F.upper(i)).alias("value"), F.trim(m["raw"]).alias("raw")),
-    )
-    return F.filter(found, lambda x: x["raw"].isNotNull())
+    return _let(whole, placed)
 
 
 def extract(text: Column, rules: Sequence[CodePattern] = DEFAULT_CODE_PATTERNS) -> Column:
