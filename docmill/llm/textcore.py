@@ -7,11 +7,26 @@ instead of Python work per document.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+def _return_freed_memory() -> None:
+    """Large arrays go back to the system when freed: a worker lives on from task to task, and what the
+    allocators would keep for later adds up to more than any one task needs."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library: memory is kept longer, results are the same
+        pass
+
+
+_return_freed_memory()
+
 #: Bytes of text that one vectorised step handles; bounds a worker's memory whatever the batch holds.
 STEP_BYTES = 3 << 20
 
