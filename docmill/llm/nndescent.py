@@ -3,18 +3,21 @@
 Nearness is the largest inner product. Vectors take part if they are whole: not null, no null or
 non-finite component, not zero, and of the table's most common length.
 
-**Start.** Each of ``REPEATS`` times a few vectors are drawn as pivots by hash; every vector goes to the
+**Sizes.** With more rows a fixed share of work per row finds less, so repeats, degree, pool and beam follow
+the row count (``sizes``); the constants are those for ``BASE`` rows and fewer.
+
+**Start.** Each of ``repeats`` times a few vectors are drawn as pivots by hash; every vector goes to the
 cell of its likeliest pivot, cells beyond ``CELL_MOST`` rows are split by hash, and in each cell the
 likeliest partners become first neighbours. More than ``PIVOTS`` cells take several pivot sets together.
 
 **Descent.** A round joins neighbours of neighbours: every node gathers its neighbours and up to
-``REVERSE`` of the nodes that name it, with their vectors, and introduces them to one another; who beats a
-node's worst neighbour is kept, and each node's best ``DEGREE`` go on. Rounds end after ``ROUNDS``, or
-before if fewer than ``STOP`` of the edges are new.
+``reverse`` of the nodes that name it, with their vectors, and introduces them to one another; who beats a
+node's worst neighbour is kept, and each node's best ``degree`` go on. Rounds end when no more than ``STOP``
+of the edges are new, however many that takes.
 
-**Search.** A query is a node: it begins with its own neighbours, and in each of ``HOPS`` hops expands its
-``BEAM`` likeliest nodes that it has not expanded, keeping the likeliest ``POOL``. The best of them are
-scored exactly, in double precision on the original vectors.
+**Search.** A query is a node: it begins with its own neighbours, and in each hop expands its ``beam``
+likeliest nodes that it has not expanded, keeping the likeliest ``pool``, until no query's pool has a node
+left to expand. The best of them are scored exactly, in double precision on the original vectors.
 
 Half-precision unit vectors with their norms travel while the graph is built and searched. Reverse
 neighbours, pivots and pools are bounded by the method itself; all vectors are indexed. Defined results:
@@ -24,7 +27,10 @@ returned; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +47,31 @@ PIVOTS = 64
 FIRST = 12
 DEGREE = 24
 REVERSE = 16
-ROUNDS = 2
 STOP = 0.02
 POOL = 160
-BEAM = 80
-HOPS = 3
+#: Rows up to which the sizes above hold.
+BASE = 10_000
+#: Gathered rows that one task holds at most, about.
+PER_TASK = 200_000
+
+
+@dataclass(frozen=True)
+class Sizes:
+    repeats: int
+    degree: int
+    reverse: int
+    pool: int
+
+    @property
+    def beam(self) -> int:
+        return self.pool // 2
+
+
+def sizes(count: int) -> Sizes:
+    """The graph's sizes grow by a step with every doubling of the rows, the search pool with their root."""
+    more = max(1.0, count / BASE)
+    twice = math.log2(more)
+    return Sizes(REPEATS + round(2 * twice), DEGREE + round(4 * twice), REVERSE + round(3 * twice), round(POOL * math.sqrt(more)))
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -174,40 +200,42 @@ def _introduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _edges(a[by][keep], b[by][keep], got[by][keep])
 
 
-def _tasks(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _tasks(df: DataFrame, rows: int) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PER_TASK))
 
 
 def first_graph(index: DataFrame, count: int) -> DataFrame:
     """Neighbours from the cells around drawn pivots."""
+    size = sizes(count)
     cells = max(1, -(-count // CELL))
     levels = 1
     while PIVOTS**levels < cells:
         levels += 1
     per_set = max(1, round(cells ** (1 / levels)))
-    wanted = REPEATS * levels * per_set
-    drawn = index.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(wanted).select("half").collect()  # at most REPEATS * levels * PIVOTS rows
+    wanted = size.repeats * levels * per_set
+    drawn = index.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(wanted).select("half").collect()  # at most repeats * levels * PIVOTS rows
     pivots = np.stack([np.frombuffer(r["half"], "<f2").astype(np.float32) for r in drawn])
-    sets = [[pivots[(np.arange(per_set) + (r * levels + k) * per_set) % len(pivots)] for k in range(levels)] for r in range(REPEATS)]
+    sets = [[pivots[(np.arange(per_set) + (r * levels + k) * per_set) % len(pivots)] for k in range(levels)] for r in range(size.repeats)]
     sent = index.sparkSession.sparkContext.broadcast(sets)
     placed = index.mapInArrow(_cells(sent), "repeat int, cell long, id long, norm double, half binary")
-    sizes = placed.groupBy("repeat", "cell").agg(F.count("*").alias("n"))
-    placed = placed.join(sizes, ["repeat", "cell"]).withColumn("part", F.pmod(F.xxhash64("id", "repeat"), F.ceil(F.col("n") / CELL_MOST)).cast("int"))
-    near = placed.repartition(_tasks(index), "repeat", "cell", "part").mapInArrow(_within_cells, _EDGES)
-    return best(near, DEGREE)
+    filled = placed.groupBy("repeat", "cell").agg(F.count("*").alias("n"))
+    placed = placed.join(filled, ["repeat", "cell"]).withColumn("part", F.pmod(F.xxhash64("id", "repeat"), F.ceil(F.col("n") / CELL_MOST)).cast("int"))
+    near = placed.repartition(_tasks(index, count * size.repeats), "repeat", "cell", "part").mapInArrow(_within_cells, _EDGES)
+    return best(near, size.degree)
 
 
-def descend(index: DataFrame, graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Rounds of introducing neighbours of neighbours."""
-    for number in range(rounds):
-        worst = graph.groupBy("a").agg(F.when(F.count("*") >= DEGREE, F.min("s")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
+def descend(index: DataFrame, graph: DataFrame, count: int) -> DataFrame:
+    """Rounds of introducing neighbours of neighbours, until few edges are new."""
+    size = sizes(count)
+    for number in itertools.count():  # scores of a node's neighbours only rise, so the new edges run out
+        worst = graph.groupBy("a").agg(F.when(F.count("*") >= size.degree, F.min("s")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
         named = graph.select(F.col("b").alias("node"), F.col("a").alias("member"))
-        named = named.withColumn("r", F.row_number().over(W.partitionBy("node").orderBy(F.xxhash64("member", "node", F.lit(number)), "member"))).where(F.col("r") <= REVERSE).drop("r")
+        named = named.withColumn("r", F.row_number().over(W.partitionBy("node").orderBy(F.xxhash64("member", "node", F.lit(number)), "member"))).where(F.col("r") <= size.reverse).drop("r")
         met = graph.select(F.col("a").alias("node"), F.col("b").alias("member")).union(named).distinct()
         carried = index.join(worst, F.col("id") == F.col("a"), "left").select(F.col("id").alias("member"), "norm", "half", F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst"))
         gathered = met.join(carried, "member").select("node", "member", "norm", "half", "worst")
-        found = gathered.repartition(_tasks(index), "node").mapInArrow(_introduce, _EDGES)
-        following = written(best(graph.union(found), DEGREE), "graph")
+        found = gathered.repartition(_tasks(index, count * (size.degree + size.reverse)), "node").mapInArrow(_introduce, _EDGES)
+        following = written(best(graph.union(found), size.degree), "graph")
         total, kept = following.count(), following.join(graph.select("a", "b"), ["a", "b"], "left_semi").count()
         graph = following
         if total - kept <= STOP * total:
@@ -227,7 +255,7 @@ def build_graph(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
     if count < 2:
         return rows, index, empty
     graph = written(first_graph(index, count), "graph")
-    return rows, index, descend(index, graph)
+    return rows, index, descend(index, graph, count)
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,17 +278,20 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _edges(query[row[at]][ok], cand[at][ok], s[ok])
 
 
-def search(rows: DataFrame, index: DataFrame, graph: DataFrame, queries: DataFrame, k: int, hops: int = HOPS) -> DataFrame:
+def search(rows: DataFrame, index: DataFrame, graph: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found; ``queries`` has the ids (q)."""
+    size = sizes(index.count())
     near = graph.join(index.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.collect_list(F.struct("b", "norm", "half")).alias("near"))
     near = written(near, "adjacency")
     asked = written(queries.join(index, F.col("q") == F.col("id")).select("q", F.col("norm").alias("qnorm"), F.col("half").alias("qhalf")), "queries")
     pool = graph.join(asked.select(F.col("q").alias("a")), "a", "left_semi").withColumn("done", F.lit(False))
     by_score = W.partitionBy("a").orderBy(F.desc("s"), "b")
-    for _ in range(hops):
-        pool = pool.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= POOL)
-        pool = written(pool.withColumn("t", F.sum(F.when(F.col("done"), 0).otherwise(1)).over(by_score.rowsBetween(W.unboundedPreceding, 0))).withColumn("go", ~F.col("done") & (F.col("t") <= BEAM)), "pool")
-        bars = pool.groupBy("a").agg(F.when(F.count("*") >= POOL, F.min("s")).otherwise(F.lit(float("-inf"))).cast("float").alias("bar"))
+    while True:
+        pool = pool.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= size.pool)
+        pool = written(pool.withColumn("t", F.sum(F.when(F.col("done"), 0).otherwise(1)).over(by_score.rowsBetween(W.unboundedPreceding, 0))).withColumn("go", ~F.col("done") & (F.col("t") <= size.beam)), "pool")
+        if not pool.where("go").head(1):
+            break
+        bars = pool.groupBy("a").agg(F.when(F.count("*") >= size.pool, F.min("s")).otherwise(F.lit(float("-inf"))).cast("float").alias("bar"))
         front = pool.where("go").select(F.col("a").alias("q"), F.col("b").alias("node"))
         front = front.join(bars.withColumnRenamed("a", "q"), "q").join(asked, "q")
         found = front.join(near, front["node"] == near["a"]).select("q", "bar", "qnorm", "qhalf", "near").mapInArrow(_expand, _EDGES)

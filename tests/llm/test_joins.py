@@ -210,6 +210,18 @@ def test_neighbours(spark):
     assert nndescent.nearest(df.limit(0)).count() == 0
 
 
+def test_search_goes_on_to_the_end(spark):
+    """A chain whose nodes are ever likelier: the best ones are many hops away; sizes follow the rows."""
+    rows = spark.createDataFrame([(k, [1.0, k + 0.5]) for k in range(12)], "id long, v array<double>")
+    index = rows.mapInArrow(nndescent._halves, "id long, norm double, half binary")
+    graph = spark.createDataFrame([(k, k + 1, 1 + (k + 0.5) * (k + 1.5)) for k in range(11)], "a long, b long, s float")
+    got = nndescent.search(rows, index, graph, spark.createDataFrame([(0,)], "q long"), 3).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [11, 10, 9]
+    small, large = nndescent.sizes(nndescent.BASE), nndescent.sizes(16 * nndescent.BASE)
+    assert large.repeats > small.repeats and large.degree > small.degree and large.reverse > small.reverse
+    assert large.pool == 4 * small.pool and large.beam == 4 * small.beam
+
+
 def test_language_model(spark):
     draw = random.Random(3)
     def text():
