@@ -26,11 +26,15 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: (bytes from, lowest ratio, highest ratio) for whole texts.
-BANDS = ((128, 0.32, 1.15), (512, 0.30, 0.95), (2048, 0.28, 0.90), (16384, 0.24, 0.85), (131072, 0.20, 0.80))
+#: The highest lie between clean text (of any script) and base64 at these lengths.
+BANDS = (
+    (128, 0.32, 1.02), (192, 0.32, 0.93), (256, 0.32, 0.89), (384, 0.32, 0.82), (512, 0.30, 0.78), (1024, 0.30, 0.74),
+    (2048, 0.28, 0.70), (16384, 0.24, 0.70), (131072, 0.20, 0.70),
+)
 CHUNK = 1024
 #: Lowest and highest ratio of a chunk, and the share of a text's chunks that may lie outside.
-CHUNK_BAND = (0.32, 0.90)
-CHUNK_SHARE = 0.5
+CHUNK_BAND = (0.32, 0.75)
+CHUNK_SHARE = 0.25
 LEVEL = 3
 #: Bytes of text that one vectorised step handles.
 STEP = 1 << 20
@@ -97,7 +101,8 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def compression(data: np.ndarray, offsets: np.ndarray, level: int = LEVEL) -> tuple[np.ndarray, np.ndarray]:
-    """(ratio of the whole text, share of whole chunks outside the chunk band) of every document."""
+    """(ratio of the whole text, share of chunks outside the chunk band) of every document. The last
+    chunk ends where the text ends, so that every byte is judged in a chunk of full size."""
     tool = zstandard.ZstdCompressor(level=level)
     view = memoryview(np.ascontiguousarray(data))
     n = np.diff(offsets)
@@ -107,9 +112,9 @@ def compression(data: np.ndarray, offsets: np.ndarray, level: int = LEVEL) -> tu
         if size < BANDS[0][0]:
             continue
         whole[k] = len(tool.compress(view[a : a + size])) / size
-        chunks = size // CHUNK
-        if chunks:
-            ratio = np.array([len(tool.compress(view[i : i + CHUNK])) / CHUNK for i in range(a, a + chunks * CHUNK, CHUNK)])
+        if size >= CHUNK:
+            starts = [*range(a, a + size - CHUNK, CHUNK), a + size - CHUNK]
+            ratio = np.array([len(tool.compress(view[i : i + CHUNK])) / CHUNK for i in starts])
             odd[k] = np.mean((ratio < CHUNK_BAND[0]) | (ratio > CHUNK_BAND[1]))
     return whole, odd
 

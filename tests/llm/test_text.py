@@ -1,5 +1,6 @@
 """Text primitives, tokenization, token files, packing, quality and toxicity against plain Python."""
 
+import base64
 import collections
 import hashlib
 import random
@@ -140,6 +141,23 @@ def test_compression_bands():
     assert quality.in_bands(np.diff(offsets), whole, odd)[:3].tolist() == [True, False, False]
 
 
+def test_incompressible_text_is_rejected():
+    draw, rng = random.Random(6), np.random.default_rng(6)
+    word = lambda: "".join(draw.choice(["ri", "sto", "wal", "un", "gre", "sev", "la", "qui", "of", "the", "a"]) for _ in range(draw.randint(1, 4)))
+    prose = " ".join(word() for _ in range(60_000)).encode()
+    greek = " ".join("".join(draw.choice("αειοντσρκλμπυηδ") for _ in range(draw.randint(2, 9))) for _ in range(3000)).encode()
+    kana = "".join(chr(draw.randint(0x3042, 0x3093)) for _ in range(9000)).encode()
+    lines = lambda s, n, by: by.join(s[i : i + n] for i in range(0, len(s), n))
+    encoded = [lines(base64.b64encode(rng.bytes(n * 3 // 4)), 76, b"\n") for n in (512, 1500, 4000, 27_000, 270_000)]
+    noisy = [lines(bytes(rng.integers(33, 127, n, dtype=np.uint8)), 20, b" ") for n in (512, 3000, 21_000, 200_000)]
+    part = [prose[:1024] + encoded[2][:1020], prose[:4096] + encoded[2][:4000]]
+    clean = [t[:n] for t in (prose, greek, kana) for n in (129, 255, 513, 1023, 2049, 9000)] + [prose[:270_000]]
+    texts = [*encoded, *noisy, *part, *clean]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    kept = quality.in_bands(np.diff(offsets), *quality.compression(data, offsets)).tolist()
+    assert kept == [False] * (len(texts) - len(clean)) + [True] * len(clean)
+
+
 def test_toxicity_on_held_out_rows(spark):
     draw = random.Random(7)
     plain = ["the", "river", "stone", "walk", "green", "lamp", "seven", "quiet", "moon", "glass"]
