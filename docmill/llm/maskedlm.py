@@ -7,7 +7,7 @@ buckets. A document's score is the sum of the conditional log-probabilities of a
 
 Training is data-parallel numpy: in each of ``ROUNDS`` rounds every task starts from the shared
 parameters, takes Adagrad steps over every ``STRIDE``-th place of all its documents (other places in other
-rounds), and sends its parameters in blocks, which are averaged by places learnt from. What is gathered so
+rounds, so that every place is learnt once), and sends its parameters in blocks, which are averaged by places learnt from. What is gathered so
 grows with the corpus; only one averaged parameter set reaches the driver.
 
 Defined results: null or empty text and text without words has no words, a sum of 0 and no mean; repeated
@@ -33,7 +33,8 @@ BUCKETS = 64
 WIDTH = 16
 HIDDEN = 32
 ROUNDS = 2
-STRIDE = 8
+#: As many as rounds: each round takes its own places, all rounds together take all.
+STRIDE = ROUNDS
 BATCH = 2048
 RATE = 0.1
 STEP = 1 << 20
@@ -143,6 +144,11 @@ def windows(words: np.ndarray, before: np.ndarray, places: np.ndarray) -> np.nda
     return np.where(ok, words[np.clip(at, 0, max(0, len(words) - 1))] + 1, 0)
 
 
+def turn_places(turn: int, rounds: int, stride: int, n: int) -> np.ndarray:
+    """The places among n that a round learns from."""
+    return np.arange((turn * stride // max(1, rounds)) % stride, n, stride)
+
+
 def count_words(docs: DataFrame, text: str) -> DataFrame:
     """(word long, n): every word's count over all documents."""
 
@@ -191,7 +197,7 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, stride: int
                 for a, b in textcore.steps(offsets, STEP):
                     got, before = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                     ids = word_numbers(got, vocab, num)
-                    places = np.arange((turn * stride // max(1, rounds)) % stride, len(ids), stride)  # noqa: B023
+                    places = turn_places(turn, rounds, stride, len(ids))  # noqa: B023
                     places = places[np.argsort(textcore.mix(places.astype(np.uint64)))]
                     for k in range(0, len(places), BATCH):
                         at = places[k : k + BATCH]

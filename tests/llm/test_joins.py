@@ -244,6 +244,12 @@ def test_language_model(spark):
     assert maskedlm.score(df.limit(0), maskedlm.train(df.limit(0))).count() == 0
 
 
+def test_every_place_is_learnt_once():
+    for n in (0, 1, 3, 1000):
+        taken = [maskedlm.turn_places(turn, maskedlm.ROUNDS, maskedlm.STRIDE, n) for turn in range(maskedlm.ROUNDS)]
+        assert sorted(np.concatenate(taken).tolist()) == list(range(n))
+
+
 def test_sql_queries(spark):
     from docmill.llm.queries import ORACLES, QUERIES
 
