@@ -3,7 +3,8 @@
 The network reads the ``SIDE`` words before and after a place, never the word itself: embeddings, one tanh
 layer, and a softmax over classes times a softmax within the class. Words are the ``VOCABULARY`` most
 frequent of the whole corpus, counted over all documents; every other word is one of ``BUCKETS`` hash
-buckets. A document's score is the sum of the conditional log-probabilities of all its words.
+buckets, of whose probability it has its share by its count (all words never counted share one count more).
+Shares of the ``KNOWN`` most frequent such words go to every task, those of all others come by a join. A document's score is the sum of the conditional log-probabilities of all its words.
 
 Training is data-parallel numpy: in each of ``ROUNDS`` rounds every task starts from the shared
 parameters, takes Adagrad steps over every ``STRIDE``-th place of all its documents (other places in other
@@ -20,16 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm import textcore
-from docmill.llm.shared import bounded_batches, written
+from docmill.llm.shared import bounded_batches, free_names, written
 
 SIDE = 2
 CLASSES = 32
 VOCABULARY = 1024 - 64
-BUCKETS = 64
+BUCKETS = 64  # a power of two
+KNOWN = 1 << 16
+#: Logarithms are summed as whole numbers of this fraction, so that no order of rows changes a sum.
+FINE = float(1 << 32)
 WIDTH = 16
 HIDDEN = 32
 ROUNDS = 2
@@ -46,6 +51,8 @@ class Network:
     """Parameters in one flat float32 vector, with views for each layer. Word 0 pads the edges of a text."""
 
     def __init__(self, words: int, flat: np.ndarray | None = None):
+        #: (word, n) of all words outside the vocabulary and the buckets' totals, on the driver.
+        self.rare: tuple[DataFrame, list[int]] | None = None
         self.per_class = -(-words // CLASSES)
         shapes = {
             "embed": (words + 1, WIDTH), "w": (2 * SIDE * WIDTH, HIDDEN), "b": (HIDDEN,),
@@ -223,19 +230,28 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, stride: int
         for r in parts:
             flat[r["block"] * BLOCK : r["block"] * BLOCK + len(r["part"]) // 4] = np.frombuffer(r["part"], np.float32)
         net = Network(words, flat)
+    outside = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(r["word"],) for r in top], "word long")), "word", "left_anti")
+    sums = {r["bucket"]: r["n"] for r in outside.groupBy(F.col("word").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.sum("n").alias("n")).collect()}
+    net.rare = outside, [sums.get(k, 0) for k in range(BUCKETS)]
     return net, vocabulary, number
 
 
-def score(docs: DataFrame, model: tuple[Network, np.ndarray, np.ndarray], text: str = "text", key: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, model: tuple[Network, np.ndarray, np.ndarray], text: str = "text", key: str = "doc_id", known: int = KNOWN) -> DataFrame:
     """key, n_words, log_likelihood (summed over all words), mean_log_likelihood."""
     bounded_batches(docs.sparkSession)
     net, vocabulary, number = model
     words = len(net.embed) - 1
-    sent = docs.sparkSession.sparkContext.broadcast((net.flat, vocabulary, number))
+    outside, sums = net.rare
+    top = outside.orderBy(F.desc("n"), "word").limit(known).collect()  # at most KNOWN rows
+    hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    fine = np.round(FINE * np.log(np.array([r["n"] for r in top], np.float64) / (np.array(sums, np.float64)[(hashes % np.uint64(BUCKETS)).astype(np.int64)] + 1))).astype(np.int64)
+    sent = docs.sparkSession.sparkContext.broadcast((net.flat, vocabulary, number, hashes[order], fine[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, vocab, num = sent.value
+        flat, vocab, num, rare, shares = sent.value
         own = Network(words, flat)
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             data, offsets = textcore.flat_text(batch.column(1))
             for a, b in textcore.steps(offsets, STEP):
@@ -246,8 +262,25 @@ def score(docs: DataFrame, model: tuple[Network, np.ndarray, np.ndarray], text:
                     at = np.arange(k, min(len(ids), k + (1 << 14)))
                     each[at] = own.log_probability(windows(ids, before, at), ids[at])
                 n = np.diff(before)
-                total = np.bincount(np.repeat(np.arange(b - a), n), each, b - a)
-                mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(total), mean], names=[key, "n_words", "log_likelihood", "mean_log_likelihood"])
-
-    return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` long, n_words long, log_likelihood double, mean_log_likelihood double")
+                doc = np.repeat(np.arange(b - a), n)
+                total = np.bincount(doc, each, b - a)
+                out = np.flatnonzero(ids >= len(vocab))
+                at = np.minimum(np.searchsorted(rare, got[out]), max(0, len(rare) - 1))
+                have = rare[at] == got[out] if len(rare) else np.zeros(len(out), bool)
+                share = np.zeros(b - a, np.int64)
+                np.add.at(share, doc[out[have]], shares[at[have]])
+                left = out[~have]
+                cut = np.searchsorted(left, before).astype(np.int32)
+                tail = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(got[left].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(row + np.arange(b - a)), pa.array(n), pa.array(total), pa.array(share), tail], names=[key, *names])
+                row += b - a
+
+    at_row, n_words, total, share, tail = names = free_names(docs.select(F.col(key)), "row", "n_words", "total", "share", "tail")
+    rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text"))
+    rows = written(rows.mapInArrow(run, f"`{key}` long, `{at_row}` long, `{n_words}` long, `{total}` double, `{share}` long, `{tail}` array<long>"), "scored")
+    bucket = F.array(*(F.lit(float(x)) for x in sums))[F.col("word").bitwiseAND(BUCKETS - 1).cast("int")]
+    named = rows.select(F.col(at_row).alias("at"), F.explode(tail).alias("word")).join(outside, "word", "left")
+    named = named.select("at", F.round(F.lit(FINE) * F.log(F.coalesce("n", F.lit(1)) / (bucket + 1))).cast("long").alias("part")).groupBy("at").agg(F.sum("part").alias("part"))
+    said = F.col(total) + (F.col(share) + F.coalesce("part", F.lit(0))) / F.lit(FINE)
+    whole = rows.join(named, rows[at_row] == named["at"], "left").select(rows[key], F.col(n_words).alias("n_words"), said.alias("log_likelihood"))
+    return whole.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))

@@ -250,6 +250,28 @@ def test_every_place_is_learnt_once():
         assert sorted(np.concatenate(taken).tolist()) == list(range(n))
 
 
+def test_rare_words_have_their_share(spark):
+    often = " ".join(f"w{k} w{k} w{k}" for k in range(maskedlm.VOCABULARY))
+    rare = " ".join([*(f"r{k} r{k}" for k in range(300)), *(f"s{k}" for k in range(300))])
+    df = spark.createDataFrame([(1, often), (2, rare)], "doc_id long, text string")
+    model = maskedlm.train(df)
+    said = [f"{c}{k}" for c in "rs" for k in range(300)]
+    asked = spark.createDataFrame([*enumerate(said), (900, "never"), (901, "seen"), (None, "r1 s1"), (None, "r1 s1"), (903, None)], "doc_id long, text string")
+    spaced = np.frombuffer(" ".join(said).encode(), np.uint8)
+    bucket = maskedlm.word_hashes(spaced, np.array([0, len(spaced)]))[0] % np.uint64(maskedlm.BUCKETS)
+    held = collections.Counter()
+    for w, b in zip(said, bucket.tolist(), strict=True):
+        held[b] += 1 + (w[0] == "r")
+    for known in (0, 7, maskedlm.KNOWN):
+        got = maskedlm.score(asked, model, known=known).collect()
+        p = {r.doc_id: math.exp(r.log_likelihood) for r in got if r.doc_id is not None}
+        ids = np.arange(len(model[1]) + maskedlm.BUCKETS)
+        whole = np.exp(model[0].log_probability(np.zeros((len(ids), 2 * maskedlm.SIDE), np.int64), ids))
+        for k, (w, b) in enumerate(zip(said, bucket.tolist(), strict=True)):
+            assert math.isclose(p[k], whole[len(model[1]) + b] * (1 + (w[0] == "r")) / (held[b] + 1), rel_tol=1e-4)
+        assert len(got) == asked.count() and len({r.log_likelihood for r in got if r.doc_id is None}) == 1
+
+
 def test_sql_queries(spark):
     from docmill.llm.queries import ORACLES, QUERIES
 
