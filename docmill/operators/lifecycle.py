@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.sources.documents import base_name
+
 TABLES = ("chunks", "vectors", "registry", "meta")
 
 
@@ -33,12 +35,18 @@ def merge(old: DataFrame, new: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def removal(registry: DataFrame, targets: DataFrame) -> DataFrame:
-    """Registered paths that a target names: an exact path alone, else every path with that base name or
-    that ends with the target. Base names join by equality; only other targets compare suffixes."""
-    exact = registry.join(targets, registry["source_path"] == targets["target"], "left_semi").select("source_path")
-    loose = targets.join(registry, targets["target"] == registry["source_path"], "left_anti")
-    ends = registry.select("source_path").join(F.broadcast(loose.limit(10_000)), F.col("source_path").endswith(F.col("target")), "left_semi")  # a command names few targets
-    return exact.union(ends).distinct()
+    """Registered paths that a target names: an exact path alone, else every path with the target's base
+    name or that ends with the target. Both join by equality; of a path's suffixes only those take part
+    that are as long as some target."""
+    paths, named = registry.select("source_path").distinct(), targets.select("target").where("target is not null").distinct()
+    exact = paths.join(named, paths["source_path"] == named["target"], "left_semi")
+    loose = named.join(paths, named["target"] == paths["source_path"], "left_anti")
+    names = loose.select(base_name(F.col("target")).alias("name")).distinct()
+    same = paths.withColumn("name", base_name(F.col("source_path"))).join(names, "name", "left_semi").select("source_path")
+    lengths = [r["n"] for r in loose.select(F.length("target").alias("n")).distinct().collect()]  # no more than the longest target's characters
+    sizes = F.filter(F.array(*(F.lit(n) for n in lengths)).cast("array<int>"), lambda n: n <= F.length("source_path"))
+    ends = paths.withColumn("n", F.explode(sizes)).select("source_path", F.expr("right(source_path, n)").alias("target"))
+    return exact.union(same).union(ends.join(loose, "target", "left_semi").select("source_path")).distinct()
 
 
 def _latest(spark: SparkSession, path: str) -> int:

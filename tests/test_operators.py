@@ -163,6 +163,17 @@ def test_lifecycle(spark, tmp_path):
     assert lifecycle.load(spark, path)["chunks"].count() == 2
 
 
+def test_removal_names_all(spark):
+    paths = ["x/a.txt", "y/a.txt", "dir/b.txt", "z/b.txt", "q/ab.txt", "deep/er/c.txt", *(f"m/{k}.txt" for k in range(12_000))]
+    registry = spark.createDataFrame([(p,) for p in paths], "source_path string")
+    gone = lambda names: {r[0] for r in lifecycle.removal(registry, spark.createDataFrame([(n,) for n in names], "target string")).collect()}
+    assert gone(["dir/a.txt"]) == {"x/a.txt", "y/a.txt"}
+    assert gone(["dir/b.txt"]) == {"dir/b.txt"}
+    assert gone(["b.txt"]) == {"dir/b.txt", "z/b.txt", "q/ab.txt"} and gone(["er/c.txt"]) == {"deep/er/c.txt"}
+    assert gone([f"{k}.txt" for k in range(12_000)]) >= {f"m/{k}.txt" for k in range(12_000)}
+    assert gone([]) == set() and gone([None, "none"]) == set()
+
+
 def test_stream_updates_the_index(spark, tmp_path):
     from docmill.streaming.ingest import ingest_stream
 
