@@ -1,25 +1,30 @@
-"""Exact removal of repeated passages by prefix-free parsing and suffix order.
-
-**Parse.** A rolling hash over ``GRAM`` bytes sets triggers: every stretch of ``REACH`` bytes makes the
-place of its least hash a trigger, so a trigger depends on nearby bytes alone, equal passages get equal
-triggers, and no phrase between triggers is longer than ``REACH``, whatever the text. Every string of
-``length`` bytes belongs to one trigger, that of its first ``REACH`` places, at one distance d before it.
-
-**Dictionary and parse order.** A string is the last d bytes of the phrase that leads to its trigger
-(a dictionary suffix) and the first ``length - d`` bytes of what the parse holds from the trigger on. Two
-strings are equal if and only if they have the same d, equal dictionary suffixes and equal parse prefixes.
-So triggers are grouped by what must follow them, and in each group the phrases are sorted from their ends
-(the order of dictionary suffixes) and the continuations from their starts (the order of parse suffixes).
-Longest common prefixes of neighbours in either order give, for each d, the classes of equal suffixes and
-equal prefixes; a string repeats when its pair of classes holds two rows.
-
-**At scale.** Only triggers whose continuation occurs twice anywhere get so far; the others leave after one
-aggregation on an 8-byte key. Equal texts are one row with a count from the start. Groups of more than
-``HOT`` triggers are not sorted in one task: each of their strings becomes a row of its own with a 128-bit
-hash, counted with map-side combining.
+"""Exact removal of repeated passages by prefix-free parsing: dictionary order and parse order combined.
+
+**Parse.** A rolling hash over ``GRAM`` bytes is tested at every place; a place that passes (one in
+``MODULUS``) is a trigger, and a phrase runs from one trigger to the next. A string of ``length`` bytes
+belongs to the first trigger among its first ``REACH`` places. Long phrases are bounded by one rule that
+reads nothing but the string itself: where none of these places passes, the place of least hash is the
+trigger. So equal strings always have equal triggers at one distance d, whatever stands around them.
+
+**Dictionary and parse.** A string is the last d bytes of the phrase that leads to its trigger (a dictionary
+suffix) followed by what the parse holds from the trigger on (a parse prefix). Phrase and continuation make
+a *context*; equal contexts are one from the start, so a passage that stands in a million documents is a
+few contexts with a count, and what occurs twice in one context repeats without any comparison. For the
+rest, the different phrases of a range get their rank in the order from their ends (suffix order of the
+dictionary), the different continuations their rank in the order from their starts (suffix order of the
+parse); common prefixes of neighbours in both orders give, for each d, the classes of equal dictionary
+suffixes and equal parse prefixes, and a string repeats when its pair of classes holds two contexts.
+
+**At scale.** The corpus order is never in one place: a range of it holds the contexts with one ``KEY``-byte
+continuation, and equal strings are always in one range. Triggers whose continuation occurs once leave
+after one aggregation on an 8-byte key. A range of more than ``RANGE_ROWS`` contexts is cut in two by d, and
+each half is keyed by all bytes that its strings have in common, again and again: halves that agree in
+full are counted, halves that agree with nothing leave, and the others get smaller. Texts are read in
+blocks, so a long text takes no more memory than its own bytes and a block.
 
 Defined results: null text is empty; equal texts of at least ``length`` bytes lose every byte; texts
-shorter than ``length`` lose none; matches never cross documents; an empty table gives no rows.
+shorter than ``length`` lose none; matches never cross documents; repeated rows (key and text) are equal
+texts; null keys take part; an empty table gives no rows; columns of any other name are let alone.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm import textcore
@@ -37,49 +42,79 @@ from docmill.llm.shared import bounded_batches, free_names, written
 
 LENGTH = 400
 GRAM = 16
-REACH = 160
-#: Bytes of text that one vectorised step handles.
-STEP = 1 << 19
-#: Triggers that one sorting task holds, about.
-TASK_ROWS = 40_000
-#: Triggers with one continuation beyond which their strings are counted one by one: more than a task's.
-HOT = TASK_ROWS
+#: One place in so many passes the hash test.
+MODULUS = 48
+#: A string's trigger lies among so many of its first places.
+REACH = 96
+#: Bytes from a trigger on that all contexts of a range have in common.
+KEY = 160
+#: Bytes of text that one vectorised step handles; longer texts are cut into steps of this size.
+STEP = 1 << 18
+#: Contexts that one ordering task holds, about, and those of one range from which it is cut by d.
+TASK_ROWS = 16_000
+RANGE_ROWS = 2_000
+#: Contexts that a scanning task remembers having sent with their bytes.
+REMEMBERED = 1 << 18
 _SECOND_BASE = 0x2545F4914F6CDD1D
 
 
 class Parser:
     """Finds triggers and the strings that belong to them."""
 
-    def __init__(self, length: int = LENGTH, reach: int = REACH, gram: int = GRAM):
-        if not 2 <= reach <= length - gram:
-            raise ValueError("reach must be from 2 to length - gram")
-        self.length, self.reach, self.gram = length, reach, gram
-        self.after = length - reach + 1  # bytes that follow the trigger in each of its strings
-
-    def triggers(self, data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray):
-        """(place, first string start, last string start, document) of every trigger with strings."""
-        n = len(data)
-        sizes = np.diff(offsets)
-        if n < self.length or not (sizes >= self.length).any():
-            return (np.zeros(0, np.int64),) * 4
-        at = np.arange(n - self.gram + 1)
-        low = (prefix[self.gram :] - prefix[: -self.gram]) * textcore.powers(textcore._BASE, n)[: len(at)]
+    def __init__(self, length: int = LENGTH):
+        self.gram = min(GRAM, max(1, length // 8))
+        self.length, self.reach = length, min(REACH, max(1, (length - self.gram) // 2))
+        self.key = min(KEY, length - self.reach + 1)
+        self.wide = length - self.key  # bytes after the key that the string of d = 0 has
+        self.limit = np.uint64((1 << 32) // MODULUS << 32)
+
+    def blocks(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[Block]:
+        """All triggers with strings, block by block: whole texts together, a long text in pieces whose
+        borders depend on the text alone."""
+        for a, b in textcore.steps(offsets, STEP):
+            sizes = np.diff(offsets[a : b + 1])
+            if b - a == 1 and sizes[0] > STEP:
+                last = int(sizes[0]) - self.length + 1  # starts there are
+                for s in range(0, last, STEP):
+                    yield Block(self, data, int(offsets[a]) + s, np.array([min(STEP, last - s)]), np.array([min(STEP, last - s) + self.length - 1]), a, s)
+            else:
+                yield Block(self, data, int(offsets[a]), np.maximum(0, sizes - self.length + 1), sizes, a, 0)
+
+
+class Block:
+    """The triggers of one block: ``place``, ``first`` and ``last`` string start within the block's bytes,
+    ``doc`` the row of the batch, ``at`` the place within the text."""
+
+    def __init__(self, parser: Parser, data: np.ndarray, begin: int, starts: np.ndarray, sizes: np.ndarray, row: int, shift: int):
+        self.parser, total = parser, int(sizes.sum())
+        self.data = d = data[begin : begin + total]
+        empty = np.zeros(0, np.int64)
+        self.place = self.first = self.last = self.doc = self.at = empty
+        if total < parser.length or not starts.any():
+            return
+        self.prefix = textcore.prefix_hash(d)
+        low = (self.prefix[parser.gram :] - self.prefix[: -parser.gram]) * textcore.powers(textcore._BASE, total)[: total - parser.gram + 1]
         low *= np.uint64(0x9E3779B97F4A7C15)
+        low[low < parser.limit] = 0  # these places pass the test, and the first of them is the least
         low &= np.uint64(0xFFFFFFFF00000000)
-        low |= at.astype(np.uint64)
+        low |= np.arange(len(low), dtype=np.uint64)
         span = 1
-        while 2 * span <= self.reach:
+        while 2 * span <= parser.reach:
             low = np.minimum(low[:-span], low[span:])
             span *= 2
-        if span < self.reach:
-            low = np.minimum(low[: -(self.reach - span)], low[self.reach - span :])
-        place = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        start_doc = np.repeat(np.arange(len(sizes)), np.maximum(0, sizes - self.length + 1))
-        starts = textcore.take_ranges(offsets[:-1], np.maximum(0, sizes - self.length + 1))
-        place = place[starts]
-        new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (start_doc[1:] != start_doc[:-1])]))
-        last = np.append(new[1:], len(place)) - 1
-        return place[new], starts[new], starts[last], start_doc[new]
+        if span < parser.reach:
+            low = np.minimum(low[: -(parser.reach - span)], low[parser.reach - span :])
+        begins = np.cumsum(sizes) - sizes
+        start = textcore.take_ranges(begins, starts)
+        doc = np.repeat(np.arange(len(sizes)), starts)
+        place = (low[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        del low
+        new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]))
+        self.place, self.first, self.last, self.doc = place[new], start[new], start[np.append(new[1:], len(place)) - 1], row + doc[new]
+        self.at = self.place - begins[doc[new]] + shift
+
+    def keys(self) -> np.ndarray:
+        return textcore.span_hash(self.prefix, self.place, self.place + self.parser.key) if len(self.place) else np.zeros(0, np.uint64)
 
 
 def second_prefix(data: np.ndarray) -> np.ndarray:
@@ -92,28 +127,28 @@ def second_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return textcore.mix((prefix[end] - prefix[start]) * textcore.powers(_SECOND_BASE, len(prefix))[start])
 
 
+def _binary(data: bytes, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
 def _scan(parser: Parser):
-    """Per document: digest, key, n_bytes, and the 8-byte keys of its triggers' continuations."""
+    """Per document: digest, key, n_bytes, n_chars, and the 8-byte keys of its triggers' continuations."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = textcore.flat_text(batch.column(1))
-            for a, b in textcore.steps(offsets, STEP):
-                d, o = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                prefix = textcore.prefix_hash(d)
-                place, _, _, doc = parser.triggers(d, o, prefix)
-                keys = textcore.span_hash(prefix, place, place + parser.after)
-                at = 8 * np.searchsorted(doc, np.arange(b - a + 1))
-                digest = b"".join(hashlib.sha256(d[i:j]).digest() for i, j in zip(o[:-1], o[1:], strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(np.arange(0, 32 * (b - a) + 1, 32, dtype=np.int32)), pa.py_buffer(digest)]),
-                        batch.column(0).slice(a, b - a),
-                        pa.array(np.diff(o)),
-                        pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(keys.tobytes())]),
-                    ],
-                    names=["digest", "key", "n_bytes", "keys"],
-                )
+            n = len(batch)
+            doc, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for block in parser.blocks(data, offsets):
+                doc.append(block.doc)
+                keys.append(block.keys())
+            at = 8 * np.searchsorted(np.concatenate(doc), np.arange(n + 1))
+            digest = b"".join(hashlib.sha256(data[i:j]).digest() for i, j in zip(offsets[:-1], offsets[1:], strict=True))
+            chars = [int(np.count_nonzero((data[i:j] & 0xC0) != 0x80)) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [_binary(digest, np.arange(0, 32 * n + 1, 32)), batch.column(0), pa.array(np.diff(offsets)), pa.array(chars, pa.int64()), _binary(np.concatenate(keys).tobytes(), at)],
+                names=["digest", "key", "n_bytes", "n_chars", "keys"],
+            )
 
     return run
 
@@ -127,54 +162,65 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.tobytes(), np.int64)), pa.array(tid), pa.array(at.astype(np.int32))], names=["k", "tid", "idx"])
 
 
-_RECORD = "hot boolean, k long, k2 long, tid long, t int, low short, high short, left binary, right binary"
+_RECORD = "c long, c2 long, k long, k2 long, tid long, t int, low short, high short, left binary, right binary"
 
 
 def _contexts(parser: Parser):
-    """Of each trigger that may repeat: its strings' phrase end and continuation, or, if hot, its strings."""
-    keep_left, keep_right = parser.reach - 1, parser.reach - 1
+    """The contexts of the wanted triggers; only the first of a task's equal contexts has its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = np.zeros(0, np.uint64)
         for batch in batches:
             data, offsets = textcore.flat_text(batch.column(1))
-            tids = batch.column(0).to_numpy()
-            cold, hot = batch.column(2), batch.column(3)
-            for a, b in textcore.steps(offsets, STEP):
-                d, o = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                prefix, other = textcore.prefix_hash(d), second_prefix(d)
-                place, first, last, doc = parser.triggers(d, o, prefix)
-                begin = np.searchsorted(doc, np.arange(b - a))
-                pick = lambda c: np.concatenate([np.zeros(0, np.int64), *(begin[k] + np.array(c[a + k].as_py() or [], np.int64) for k in range(b - a))]).astype(np.int64)  # noqa: E731, B023
-                own = np.sort(pick(cold))
-                if len(own):
-                    t, i, j = place[own], first[own], last[own]
-                    left = np.minimum(keep_left, t - i)
-                    right = j + parser.length - t - parser.after
-                    yield _record(
-                        False, textcore.span_hash(prefix, t, t + parser.after), second_hash(other, t, t + parser.after), tids[a + doc[own]],
-                        t - o[doc[own]], t - j, t - i, _slices(d, t - left, left), _slices(d, t + parser.after, np.minimum(keep_right, right)),
-                    )
-                own = np.sort(pick(hot))
-                if len(own):
-                    n = last[own] - first[own] + 1
-                    at = textcore.take_ranges(first[own], n)
-                    row = np.repeat(own, n)
-                    yield _record(True, textcore.span_hash(prefix, at, at + parser.length), second_hash(other, at, at + parser.length), tids[a + doc[row]], at - o[doc[row]], np.zeros(len(at)), np.zeros(len(at)), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.binary()))
+            tids, lists = batch.column(0).to_numpy(), batch.column(2)
+            wanted = lists.flatten().to_numpy()
+            cut = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+            before = np.zeros(len(batch), np.int64)  # triggers of a text in blocks that went before
+            for block in parser.blocks(data, offsets):
+                rows, count = np.unique(block.doc, return_counts=True)
+                if not len(rows):
+                    continue
+                own = []
+                begin = np.searchsorted(block.doc, rows)
+                for r, i, n in zip(rows, begin, count, strict=True):
+                    w = wanted[cut[r] : cut[r + 1]] - before[r]
+                    own.append(i + np.sort(w[(w >= 0) & (w < n)]))
+                before[rows] += count
+                own = np.concatenate(own)
+                if not len(own):
+                    continue
+                t, first, last = block.place[own], block.first[own], block.last[own]
+                left, right = t - first, last + parser.length - t - parser.key
+                other = second_prefix(block.data)
+                where = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                c = textcore.mix(textcore.span_hash(block.prefix, first, last + parser.length) ^ where)
+                c2 = textcore.mix(second_hash(other, first, last + parser.length) ^ where)
+                _, at = np.unique(c, return_index=True)
+                fresh = np.zeros(len(c), bool)
+                fresh[at] = True
+                if len(sent):
+                    fresh &= sent[np.minimum(np.searchsorted(sent, c), len(sent) - 1)] != c
+                sent = np.union1d(sent, c[fresh]) if len(sent) < REMEMBERED else np.sort(c[fresh])
+                ends = lambda start, n: _slices(block.data, start[fresh], n[fresh], fresh)  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(pa.array(x.view(np.int64)) for x in (c, c2, textcore.span_hash(block.prefix, t, t + parser.key), second_hash(other, t, t + parser.key))),
+                        pa.array(tids[block.doc[own]]), pa.array(block.at[own].astype(np.int32)), pa.array((t - last).astype(np.int16)), pa.array(left.astype(np.int16)),
+                        ends(first, left), ends(t + parser.key, right),
+                    ],
+                    names=["c", "c2", "k", "k2", "tid", "t", "low", "high", "left", "right"],
+                )
 
     return run
 
 
-def _slices(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
-    at = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(data[textcore.take_ranges(start, length)])])
-
-
-def _record(hot, k, k2, tid, t, low, high, left, right) -> pa.RecordBatch:
-    n = len(k)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, hot)), pa.array(k.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(tid), pa.array(t.astype(np.int32)), pa.array(low.astype(np.int16)), pa.array(high.astype(np.int16)), left, right],
-        names=["hot", "k", "k2", "tid", "t", "low", "high", "left", "right"],
-    )
+def _slices(data: np.ndarray, start: np.ndarray, length: np.ndarray, there: np.ndarray) -> pa.Array:
+    """The byte ranges, at the rows that are there; null elsewhere."""
+    size = np.zeros(len(there), np.int64)
+    size[there] = length
+    at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    nulls = pa.py_buffer(np.packbits(there, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(there), [nulls, pa.py_buffer(at), pa.py_buffer(data[textcore.take_ranges(start, length)])])
 
 
 def _padded(column: pa.Array, width: int, at_end: bool) -> np.ndarray:
@@ -188,49 +234,54 @@ def _padded(column: pa.Array, width: int, at_end: bool) -> np.ndarray:
     return out
 
 
-def _order(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by (group, bytes), and the common prefix of each with the one before (-1: another group)."""
+def ranked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different rows in order, rank of each row)."""
     if rows.shape[1] == 0:
-        order = np.argsort(group, kind="stable")
-        return order, np.where(np.concatenate([[True], group[order][1:] != group[order][:-1]]), -1, 0)
-    both = np.concatenate([group.astype(">u4").view(np.uint8).reshape(-1, 4), rows], axis=1)
-    order = np.argsort(np.ascontiguousarray(both).view(f"S{both.shape[1]}").ravel(), kind="stable")
-    del both
-    same = rows[order[1:]] == rows[order[:-1]]
-    common = np.where(same.all(axis=1), rows.shape[1], same.argmin(axis=1))
-    common[group[order[1:]] != group[order[:-1]]] = -1
-    return order, np.concatenate([[-1], common])
+        return rows[:1], np.zeros(len(rows), np.int64)
+    _, first, rank = np.unique(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    return rows[first], rank
+
+
+def _order(group: np.ndarray, rank: np.ndarray, different: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by (group, rank), and the common prefix of each with the one before (-1: another group)."""
+    order = np.lexsort((rank, group))
+    g, r = group[order], rank[order]
+    common = np.full(len(order), -1, np.int64)
+    inner = np.flatnonzero(g[1:] == g[:-1]) + 1
+    same = different[r[inner]] == different[r[inner - 1]]
+    common[inner] = np.where(same.all(axis=1), different.shape[1], same.argmin(axis=1) if different.shape[1] else 0)
+    return order, common
 
 
-def repeated(group: np.ndarray, low: np.ndarray, high: np.ndarray, left: np.ndarray, right: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, d) of the strings that occur twice, among rows whose group tells equal continuations.
+def repeated(group: np.ndarray, low: np.ndarray, high: np.ndarray, left: np.ndarray, right: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, d) of the strings that two rows have, among rows whose group tells equal keys.
 
     Row r has the strings of low[r] <= d <= high[r]: the last d bytes of its phrase (``left``, reversed)
-    and its continuation (``right``) up to ``reach - 1 - d`` bytes beyond what the group has in common.
+    and its continuation (``right``) up to ``wide - d`` bytes beyond the key.
     """
-    by_left, common_left = _order(group, left)
-    by_right, common_right = _order(group, right)
+    phrases, phrase = ranked(left)
+    suffixes, suffix = ranked(right)
+    by_left, common_left = _order(group, phrase, phrases)
+    by_right, common_right = _order(group, suffix, suffixes)
     n = len(group)
     most = lambda order, common: _scatter(order, np.maximum(common, np.append(common[1:], -1)), n)
     far_left, far_right = most(by_left, common_left), most(by_right, common_right)
     # a string can repeat only if d bytes agree to the left and the rest to the right with some row
-    first, last = np.maximum(low, reach - 1 - far_right), np.minimum(high, far_left)
-    rows, ds = [], []
-    for d in range(reach):
-        live = np.flatnonzero((first <= d) & (d <= last))
+    first, last = np.maximum(low, wide - far_right), np.minimum(high, far_left)
+    rows, ds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    may = np.flatnonzero(first <= last)
+    for d in range(int(first[may].min()), int(last[may].max()) + 1) if len(may) else ():
+        live = may[(first[may] <= d) & (d <= last[may])]
         if len(live) < 2:
             continue
         a = _scatter(by_left, np.cumsum(common_left < d), n)[live]
-        b = _scatter(by_right, np.cumsum(common_right < reach - 1 - d), n)[live]
+        b = _scatter(by_right, np.cumsum(common_right < wide - d), n)[live]
         pair = a.astype(np.int64) * (n + 1) + b
         order = np.argsort(pair, kind="stable")
         same = pair[order[1:]] == pair[order[:-1]]
         twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        got = live[order[twice]]
-        rows.append(got)
-        ds.append(np.full(len(got), d))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        rows.append(live[order[twice]])
+        ds.append(np.full(int(twice.sum()), d))
     return np.concatenate(rows), np.concatenate(ds)
 
 
@@ -240,88 +291,138 @@ def _scatter(order: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+_FOUND = "c long, c2 long, low int, high int"
+
+
 def _match(parser: Parser):
-    """Of all triggers of a task (its groups are whole): runs of repeated string starts per text."""
+    """Of all contexts of a task (its ranges are whole): runs of d whose strings another context has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if len(b)]
         if not held:
             return
         table = pa.Table.from_batches(held).combine_chunks()
-        k, k2, tid, t, low, high = (table.column(c).to_numpy() for c in ("k", "k2", "tid", "t", "low", "high"))
-        order = np.lexsort((k2, k))
-        new = np.concatenate([[True], (k[order][1:] != k[order][:-1]) | (k2[order][1:] != k2[order][:-1])])
-        group = _scatter(order, np.cumsum(new), len(k))
-        size = np.bincount(group)[group]
-        own = np.flatnonzero(size > 1)
-        wide = parser.reach - 1
-        left = _padded(table.column("left").combine_chunks(), wide, True)[own]
-        right = _padded(table.column("right").combine_chunks(), wide, False)[own]
+        del held
+        c, c2, k, k2, low, high = (table.column(x).to_numpy() for x in ("c", "c2", "k", "k2", "low", "high"))
+        order = np.lexsort((c2, c, k2, k))
+        differ = lambda *cols: np.concatenate([[True], np.any([x[order][1:] != x[order][:-1] for x in cols], axis=0)])
+        own = order[differ(k, k2, c, c2)]  # several tasks may have sent one context
+        group = _scatter(order, np.cumsum(differ(k, k2)), len(k))[own]
+        own, group = own[np.bincount(group)[group] > 1], group[np.bincount(group)[group] > 1]
         if len(own) < 2:
             return
-        row, d = repeated(group[own], low[own].astype(np.int64), high[own].astype(np.int64), left, right, parser.reach)
-        start = t[own][row] - d
-        order = np.lexsort((start, tid[own][row]))
-        who, start = tid[own][row][order], start[order]
-        yield from _runs(who, start)
+        side = lambda name, width, at_end: _padded(table.column(name).combine_chunks().take(pa.array(own)), width, at_end)
+        row, d = repeated(group, low[own].astype(np.int64), high[own].astype(np.int64), side("left", parser.reach, True), side("right", parser.wide, False), parser.wide)
+        order = np.lexsort((d, row))
+        row, d = row[order], d[order]
+        if not len(row):
+            return
+        new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (d[1:] != d[:-1] + 1)]))
+        last = np.append(new[1:], len(row)) - 1
+        yield pa.RecordBatch.from_arrays([pa.array(c[own[row[new]]]), pa.array(c2[own[row[new]]]), pa.array(d[new].astype(np.int32)), pa.array(d[last].astype(np.int32))], names=["c", "c2", "low", "high"])
 
     return run
 
 
-def _runs(who: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Consecutive starts of one text as (tid, a, b); input sorted by both."""
-    if not len(who):
-        return
-    new = np.concatenate([[True], (who[1:] != who[:-1]) | (start[1:] > start[:-1] + 1)])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(who)) - 1
-    yield pa.RecordBatch.from_arrays([pa.array(who[first]), pa.array(start[first].astype(np.int32)), pa.array(start[last].astype(np.int32))], names=["tid", "a", "b"])
+def _cut_ranges(parser: Parser, rows: DataFrame, most: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """(contexts in ranges of at most ``most`` rows, runs of d found on the way) of contexts in large ranges.
+
+    Each round halves the d of a range. The strings of a half have in common the last d0 bytes of the phrase
+    and the first ``wide - d1`` bytes after the key: that is the half's own key. Contexts that agree in all
+    that their strings of this half hold are counted, and one of them goes on for the others.
+    """
+    rows = rows.select("c", "c2", "k", "k2", F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high"), "left", "right", F.lit(0).alias("d0"), F.lit(parser.reach - 1).alias("d1"))
+    small, found = None, None
+    plus = lambda a, b: b if a is None else a.unionByName(b)
+    suffix = lambda n: F.substring("left", F.octet_length("left") - n + 1, n)
+    while rows.head(1):
+        middle = F.floor((F.col("d0") + F.col("d1")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("d0").alias("x"), middle.alias("y")), F.struct((middle + 1).alias("x"), F.col("d1").alias("y")))
+        rows = rows.withColumn("half", F.explode(halves)).withColumn("d0", F.col("half.x")).withColumn("d1", F.col("half.y")).drop("half").where("d0 <= d1 and d0 <= high and d1 >= low")
+        rows = rows.withColumn("low", F.greatest("low", "d0")).withColumn("high", F.least("high", "d1"))
+        common = [suffix(F.col("d0")), F.substring("right", F.lit(1), F.lit(parser.wide) - F.col("d1"))]
+        whole = [suffix(F.col("high")), F.substring("right", F.lit(1), F.lit(parser.wide) - F.col("low")), "low", "high"]
+        rows = rows.withColumns({f"q{s or ''}": F.xxhash64(F.lit(s), "k", "k2", "d0", *common) for s in (0, 2)} | {f"p{s or ''}": F.xxhash64(F.lit(s), "k", "k2", "d0", *whole) for s in (0, 2)})
+        rows = written(rows, "halves")
+        contents = rows.groupBy("q", "q2", "p", "p2").agg(F.count("*").alias("n"), F.min(F.struct("c", "c2")).alias("one"))
+        contents = written(contents, "contents")
+        sizes = contents.groupBy("q", "q2").agg(F.count("*").alias("m"))
+        found = plus(found, rows.join(contents.where("n > 1").select("p", "p2"), ["p", "p2"]).select("c", "c2", "low", "high"))
+        left = contents.join(sizes.where("m > 1"), ["q", "q2"]).select("p", "p2", F.col("one.c").alias("c"), F.col("one.c2").alias("c2"), "m")
+        left = rows.join(left, ["p", "p2", "c", "c2"]).select(F.col("q").alias("k"), F.col("q2").alias("k2"), "c", "c2", "low", "high", "left", "right", "d0", "d1", "m")
+        left = written(left, "ranges")
+        small = plus(small, left.where(F.col("m") <= most).drop("m", "d0", "d1"))
+        rows = left.where(F.col("m") > most).drop("m")
+    return small, found
 
 
 def _merge_spans(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for spans in batch.column(1).to_pylist():
-                merged: list[list[int]] = []
-                for a, b in sorted((s["a"], s["b"] + length) for s in spans):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                out.append(np.array(merged, "<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["tid", "spans"])
+            lists = batch.column(1)
+            runs = lists.flatten()
+            row = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+            a, b = runs.field("a").to_numpy().astype(np.int64), runs.field("b").to_numpy().astype(np.int64) + length
+            order = np.lexsort((a, row))
+            row, a, b = row[order], a[order] + (row[order] << 33), b[order] + (row[order] << 33)
+            reach = np.maximum.accumulate(b)
+            new = np.concatenate([[True], (a[1:] > reach[:-1]) | (row[1:] != row[:-1])])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(row)) - 1
+            own = row[first]
+            pairs = np.stack([a[first] - (own << 33), reach[last] - (own << 33)], axis=1).astype("<i4")
+            yield pa.RecordBatch.from_arrays([batch.column(0), _binary(pairs.tobytes(), 8 * np.searchsorted(own, np.arange(len(batch) + 1)))], names=["tid", "spans"])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id", hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, texts, spans): rows has a row per document (digest, key, n_bytes); texts one per different
-    text (tid, digest, key of one holder, n_bytes, copies); spans the removed runs of texts (tid, spans as
-    pairs of little-endian 32-bit integers), without those that go as a whole for having copies."""
+def _at(column: str = "key") -> Column:
+    """The key for joins; null counts as the least number."""
+    return F.coalesce(column, F.lit(-(2**63)))
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id", most: int = RANGE_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, texts, spans): rows has a row per document (digest, key, n_bytes, n_chars); texts one per
+    different text (tid, digest, key of one holder, n_bytes, copies, elsewhere: whether a stretch of ``KEY``
+    bytes at a trigger stands in another text too); spans the removed runs of texts (tid, spans as pairs of
+    little-endian 32-bit integers), without those that go as a whole for having copies."""
     bounded_batches(docs.sparkSession)
-    parser = Parser(length, min(REACH, max(2, length * 2 // 5)), min(GRAM, max(1, length // 8)))
-    source = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = written(source.mapInArrow(_scan(parser), "digest binary, key long, n_bytes long, keys binary"), "parsed")
+    parser = Parser(length)
+    source = _source(docs, text, key)
+    rows = written(source.mapInArrow(_scan(parser), "digest binary, key long, n_bytes long, n_chars long, keys binary"), "parsed")
     texts = rows.groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("keys").alias("keys"))
     texts = written(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
 
     triggers = texts.where(F.octet_length("keys") > 0).select("tid", "keys").mapInArrow(_explode, "k long, tid long, idx int")
-    twice = written(triggers.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "repeated")  # a plain scan, so that Spark can split a skewed join with it
-    wanted = triggers.join(twice, "k").groupBy("tid").agg(F.collect_list(F.when(F.col("n") <= hot, F.col("idx"))).alias("cold"), F.collect_list(F.when(F.col("n") > hot, F.col("idx"))).alias("hot"))
-    wanted = wanted.join(texts.select("tid", "digest", "key"), "tid")
-    full = source.withColumn("digest", F.unhex(F.sha2("text", 256)))
-    full = full.join(wanted.withColumnRenamed("key", "holder"), "digest").where(F.col("key").eqNullSafe(F.col("holder")))
-    records = written(full.select("tid", "text", "cold", "hot").mapInArrow(_contexts(parser), _RECORD), "contexts")
-
-    cold, hot_rows = records.where("not hot"), records.where("hot")
-    n = cold.count()
-    tasks = max(1, -(-n // TASK_ROWS))
-    found = cold.repartition(tasks, "k").mapInArrow(_match(parser), "tid long, a int, b int")
-    more = hot_rows.groupBy("k", "k2").agg(F.count("*").alias("n")).where("n > 1")
-    found = found.unionByName(hot_rows.select("k", "k2", "tid", "t").join(more, ["k", "k2"]).select("tid", F.col("t").alias("a"), F.col("t").alias("b")))
-    spans = found.groupBy("tid").agg(F.collect_list(F.struct("a", "b")).alias("s")).mapInArrow(_merge_spans(length), "tid long, spans binary")
-    return rows.drop("keys"), texts.drop("keys"), spans
+    twice = triggers.groupBy("k").agg(F.count("*").alias("n"), (F.min("tid") < F.max("tid")).alias("elsewhere")).where("n > 1").select("k", "elsewhere")
+    twice = written(twice, "repeated")  # a plain scan, so that Spark can split a skewed join with it
+    wanted = written(triggers.join(twice, "k").groupBy("tid").agg(F.collect_list("idx").alias("idx"), F.max("elsewhere").alias("elsewhere")), "wanted")
+    holders = wanted.select("tid", "idx").join(texts.select("tid", "digest", _at().alias("at")), "tid")
+    # by key and digest, so that copies of one text don't meet
+    full = source.select("text", _at().alias("at"), F.unhex(F.sha2("text", 256)).alias("digest")).join(holders, ["digest", "at"])
+    records = written(full.select("tid", "text", "idx").mapInArrow(_contexts(parser), _RECORD), "contexts")
+
+    seen = written(records.groupBy("k", "k2", "c", "c2").agg(F.count("*").alias("n")), "counts")
+    large = written(seen.groupBy("k", "k2").agg(F.count("*").alias("m")).where(F.col("m") > most).select("k", "k2"), "large")
+    found = seen.where("n > 1").select("c", "c2", F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"))
+    bodies = records.where("left is not null").select("c", "c2", "k", "k2", "low", "high", "left", "right")
+    if large.head(1):
+        big = bodies.join(large, ["k", "k2"], "left_semi").dropDuplicates(["c", "c2"])
+        bodies = bodies.join(large, ["k", "k2"], "left_anti")
+        small, more = _cut_ranges(parser, big, most)
+        bodies = bodies.unionByName(small)
+        found = found.unionByName(more)
+    tasks = max(1, -(-bodies.count() // TASK_ROWS))
+    found = found.unionByName(bodies.repartition(tasks, "k").mapInArrow(_match(parser), _FOUND))
+    hits = records.select("c", "c2", "tid", "t", F.col("low").alias("least"), F.col("high").alias("largest")).join(written(found, "found"), ["c", "c2"])
+    runs = hits.select("tid", F.struct((F.col("t") - F.coalesce("high", "largest")).alias("a"), (F.col("t") - F.coalesce("low", "least")).alias("b")).alias("s"))
+    spans = runs.groupBy("tid").agg(F.collect_list("s").alias("s")).mapInArrow(_merge_spans(length), "tid long, spans binary")
+    texts = texts.drop("keys").join(wanted.select("tid", "elsewhere"), "tid", "left")
+    return rows.drop("keys"), texts, spans
+
+
+def _source(docs: DataFrame, text: str, key: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
 def _cut(text: bytes, spans: bytes) -> bytes:
@@ -335,22 +436,30 @@ def _digest_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, spans = batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()
         kept = [_cut(t, s) for t, s in zip(texts, spans, strict=True)]
+        numbers = [len(t) - len(k) for t, k in zip(texts, kept, strict=True)], [len(s) // 8 for s in spans], [len(k.decode("utf-8", "ignore")) for k in kept]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(t) - len(k) for t, k in zip(texts, kept, strict=True)], pa.int64()), pa.array([len(s) // 8 for s in spans], pa.int64()), pa.array([hashlib.sha256(k).digest() for k in kept], pa.binary())],
-            names=["digest", "n_removed", "n_spans", "kept"],
+            [batch.column(0), *(pa.array(x, pa.int64()) for x in numbers), pa.array([hashlib.sha256(k).digest() for k in kept], pa.binary())],
+            names=["digest", "n_removed", "n_spans", "kept_chars", "kept"],
         )
 
 
 def removal_digests(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    """key, n_bytes, n_removed, n_spans, kept_sha256 of every document; then n_chars (whole characters of
+    what is kept) and repeats_elsewhere (bytes were removed, or a stretch of ``KEY`` bytes at a trigger, which
+    may be shorter than what is removed, stands in another text too)."""
     rows, texts, spans = repeated_spans(docs, length, text, key)
-    partial = texts.where((F.col("copies") == 1) & (F.col("n_bytes") >= length)).select("tid", "digest").join(spans, "tid")
-    source = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    cut = source.join(partial, "digest").select("digest", "text", "spans").mapInArrow(_digest_cut, "digest binary, n_removed long, n_spans long, kept binary")
-    whole = texts.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("digest", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.unhex(F.sha2(F.lit(""), 256)).alias("kept"))
-    out = rows.join(cut.unionByName(whole), "digest", "left")
+    enough = F.col("n_bytes") >= length
+    partial = texts.where((F.col("copies") == 1) & enough).select("tid", "digest", _at().alias("at")).join(spans, "tid").drop("tid")
+    source = _source(docs, text, key).select("text", _at().alias("at"), F.unhex(F.sha2("text", 256)).alias("digest"))
+    cut = source.join(partial, ["digest", "at"]).select("digest", "text", "spans").mapInArrow(_digest_cut, "digest binary, n_removed long, n_spans long, kept_chars long, kept binary")
     zero = F.lit(0).cast("long")
-    return out.select(F.col("key").alias(key), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.lower(F.hex(F.coalesce("kept", "digest"))).alias("kept_sha256"))
+    whole = texts.where((F.col("copies") > 1) & enough).select("digest", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), zero.alias("kept_chars"), F.unhex(F.sha2(F.lit(""), 256)).alias("kept"))
+    near = texts.where("elsewhere").select("digest", F.lit(True).alias("elsewhere"))
+    out = rows.join(cut.unionByName(whole).join(near, "digest", "full"), "digest", "left")
+    return out.select(
+        F.col("key").alias(key), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.lower(F.hex(F.coalesce("kept", "digest"))).alias("kept_sha256"),
+        F.coalesce("kept_chars", "n_chars").alias("n_chars"), (F.coalesce("elsewhere", F.lit(False)) | F.coalesce(F.col("n_removed") > 0, F.lit(False))).alias("repeats_elsewhere"),
+    )
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -360,7 +469,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
     document of which nothing but white space is left goes; one that was so before stays.
     """
     _, texts, spans = repeated_spans(docs, length, text, key)
-    partial = texts.where((F.col("copies") == 1) & (F.col("n_bytes") >= length)).select("tid", "digest").join(spans, "tid").select("digest", "spans")
+    partial = texts.where((F.col("copies") == 1) & (F.col("n_bytes") >= length)).join(spans, "tid").select("digest", "spans")
     whole = texts.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("digest", F.lit(b"").alias("spans"))
     digest, cut = free_names(docs, "digest", "spans")
     marked = docs.withColumn(digest, F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)))

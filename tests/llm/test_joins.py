@@ -144,8 +144,8 @@ def cut_plain(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "hot"), [(24, 3), (40, 1000)])
-def test_repeats(spark, monkeypatch, length, hot):
+@pytest.mark.parametrize(("length", "most"), [(24, 1), (70, 1000), (400, 2)])
+def test_repeats(spark, monkeypatch, length, most):
     draw = random.Random(length)
     texts = ["".join(draw.choice("abé ") for _ in range(draw.randint(0, 300))) for _ in range(60)]
     texts += ["ab" * 100, "a" * 150, "", None, "x" * (length - 1), texts[3], texts[3], "q" + "z" * 20_000]
@@ -153,11 +153,17 @@ def test_repeats(spark, monkeypatch, length, hot):
         x, y = draw.choice(texts) or "", draw.choice(texts) or ""
         i = draw.randint(0, min(len(x), 300))
         texts.append((x[:i] + y[i // 2 : i // 2 + 400] + x[i : i + 400]))
+    passage = "".join(draw.choice("abcdé ") for _ in range(900))  # one range with many contexts on either side
+    texts += [texts[k] + passage + "".join(draw.choice("abé ") for _ in range(30)) for k in range(40)]
+    long = "".join(draw.choice("abcdefghijkl ") for _ in range(300_000))  # read in pieces
+    texts += [long, "!" + long[250_000:290_000]]
     real = suffixdedup.repeated_spans
-    monkeypatch.setattr(suffixdedup, "repeated_spans", lambda *a: real(*a, hot=hot))
+    monkeypatch.setattr(suffixdedup, "repeated_spans", lambda *a: real(*a, most=most))
     df = spark.createDataFrame([(k if k % 17 else None, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, spans int")
-    got = sorted(tuple(r)[1:] for r in suffixdedup.removal_digests(df, length).collect())
-    assert got == sorted(cut_plain([(t or "").encode() for t in texts], length))
+    rows = suffixdedup.removal_digests(df, length).collect()
+    assert sorted(tuple(r)[1:5] for r in rows) == sorted(cut_plain([(t or "").encode() for t in texts], length))
+    assert all(r.repeats_elsewhere or not r.n_removed for r in rows)
+    assert all(r.n_chars == len(texts[r.doc_id] or "") for r in rows if r.doc_id is not None and not r.n_removed)
     left = suffixdedup.remove_repeats(df, length)
     assert left.columns == df.columns and left.where("text is null").count() == 1
     assert suffixdedup.removal_digests(df.limit(0), length).count() == 0
