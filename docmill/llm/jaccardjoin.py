@@ -389,9 +389,9 @@ def linked_components(docs: DataFrame, size: int = SIZE, text: str = "text", key
 
     rows = written(source.mapInArrow(_signatures(classes, size), "key long, h long, digest binary, n int, prefix binary, bitmap binary").withColumn("rid", F.monotonically_increasing_id()), "signatures")
     sets = written(rows.where("n > 0").groupBy("digest").agg(F.min("rid").alias("tid"), F.min("n").alias("n")), "sets")
-    own = _first_rows(rows, sets)
-
-    postings = own.select("tid", "prefix").mapInArrow(_explode, "token long, tid long")
+    # written, since a stage with several Python steps in a row has as many workers at once
+    own = written(_first_rows(rows, sets), "first-rows")
+    postings = written(own.select("tid", "prefix").mapInArrow(_explode, "token long, tid long"), "postings")
     shared = written(postings.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "shared")
     some = may_pass(postings, "token", hash_filter(shared, "token")).join(shared, "token")
     name = [F.expr(f"bit_xor(xxhash64(tid, {k}))").alias(f"g{k}") for k in (1, 2)]

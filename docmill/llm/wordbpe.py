@@ -17,7 +17,7 @@ import pyarrow as pa
 from docmill.llm import textcore
 
 #: Distinct units that a worker keeps; when full it starts anew. Bounds memory, changes no result.
-CACHE_UNITS = 800_000
+CACHE_UNITS = 300_000
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
