@@ -42,7 +42,7 @@ ROUNDS = 2
 STRIDE = ROUNDS
 BATCH = 2048
 RATE = 0.1
-STEP = 1 << 20
+STEP = 1 << 19
 #: Places of the parameters that are averaged as one row.
 BLOCK = 1 << 13
 

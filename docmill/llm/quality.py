@@ -37,7 +37,7 @@ CHUNK_BAND = (0.32, 0.75)
 CHUNK_SHARE = 0.25
 LEVEL = 3
 #: Bytes of text that one vectorised step handles.
-STEP = 1 << 20
+STEP = 1 << 19
 
 
 def _repeats(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ def _return_freed_memory() -> None:
 _return_freed_memory()
 
 #: Bytes of text that one vectorised step handles; bounds a worker's memory whatever the batch holds.
-STEP_BYTES = 3 << 20
+STEP_BYTES = 1 << 20
 
 SPACE, LETTER, DIGIT, PUNCT, APOSTROPHE, OTHER = range(6)
 

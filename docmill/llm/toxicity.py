@@ -40,7 +40,7 @@ MIN_SHARE, MIN_ROWS, MIN_ODDS = 0.05, 5, 2.0
 #: Expected severity from which a document is rejected.
 REJECT = 0.2
 STEPS = 400
-STEP = 1 << 20
+STEP = 1 << 19
 _EDGE = np.zeros(256, bool)
 _EDGE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
