@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
@@ -27,6 +27,7 @@ DEFAULT_CODE_PATTERNS = (
 )
 
 
+# The default budgets, number of hits, cutoff and base score.
 @dataclass(frozen=True)
 class ChunkingConfig:
     max_chars: int = 1200
@@ -42,12 +43,5 @@ class RetrievalConfig:
     code_base_score: float = 1.0
 
 
-@dataclass(frozen=True)
-class Config:
-    chunking: ChunkingConfig = field(default_factory=ChunkingConfig)
-    retrieval: RetrievalConfig = field(default_factory=RetrievalConfig)
-    code_patterns: tuple[CodePattern, ...] = DEFAULT_CODE_PATTERNS
-
-
-#: The sentence that says that nothing was found; also what a model is told to answer then.
+# Fixed value: the sentence that says that nothing was found; also what a model is told to answer then.
 NOT_FOUND = "I could not find an answer to that in the provided documents."

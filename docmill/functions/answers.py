@@ -15,7 +15,8 @@ FENCE = r"(?i)^\s*```(?:json)?\s*|\s*```\s*$"
 ENUMERATOR = r"^\s*(?:\d+[.)]|[-*•])\s+"
 SLACK = 30
 FALLBACK = 3
-REPLY = "found boolean, answer string, steps array<string>, used array<string>"
+#: JSON values that count as not found.
+FALSY = ("null", "false", '""', "[]", "{}")
 
 
 def strip_markers(c: Column) -> Column:
@@ -53,16 +54,45 @@ def clean_step(c: Column) -> Column:
     return strip(F.regexp_replace(strip(c), ENUMERATOR, ""))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _object(c: Column) -> Column:
+    """The variant of a text that is one JSON object and nothing else, else null."""
+    # within brackets, text beyond the object is an error or a second element
+    alone = lambda v: F.when(F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant"))
+    return F.when(c.startswith("{"), _let(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), alone))
+
+
+def _spoken(v: Column) -> Column:
+    """A list's element as text."""
+    kind = F.schema_of_variant(v)
+    return F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind == "BOOLEAN", F.initcap(F.to_json(v))).when(kind == "VOID", "None").otherwise(F.to_json(v))
+
+
+def _fields(got: Column, offered: Column) -> Column:
+    found = F.to_json(F.try_variant_get(got, "$.found", "variant"))
+    no = found.isin(*FALSY) | F.coalesce(found.try_cast("double") == 0, F.lit(False))
+    listed = lambda name: F.coalesce(F.try_variant_get(got, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
+    steps = F.filter(F.transform(listed("steps"), lambda s: clean_step(_spoken(s))), lambda s: s != "")
+    texts = F.filter(listed("used"), lambda u: F.schema_of_variant(u) == "STRING")
+    used = F.filter(F.transform(texts, lambda u: F.regexp_replace(strip(F.try_variant_get(u, "$", "string")), r"^[\[\]]+|[\[\]]+$", "")), lambda u: F.array_contains(offered, u))
+    answer = F.when(F.schema_of_variant(F.try_variant_get(got, "$.answer", "variant")) == "STRING", strip(F.try_variant_get(got, "$.answer", "string")))
+    return F.struct((~F.coalesce(no, F.lit(False))).alias("found"), F.coalesce(answer, F.lit("")).alias("answer"), steps.alias("steps"), used.alias("used"))
+
+
 def parse_structured(reply: Column, offered: Column) -> Column:
-    """struct<found,answer,steps,used> of a JSON reply, fenced or within prose; null if there is none."""
+    """struct<found,answer,steps,used> of a JSON reply, fenced or within prose; null if there is none.
+
+    A value of ``found`` counts as it does in a condition, and a missing one as true; an answer that is no
+    text is empty; steps that are no text are written out; ``used`` keeps offered ids that are texts, each
+    as often as it is named.
+    """
     bare = strip(F.regexp_replace(reply, FENCE, ""))
-    inner = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
-    whole = F.when(F.try_parse_json(bare).isNotNull() & bare.startswith("{"), bare).when(F.try_parse_json(inner).isNotNull() & (inner != ""), inner)
-    got = F.from_json(whole, REPLY)
-    steps = F.filter(F.transform(F.coalesce(got["steps"], F.array()), clean_step), lambda s: s != "")
-    used = F.array_intersect(F.transform(F.coalesce(got["used"], F.array()), lambda u: F.regexp_replace(strip(u), r"^\[+|\]+$", "")), offered)
-    made = F.struct(F.coalesce(got["found"], F.lit(True)).alias("found"), strip(F.coalesce(got["answer"], F.lit(""))).alias("answer"), steps.alias("steps"), used.alias("used"))
-    return F.when(whole.isNotNull(), made)
+    got = _let(bare, lambda b: F.coalesce(_object(b), _object(F.regexp_extract(b, r"(?s)\{.*\}", 0))))
+    return _let(got, lambda v: F.when(v.isNotNull(), _fields(v, offered)))
 
 
 def render_structured(answer: Column, steps: Column) -> Column:

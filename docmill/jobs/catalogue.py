@@ -16,17 +16,14 @@ from docmill.functions import text as T
 from docmill.operators import blocks as B
 from docmill.operators import chunking, evaluate, lifecycle, prompts, retrieval
 from docmill.sources.documents import base_name
+from docmill.sources.tables import read_table
 
 SEARCH = RetrievalConfig(top_k=6, min_score=0.25)
 RULES = tuple(r for r in DEFAULT_CODE_PATTERNS if r.name in ("alarm", "stop", "part"))
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _vectors(spark, sf_dir):
-    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
 
 
 def _asked(rows: DataFrame) -> DataFrame:
@@ -59,7 +56,7 @@ def _vector_codes(rows: DataFrame) -> DataFrame:
 
 
 def _hybrid(spark, sf_dir):
-    table = _table(spark, sf_dir, "embeddings")
+    table = read_table(spark, sf_dir, "embeddings")
     v = _vectors(spark, sf_dir)
     index = _vector_codes(table)
     asked = index.where(F.col("chunk_id") % 50 == 0).select(F.col("chunk_id").alias("query_id"), "value")
@@ -86,7 +83,7 @@ def hybrid_match_mix(spark, sf_dir):
 
 def eval_rates(spark, sf_dir):
     """Queries are graded by whether a hit shares their label; the label is the expected code."""
-    table = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    table = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
     v = _vectors(spark, sf_dir)
     hits = retrieval.semantic(_asked(v), v, SEARCH).join(table.toDF("chunk_id", "hit_label"), "chunk_id")
     own = hits.groupBy("query_id").agg(F.collect_set(F.col("hit_label").cast("string")).alias("codes"), F.collect_set((F.col("chunk_id") % 10).cast("int")).alias("pages"))
@@ -115,7 +112,7 @@ select round(count(*) filter (found = should_find) / count(*), 6) as found_accur
 def _coded(spark, sf_dir):
     """Documents with identifiers put before their text."""
     made = F.concat(F.lit("ALARM "), F.col("doc_id") % 500, F.lit("; STOP CODE "), F.col("doc_id") % 90, F.lit(", part no. AB-"), F.col("doc_id"), F.lit("-"), F.col("n_chars"), F.lit(" : "), F.coalesce("text", F.lit("")))
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), codes.extract(made, RULES).alias("codes"))
+    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), codes.extract(made, RULES).alias("codes"))
 
 
 def code_postings(spark, sf_dir):
@@ -133,7 +130,7 @@ _POSTINGS = f"""(select distinct doc_id, unnest(
 
 def _query_codes(spark, sf_dir):
     """Of every document divisible by 50, the code of its alarm, and one that no document has."""
-    asked = _table(spark, sf_dir, "documents").where(F.col("doc_id") % 50 == 0)
+    asked = read_table(spark, sf_dir, "documents").where(F.col("doc_id") % 50 == 0)
     question = F.concat(F.lit("what is alarm "), F.col("doc_id") % 500, F.lit(" or stop 9999?"))
     return asked.select(F.col("doc_id").alias("query_id"), F.explode(codes.extract(question, RULES)["value"]).alias("value"))
 
@@ -148,7 +145,7 @@ def resolved_codes(spark, sf_dir):
 
 
 def _document_lines(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return B.page_lines(docs.withColumn("page", F.lit(1)), "doc_id", "source")
 
 
@@ -214,18 +211,18 @@ select doc_id, g::bigint as chunk_group, count(*) as lines, sum(n)::bigint as ch
 
 
 def chunk_ids(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
+    docs = read_table(spark, sf_dir, "documents")
     return docs.select("doc_id", chunking.chunk_id(F.col("doc_id"), F.lit(0), F.lit(1), F.coalesce("text", F.lit(""))).alias("chunk_id"))
 
 
 def content_hashes(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
+    docs = read_table(spark, sf_dir, "documents")
     return docs.select("doc_id", chunking.content_hash(F.coalesce("text", F.lit("")).cast("binary")).alias("content_hash"))
 
 
 def _source_pages(spark, sf_dir):
     """A source as a document and each of its documents as a page."""
-    docs = _table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page"), "text")
+    docs = read_table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page"), "text")
     return B.page_lines(docs, "source")
 
 
@@ -248,7 +245,7 @@ def header_strip(spark, sf_dir):
 
 def _registry(spark, sf_dir):
     """What an index would hold: documents not divisible by 7; of those divisible by 10 an older text."""
-    docs = _table(spark, sf_dir, "documents").withColumn("source_path", F.concat(F.col("source"), F.lit("/"), F.col("doc_id"), F.lit(".txt")))
+    docs = read_table(spark, sf_dir, "documents").withColumn("source_path", F.concat(F.col("source"), F.lit("/"), F.col("doc_id"), F.lit(".txt")))
     old = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("old "), F.coalesce("text", F.lit("")))).otherwise(F.coalesce("text", F.lit("")))
     listing = docs.select("source_path", chunking.content_hash(F.coalesce("text", F.lit("")).cast("binary")).alias("content_hash"))
     return listing, docs.where("doc_id % 7 <> 0").select("source_path", chunking.content_hash(old.cast("binary")).alias("content_hash"))
@@ -261,20 +258,20 @@ def update_diff(spark, sf_dir):
 
 def remove_match(spark, sf_dir):
     """Pages whose path or base name is that of a page divisible by 50."""
-    pages = _table(spark, sf_dir, "pages").select(F.col("url").alias("source_path"), "page_id")
+    pages = read_table(spark, sf_dir, "pages").select(F.col("url").alias("source_path"), "page_id")
     names = pages.where("page_id % 50 = 0").select(base_name(F.col("source_path")).alias("target")).where("target <> ''").distinct()
     hit = pages.withColumn("name", base_name(F.col("source_path"))).join(names, F.col("name") == F.col("target"), "left_semi")
     return hit.select("page_id", "source_path")
 
 
 def index_info(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
+    docs = read_table(spark, sf_dir, "documents")
     return lifecycle.info(docs.select(F.col("source").alias("source_path")))
 
 
 def prompt_render(spark, sf_dir):
     """Every conversation's first turn asks; its other turns are the passages."""
-    turns = _table(spark, sf_dir, "conversations")
+    turns = read_table(spark, sf_dir, "conversations")
     first = W.partitionBy("conv_id").orderBy("turn")
     rows = turns.select("conv_id", "turn", "text", "role", F.first("text").over(first).alias("question"), F.row_number().over(first).alias("rank"))
     none = F.array().cast("array<string>")
@@ -290,7 +287,7 @@ from (select *, first_value(text) over (partition by conv_id order by turn) as q
 
 def _replies(spark, sf_dir):
     """Replies over the documents' text: some cite passages, some are or hold the not-found sentence."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = read_table(spark, sf_dir, "documents")
     own = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 16)
     other = F.substring(F.md5((F.col("doc_id") + 1).cast("string")), 1, 16)
     said = (
@@ -338,7 +335,7 @@ _NOT_FOUND = rf"""select doc_id, core = t or (contains(core, t) and length(core)
 
 def structured_parse(spark, sf_dir):
     """JSON replies made of the events' properties: plain, fenced, within prose, or broken."""
-    events = _table(spark, sf_dir, "events")
+    events = read_table(spark, sf_dir, "events")
     body = F.concat(F.lit('{"found": '), (F.col("event_id") % 3 != 0).cast("string"), F.lit(', "answer": " value '), F.col("event_id"), F.lit(' ", "steps": ["1. '), F.col("event_type"), F.lit('", "- ", "go"], "used": ["['), F.col("user_id"), F.lit(']", "x"]}'))
     kind = F.col("event_id") % 4
     reply = F.when(kind == 0, body).when(kind == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("Here: "), body, F.lit(" done"))).otherwise("no reply")
@@ -354,12 +351,13 @@ _STRUCTURED = """select event_id, event_id % 4 <> 3 as parsed, case when event_i
 
 def referenced_codes(spark, sf_dir):
     """Each source's codes in order of its documents, unless the source's number is even: then its own."""
-    rows = _table(spark, sf_dir, "documents").select("doc_id", "source")
-    made = rows.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", F.array(F.concat(F.lit("AL-"), F.col("doc_id") % 40), F.concat(F.lit("SC-"), F.col("doc_id") % 30)).alias("codes")))).alias("own"))
+    rows = read_table(spark, sf_dir, "documents").select("source", "doc_id", F.posexplode(F.array(F.concat(F.lit("AL-"), F.col("doc_id") % 40), F.concat(F.lit("SC-"), F.col("doc_id") % 30))).alias("at", "code"))
+    # a source may hold a third of all rows: each code's first place is kept before anything is gathered
+    first = rows.groupBy("source", "code").agg(F.min(F.struct("doc_id", "at")).alias("place"))
+    made = first.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("place", "code")))["code"].alias("own"))
     number = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
-    own = F.when(number % 2 == 0, F.array(F.concat(F.lit("SRC-"), number))).otherwise(F.array().cast("array<string>"))
-    named = prompts.referenced_codes(own, F.transform("own", lambda x: x["codes"]))
-    return made.select("source", F.array_join(named, ",").alias("codes"))
+    resolved = F.when(number % 2 == 0, F.array(F.concat(F.lit("SRC-"), number))).otherwise(F.array().cast("array<string>"))
+    return made.select("source", F.array_join(prompts.referenced_codes(resolved, F.array("own")), ",").alias("codes"))
 
 
 _REFERENCED = """select source, case when regexp_extract(source, '(\\d+)$', 1)::int % 2 = 0 then 'SRC-' || regexp_extract(source, '(\\d+)$', 1)::int
@@ -369,7 +367,7 @@ _REFERENCED = """select source, case when regexp_extract(source, '(\\d+)$', 1)::
 
 def provenance_dedup(spark, sf_dir):
     """The first page of each host and language folder."""
-    pages = _table(spark, sf_dir, "pages")
+    pages = read_table(spark, sf_dir, "pages")
     place = F.regexp_extract("url", r"^https?://([^/]+)", 1)
     section = F.regexp_extract("url", r"^https?://[^/]+/([^/?#]*)", 1)
     w = W.partitionBy("host", "section").orderBy("page_id")

@@ -1,8 +1,14 @@
 """A versioned index of Parquet tables, updated by content hash.
 
-An index is a folder of versions; a version holds ``chunks``, ``vectors``, ``registry`` and ``meta``. A
-change writes a whole new version and then its marker, so readers see the old or the new one, and a failed
-job leaves the old in place.
+An index is a folder of versions and segments. A segment holds the chunks and vectors of the documents that
+one change brought; a version's registry names each document's segment, so a change writes its own rows
+and the registry (a row a document) and leaves all other segments alone. A document that was refreshed or
+removed is in no registry row, which takes its old rows out. From ``MOST_SEGMENTS`` on, the live rows are
+written together once.
+
+A version counts when its marker is there: readers see the old or the new one, and a failed job leaves the
+old in place. Two writers can't take one number, and who ends after another one had begun from the same
+version fails with ``ConcurrentChange`` instead of losing that one's work.
 """
 
 from __future__ import annotations
@@ -12,15 +18,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.sources.documents import base_name
+from docmill.sources.documents import base_name, stem
 
-TABLES = ("chunks", "vectors", "registry", "meta")
+MOST_SEGMENTS = 8
+_REGISTRY = "source_path string, content_hash string, chunk_count long, document_id string, title string, segment int"
+_META = "embedding_model string, vector_dim int, created_at string, updated_at string, total_documents long, total_chunks long, segments array<int>"
 
 
 class ModelMismatch(ValueError):
     """The index was built with another embedding model."""
 
 
+class NoIndex(ValueError):
+    """There is no index at the path."""
+
+
+class ConcurrentChange(RuntimeError):
+    """Another writer changed the index meanwhile; nothing of this change is visible."""
+
+
 def actions(listing: DataFrame, registry: DataFrame) -> DataFrame:
     """(source_path, content_hash, action): added, refreshed or skipped. Registered paths that are not
     listed are untouched and not in the result."""
@@ -49,66 +65,156 @@ def removal(registry: DataFrame, targets: DataFrame) -> DataFrame:
     return exact.union(same).union(ends.join(loose, "target", "left_semi").select("source_path")).distinct()
 
 
-def _latest(spark: SparkSession, path: str) -> int:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(at):
-        return 0
-    names = [f.getPath().getName() for f in fs.listStatus(at)]
-    return max((int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/DONE"))), default=0)
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def load(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
-    """The tables of the latest whole version, or None."""
-    version = _latest(spark, path)
-    return {t: spark.read.parquet(f"{path}/v{version}/{t}") for t in TABLES} if version else None
+def _versions(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(latest whole version, highest number taken)."""
+    at, fs = _files(spark, path)
+    if not fs.exists(at):
+        return 0, 0
+    numbers = [int(n[1:]) for n in (f.getPath().getName() for f in fs.listStatus(at)) if n[:1] == "v" and n[1:].isdigit()]
+    whole = [n for n in numbers if fs.exists(_files(spark, f"{path}/v{n}/DONE")[0])]
+    return max(whole, default=0), max(numbers, default=0)
+
+
+class _Change:
+    """A version being written: its number, the version it starts from, and its tables."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.base, highest = _versions(spark, path)
+        self.number = highest + 1
+        self.meta = spark.read.parquet(f"{path}/v{self.base}/meta").first() if self.base else None
+        at, fs = _files(spark, f"{path}/v{self.number}/CLAIM")
+        try:
+            taken = fs.createNewFile(at)
+        except spark.sparkContext._gateway.jvm.Exception:  # pragma: no cover - the file system's own refusal
+            taken = False
+        if not taken:
+            raise ConcurrentChange(f"another writer has taken version {self.number}")
+
+    def write(self, rows: DataFrame, name: str) -> DataFrame:
+        """The rows, stored in this version (or, for chunks and vectors, its segment) and read from there."""
+        at = f"{self.path}/segments/s{self.number}/{name}" if name in ("chunks", "vectors") else f"{self.path}/v{self.number}/{name}"
+        rows.write.mode("overwrite").parquet(at)
+        return self.spark.read.schema(rows.schema).parquet(at)
+
+    def finish(self, registry: DataFrame, model: str, vector_dim: int | None, now: str, segments: list[int]) -> None:
+        registry = self.write(registry, "registry")
+        totals = registry.agg(F.count("*").alias("d"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("c")).first()
+        created = (self.meta["created_at"] if self.meta else "") or now
+        self.write(self.spark.createDataFrame([(model, vector_dim, created, now, totals["d"], totals["c"], segments)], _META), "meta")
+        if _versions(self.spark, self.path)[0] != self.base:
+            raise ConcurrentChange(f"the index is no longer at version {self.base}")
+        at, fs = _files(self.spark, f"{self.path}/v{self.number}/DONE")
+        fs.createNewFile(at)
 
 
-def save(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> int:
-    """Writes a new version and returns its number."""
-    version = _latest(spark, path) + 1
-    for name in TABLES:
-        tables[name].write.mode("overwrite").parquet(f"{path}/v{version}/{name}")
-    spark.range(1).write.mode("overwrite").parquet(f"{path}/v{version}/DONE")
-    return version
+def load(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
+    """chunks, vectors, registry and meta of the latest whole version, or None."""
+    version, _ = _versions(spark, path)
+    if not version:
+        return None
+    tables = {t: spark.read.parquet(f"{path}/v{version}/{t}") for t in ("registry", "meta")}
+    live = tables["registry"].select("source_path", "segment")
+    for name in ("chunks", "vectors"):
+        rows = None
+        for s in tables["meta"].first()["segments"]:  # at most MOST_SEGMENTS
+            own = spark.read.parquet(f"{path}/segments/s{s}/{name}").withColumn("segment", F.lit(s))
+            rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+        if rows is None:
+            rows = spark.createDataFrame([], "source_path string, chunk_id string, segment int")
+        tables[name] = rows.join(live, ["source_path", "segment"], "left_semi").drop("segment")
+    return tables
 
 
 def update(spark: SparkSession, path: str, files: DataFrame, parse: Callable[[DataFrame], DataFrame], embed: Callable[[DataFrame], DataFrame], model: str = "", now: str = "") -> DataFrame:
     """Brings an index up to date with files (source_path, content binary, content_hash); returns the actions.
 
-    ``parse`` turns changed files into chunks (with source_path and chunk_id), ``embed`` chunks into
-    vectors (chunk_id, source_path, v).
+    ``parse`` turns changed files into chunks (with source_path and chunk_id; document_id and title if they
+    are known), ``embed`` chunks into vectors (chunk_id, source_path, v). Each changed file is parsed once,
+    and each chunk embedded once, from what was stored. Paths are to be listed once.
     """
     old = load(spark, path)
-    meta = old["meta"].first() if old else None
-    if meta and meta["embedding_model"] and model and meta["embedding_model"] != model:
-        raise ModelMismatch(f"the index holds vectors of {meta['embedding_model']}, not {model}")
-    registry = old["registry"] if old else spark.createDataFrame([], "source_path string, content_hash string, chunk_count long")
-    todo = actions(files.select("source_path", "content_hash"), registry)
+    known = old["meta"].first()["embedding_model"] if old else ""
+    if known and model and known != model:
+        raise ModelMismatch(f"the index holds vectors of {known}, not {model}")
+    change = _Change(spark, path)
+    registry = old["registry"] if old else spark.createDataFrame([], _REGISTRY)
+    todo = change.write(actions(files.select("source_path", "content_hash"), registry), "actions")
     changed = files.join(todo.where("action <> 'skipped'").select("source_path"), "source_path", "left_semi")
-    chunks = parse(changed)
-    vectors = embed(chunks)
-    counts = chunks.groupBy("source_path").agg(F.count("*").alias("chunk_count"))
-    entries = changed.select("source_path", "content_hash").join(counts, "source_path", "left").na.fill(0, ["chunk_count"])
-    created = meta["created_at"] if meta else now
-    new_meta = spark.createDataFrame([(model or (meta["embedding_model"] if meta else ""), created, now)], "embedding_model string, created_at string, updated_at string")
-    tables = {
-        "chunks": merge(old["chunks"], chunks, changed) if old else chunks,
-        "vectors": merge(old["vectors"], vectors, changed) if old else vectors,
-        "registry": merge(registry, entries, changed),
-        "meta": new_meta,
-    }
-    save(spark, path, tables)
+    chunks = change.write(parse(changed), "chunks")
+    vectors = change.write(embed(chunks), "vectors")
+    own = [F.min(c).alias(f"own_{c}") for c in ("document_id", "title") if c in chunks.columns]
+    counts = chunks.groupBy("source_path").agg(F.count("*").alias("n"), *own)
+    name = F.coalesce(F.col("own_document_id") if "document_id" in chunks.columns else F.lit(None), stem(F.col("source_path")))
+    title = F.coalesce(F.col("own_title") if "title" in chunks.columns else F.lit(None), name)
+    entries = todo.where("action <> 'skipped'").join(counts, "source_path", "left").select(
+        "source_path", "content_hash", F.coalesce("n", F.lit(0)).cast("long").alias("chunk_count"), name.alias("document_id"), title.alias("title"), F.lit(change.number).alias("segment")
+    )
+    now_registered = merge(registry, entries, entries)
+    dim = vectors.agg(F.max(F.size("v")).alias("d")).first()["d"] or (old["meta"].first()["vector_dim"] if old else None)
+    segments = [*(change.meta["segments"] if change.meta else []), change.number]
+    change.finish(now_registered, model or known, dim, now, segments)
+    if len(segments) >= MOST_SEGMENTS:
+        compact(spark, path)
     return todo
 
 
-def remove(spark: SparkSession, path: str, targets: list[str]) -> DataFrame:
+def compact(spark: SparkSession, path: str) -> None:
+    """Writes the live rows of all segments as one."""
+    old = load(spark, path)
+    if old is None:
+        raise NoIndex(path)
+    change = _Change(spark, path)
+    for name in ("chunks", "vectors"):
+        change.write(old[name], name)
+    meta = old["meta"].first()
+    change.finish(old["registry"].withColumn("segment", F.lit(change.number)), meta["embedding_model"], meta["vector_dim"], meta["updated_at"], [change.number])
+
+
+def remove(spark: SparkSession, path: str, targets: list[str], now: str = "") -> DataFrame:
     """Removes the documents that the targets name; returns their paths."""
     old = load(spark, path)
-    gone = removal(old["registry"], spark.createDataFrame([(t,) for t in targets], "target string")).persist()
-    save(spark, path, old | {t: old[t].join(gone, "source_path", "left_anti") for t in ("chunks", "vectors", "registry")})
-    return gone
+    if old is None:
+        raise NoIndex(path)
+    change = _Change(spark, path)
+    gone = removal(old["registry"], spark.createDataFrame([(t,) for t in targets], "target string"))
+    gone = change.write(old["registry"].join(gone, "source_path", "left_semi").select("source_path", "content_hash", F.lit("removed").alias("action")), "actions")
+    meta = old["meta"].first()
+    change.finish(old["registry"].join(gone, "source_path", "left_anti"), meta["embedding_model"], meta["vector_dim"], now, meta["segments"])
+    return gone.select("source_path")
+
+
+def reembed(spark: SparkSession, path: str, embed: Callable[[DataFrame], DataFrame], model: str, now: str = "") -> int:
+    """Makes every vector anew from the stored chunks with another model; returns how many. The files need
+    not be there; until all vectors are written readers see the old ones."""
+    old = load(spark, path)
+    if old is None:
+        raise NoIndex(path)
+    change = _Change(spark, path)
+    chunks = change.write(old["chunks"], "chunks")
+    vectors = change.write(embed(chunks), "vectors")
+    made = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    if made["n"] != chunks.count():
+        raise ValueError(f"{made['n']} vectors for {chunks.count()} chunks")
+    change.finish(old["registry"].withColumn("segment", F.lit(change.number)), model, made["d"], now, [change.number])
+    return made["n"]
+
+
+def summary(spark: SparkSession, path: str) -> DataFrame:
+    """One row on the latest change: added, refreshed, skipped, removed, total_documents, total_chunks."""
+    version, _ = _versions(spark, path)
+    if not version:
+        raise NoIndex(path)
+    meta = spark.read.parquet(f"{path}/v{version}/meta").first()
+    at, fs = _files(spark, f"{path}/v{version}/actions")
+    done = spark.read.parquet(f"{path}/v{version}/actions") if fs.exists(at) else spark.createDataFrame([], "action string")
+    counts = [F.count_if(F.col("action") == a).alias(a) for a in ("added", "refreshed", "skipped", "removed")]
+    return done.agg(*counts, *(F.lit(meta[t]).alias(t) for t in ("total_documents", "total_chunks")))
 
 
 def info(chunks: DataFrame) -> DataFrame:

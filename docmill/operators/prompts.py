@@ -13,11 +13,16 @@ def passage(chunk_id: Column, section: Column, codes: Column, kind: Column, text
     return F.concat_ws("\n", head, named, F.when(kind == "table", "(table)"), text)
 
 
+def user_prompt(question: Column, passages: Column) -> Column:
+    """The question and the passages in their order."""
+    parts = F.transform(passages, lambda x: F.concat(F.lit("\n\n"), x))
+    return F.concat(F.lit("Question: "), question, F.lit("\n\nContext passages:"), F.array_join(parts, ""))
+
+
 def user_prompts(hits: DataFrame) -> DataFrame:
     """(query_id, prompt) from rows query_id, question, rank, passage."""
     own = hits.groupBy("query_id").agg(F.first("question").alias("question"), F.sort_array(F.collect_list(F.struct("rank", "passage"))).alias("own"))
-    parts = F.transform("own", lambda x: F.concat(F.lit("\n\n"), x["passage"]))
-    return own.select("query_id", F.concat(F.lit("Question: "), F.col("question"), F.lit("\n\nContext passages:"), F.array_join(parts, "")).alias("prompt"))
+    return own.select("query_id", user_prompt(F.col("question"), F.col("own")["passage"]).alias("prompt"))
 
 
 def referenced_codes(resolved: Column, hit_codes: Column) -> Column:

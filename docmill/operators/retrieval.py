@@ -14,13 +14,27 @@ from docmill.config import RetrievalConfig
 
 #: Vectors of one block of queries or of the corpus.
 BLOCK = 1024
+#: Queries of at most so many bytes go to every task; more are dealt to the blocks of vectors by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
-def _blocks(vectors: DataFrame, name: str) -> DataFrame:
-    """One row per block of about BLOCK vectors of one dimension: (dim, name array<struct<id, v>>)."""
-    count = max(1, -(-vectors.count() // BLOCK))
-    keyed = vectors.select("id", "v", F.size("v").alias("dim")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)))
-    return keyed.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias(name)).drop("block")
+def _blocks(vectors: DataFrame, count: int, name: str) -> DataFrame:
+    """One row per block of about BLOCK vectors of one dimension: (dim, block, name array<struct<id, v>>)."""
+    blocks = max(1, -(-count // BLOCK))
+    keyed = vectors.select("id", "v", F.size("v").alias("dim")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    return keyed.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias(name))
+
+
+def _met(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(dim, q, c): every block of queries beside every block of vectors of its dimension. The pairs lie
+    where the block of vectors lies, so they spread over all tasks."""
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d")).first()
+    count = vectors.count()
+    q, c = _blocks(queries, size["n"], "q").drop("block"), _blocks(vectors, count, "c")
+    if size["n"] * (8 * size["d"] + 16) <= BROADCAST_BYTES:
+        return c.join(F.broadcast(q), "dim").select("dim", "q", "c")
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-count // BLOCK)) - 1))).cast("long")
+    return c.join(q.withColumn("block", numbers), ["dim", "block"]).select("dim", "q", "c")
 
 
 def _scores(k: int, min_score: float):
@@ -59,8 +73,7 @@ def semantic(queries: DataFrame, vectors: DataFrame, config: RetrievalConfig, ra
     with a null, takes no part; a zero vector scores 0; an id never finds itself; ties go to the lesser id.
     """
     clean = lambda df: df.where("v is not null and size(v) > 0").where(~F.exists("v", lambda x: x.isNull()))
-    a, b = _blocks(clean(queries), "q"), _blocks(clean(vectors), "c")
-    met = a.join(b, "dim").mapInArrow(_scores(config.top_k, config.min_score), "query_id long, chunk_id long, score double")
+    met = _met(clean(queries), clean(vectors)).mapInArrow(_scores(config.top_k, config.min_score), "query_id long, chunk_id long, score double")
     if not ranked:
         return met
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -30,3 +31,15 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(path, os.path.relpath(path, os.path.dirname(root)))
     spark.sparkContext.addPyFile(target)
     _shipped.add(app)
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder below the one that spark.checkpoint.dir names, which driver and executors share. Where
+    it is unset, a local session (as in tests) gets a temporary one; a cluster has to name one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: it has to name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="docmill-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"

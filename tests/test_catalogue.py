@@ -3,9 +3,10 @@
 import duckdb
 import pytest
 
-from docmill.jobs.catalogue import ORACLES, QUERIES
+from docmill.jobs import catalogue, workflows
 
 SF = "/root/testdata/sf0.001"
+QUERIES, ORACLES = catalogue.QUERIES | workflows.QUERIES, catalogue.ORACLES | workflows.ORACLES
 TABLES = "events documents embeddings pages benchmark labels conversations".split()
 
 
