@@ -20,7 +20,9 @@ def _let(value: Column, body) -> Column:
 
 def _matches(text: Column, order: int, rule: CodePattern) -> Column:
     """(start, order, kind, value, raw) of a rule's matches; starts come from the pieces between them."""
-    pattern = "(?iU)" + GUARD + rule.regex.replace("(?P<id>", "(")
+    # looking at one character first leaves nearly every place at once
+    ahead = f"(?=[{rule.first}])" if rule.first else ""
+    pattern = "(?iU)" + ahead + GUARD + rule.regex.replace("(?P<id>", "(")
 
     def placed(whole: Column) -> Column:
         # one more piece than matches: the last has no match beside it

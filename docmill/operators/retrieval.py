@@ -82,7 +82,8 @@ def semantic(queries: DataFrame, vectors: DataFrame, config: RetrievalConfig, ra
 
 def postings(chunks: DataFrame) -> DataFrame:
     """(value, chunk_id) from chunks with codes: each chunk once per value."""
-    return chunks.select("chunk_id", F.explode("codes.value").alias("value")).distinct().select("value", "chunk_id")
+    # the outer form, since explode has the codes extracted once more for a filter on their number
+    return chunks.select("chunk_id", F.explode_outer("codes.value").alias("value")).where("value is not null").distinct().select("value", "chunk_id")
 
 
 def lookup(query_codes: DataFrame, index: DataFrame) -> DataFrame:
