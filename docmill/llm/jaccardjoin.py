@@ -49,6 +49,8 @@ FRAGMENTS = 4
 BLOCK = 2048
 #: Members of a group whose pairs are all looked at together with those of other groups.
 SMALL = 128
+#: Rows of the groups of one leader that go to one task; more are dealt to several.
+LEADER_ROWS = 4096
 #: Pairs of a task that all go out in rounds after the first.
 FEW = 20_000
 
@@ -361,15 +363,15 @@ def _first_rows(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """(tid, n, prefix, bitmap) of each set's first row. A filter of fixed size tells most of them from
     later rows; only what it can't tell is joined."""
     later = rows.where("n > 0").select("rid", "digest").join(sets.select("digest", "tid"), "digest").where("rid <> tid")
-    bits = hash_filter(later, "rid")
+    bits = hash_filter(later, "rid", rows.count())
     wide = rows.where("n > 0").select(F.col("rid").alias("tid"), "n", "prefix", "bitmap")
     return may_pass(wide, "tid", bits, keep=False).union(may_pass(wide, "tid", bits).join(sets.select("tid"), "tid", "left_semi"))
 
 
-def _texts_of(source: DataFrame, holders: DataFrame) -> DataFrame:
+def _texts_of(source: DataFrame, holders: DataFrame, count: int) -> DataFrame:
     """(tid, text) of the holders, found by key and text hash; a filter of fixed size spares most other
     texts the shuffle. Rows that repeat both give repeated rows."""
-    bits = hash_filter(holders, "h")
+    bits = hash_filter(holders, "h", count)
     null = F.lit(-(2**63))
     left = may_pass(source, "h", bits).withColumn("at", F.coalesce("key", null)).drop("key")
     right = holders.withColumn("at", F.coalesce("key", null)).drop("key")
@@ -393,7 +395,7 @@ def linked_components(docs: DataFrame, size: int = SIZE, text: str = "text", key
     own = written(_first_rows(rows, sets), "first-rows")
     postings = written(own.select("tid", "prefix").mapInArrow(_explode, "token long, tid long"), "postings")
     shared = written(postings.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "shared")
-    some = may_pass(postings, "token", hash_filter(shared, "token")).join(shared, "token")
+    some = may_pass(postings, "token", hash_filter(shared, "token", shared.count())).join(shared, "token")
     name = [F.expr(f"bit_xor(xxhash64(tid, {k}))").alias(f"g{k}") for k in (1, 2)]
     groups = some.groupBy("token").agg(F.min(F.xxhash64("tid")).alias("leader"), *name)
     members = some.join(groups, "token").select("g1", "g2", "leader", "m", "tid").distinct()
@@ -419,18 +421,21 @@ def linked_components(docs: DataFrame, size: int = SIZE, text: str = "text", key
             now = now.join(apart, ["g1", "g2", "part"])
         now = now.join(details, "tid")
         now = now.withColumn("refused", F.lit(None).cast("array<long>")) if first else now.join(refused.groupBy(F.col("a").alias("tid")).agg(F.collect_list("b").alias("refused")), "tid", "left")
-        # groups with one leader mostly share their members: in one task a pair goes out once
-        now = now.select("g1", "g2", "part", "tid", "n", "label", "block", "bitmap", "refused", "leader")
-        dealt = now.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "leader", "part")
+        # groups with one leader mostly share their members: in one task a pair goes out once, but the
+        # groups of a leader that has many rows are dealt to as many tasks as those fill
+        lots = now.groupBy("leader", "part").agg(F.count("*").alias("rows")).where(F.col("rows") > LEADER_ROWS)
+        now = now.join(lots, ["leader", "part"], "left").withColumn("share", F.when(F.col("rows").isNull(), 0).otherwise(F.pmod("g1", F.ceil(F.col("rows") / LEADER_ROWS))))
+        now = now.select("g1", "g2", "part", "tid", "n", "label", "block", "bitmap", "refused", "leader", "share")
+        dealt = now.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "leader", "part", "share")
         proposed = written(dealt.mapInArrow(partial(_propose_groups, first_round=first), "a long, b long, whole boolean").groupBy("a", "b").agg(F.min("whole").alias("whole")), "proposed")
         first = False
         done = proposed.agg(F.min("whole").alias("whole")).first()["whole"]
         if done is None:
             break
         proposed = proposed.select("a", "b")
-        needed = proposed.select(F.col("a").alias("tid")).union(proposed.select("b")).distinct()
+        needed = written(proposed.select(F.col("a").alias("tid")).union(proposed.select("b")).distinct(), "needed")
         holders = rows.select("key", "h", F.col("rid").alias("tid")).join(needed, "tid")
-        segments = written(_texts_of(source, holders).mapInArrow(_segments(classes, pivots, size), "tid long, part int, segment binary"), "segments")
+        segments = written(_texts_of(source, holders, needed.count()).mapInArrow(_segments(classes, pivots, size), "tid long, part int, segment binary"), "segments")
         size_of = details.select("tid", "n")
         judged = proposed.join(overlaps(proposed, segments), ["a", "b"], "left").join(size_of.toDF("a", "na"), "a").join(size_of.toDF("b", "nb"), "b")
         judged = written(judged.select("a", "b", (F.coalesce("shared", F.lit(0)) * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (F.col("na") + F.col("nb"))).alias("link")), "judged")

@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by NN-descent and greedy graph search.
 
 Nearness is the largest inner product. Vectors take part if they are whole: not null, no null or
-non-finite component, not zero, and of the table's most common length.
+non-finite component, and not zero; vectors of one length meet one another.
 
 **Sizes.** With more rows a fixed share of work per row finds less, so repeats, degree, pool and beam follow
 the row count (``sizes``); the constants are those for ``BASE`` rows and fewer.
@@ -21,7 +21,8 @@ left to expand. The best of them are scored exactly, in double precision on the
 
 Half-precision unit vectors with their norms travel while the graph is built and searched. Reverse
 neighbours, pivots and pools are bounded by the method itself; all vectors are indexed. Defined results:
-repeated ids count as one (the least vector); ties go to the smaller id; with few vectors all are
+rows that repeat an id, or id and vector, are rows of their own, as queries and as candidates; ties go to
+the smaller id, and beyond the last rank any of the tied may stand; with few vectors all are
 returned; an empty table gives no rows.
 """
 
@@ -75,11 +76,10 @@ def sizes(count: int) -> Sizes:
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v array<double>) of the vectors that take part, one per id."""
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
+    """(id, key, v array<double>) of the rows that take part; id numbers the rows."""
+    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).where("key is not null and v is not null and size(v) > 0")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.where(~bad & F.exists("v", lambda x: x != 0)).groupBy("id").agg(F.min("v").alias("v"))
-    return rows
+    return rows.where(~bad & F.exists("v", lambda x: x != 0)).select(F.monotonically_increasing_id().alias("id"), "key", "v")
 
 
 def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,19 +243,13 @@ def descend(index: DataFrame, graph: DataFrame, count: int) -> DataFrame:
     return graph
 
 
-def build_graph(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, index, graph): rows (id, v), index (id, norm, half), graph (a, b, s)."""
-    bounded_batches(vectors.sparkSession)
-    rows = usable(vectors, key, vector)
-    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    rows = written(rows.where(F.size("v") == (common[0]["d"] if common else 0)), "vectors")
-    index = written(rows.mapInArrow(_halves, "id long, norm double, half binary"), "index")
+def build_graph(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(index, graph): index (id, norm, half), graph (a, b, s) of rows (id, v) of one length."""
+    index = written(rows.select("id", "v").mapInArrow(_halves, "id long, norm double, half binary"), "index")
     count = index.count()
-    empty = vectors.sparkSession.createDataFrame([], _EDGES)
     if count < 2:
-        return rows, index, empty
-    graph = written(first_graph(index, count), "graph")
-    return rows, index, descend(index, graph, count)
+        return index, rows.sparkSession.createDataFrame([], _EDGES)
+    return index, descend(index, written(first_graph(index, count), "graph"), count)
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +273,7 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def search(rows: DataFrame, index: DataFrame, graph: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k nearest found; ``queries`` has the ids (q)."""
+    """(query_id, rank, vec_id, score): each query's k nearest found; ``queries`` has the rows' ids (q)."""
     size = sizes(index.count())
     near = graph.join(index.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.collect_list(F.struct("b", "norm", "half")).alias("near"))
     near = written(near, "adjacency")
@@ -297,14 +291,27 @@ def search(rows: DataFrame, index: DataFrame, graph: DataFrame, queries: DataFra
         found = front.join(near, front["node"] == near["a"]).select("q", "bar", "qnorm", "qhalf", "near").mapInArrow(_expand, _EDGES)
         both = pool.select("a", "b", "s", (F.col("done") | F.col("go")).alias("done")).union(found.withColumn("done", F.lit(False)))
         pool = both.groupBy("a", "b").agg(F.max("s").alias("s"), F.max("done").alias("done"))
-    final = pool.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= max(3 * k, 64)).select(F.col("a").alias("query_id"), F.col("b").alias("vec_id"))
+    final = pool.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= max(3 * k, 64)).select("a", "b")
     score = F.aggregate(F.zip_with("qv", "v", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-    final = final.join(rows.select(F.col("id").alias("vec_id"), "v"), "vec_id").join(rows.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id").select("query_id", "vec_id", score.alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    final = final.join(rows.select(F.col("id").alias("b"), F.col("key").alias("vec_id"), "v"), "b").join(rows.select(F.col("id").alias("a"), F.col("key").alias("query_id"), F.col("v").alias("qv")), "a")
+    final = final.select("a", "query_id", "vec_id", score.alias("score"))
+    rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("score"), "vec_id"))
     return final.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Builds the graph over all rows and searches it for the rows whose id is divisible by ``every``."""
-    rows, index, graph = build_graph(vectors, key, vector)
-    return search(rows, index, graph, index.where(F.col("id") % every == 0).select(F.col("id").alias("q")), k)
+    """Builds the graph over all rows and searches it for the rows whose id is divisible by ``every``.
+
+    Vectors of different lengths have no inner product: each length has a graph of its own, one after the
+    other, the most common first.
+    """
+    bounded_batches(vectors.sparkSession)
+    every_row = written(usable(vectors, key, vector), "vectors")
+    lengths = [r["d"] for r in every_row.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").collect()]
+    out = None
+    for d in lengths or [0]:
+        rows = every_row.where(F.size("v") == d)
+        index, graph = build_graph(rows)
+        found = search(rows, index, graph, rows.where(F.col("key") % every == 0).select(F.col("id").alias("q")), k)
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -8,52 +8,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docmill.llm import bpe, jaccardjoin, maskedlm, nndescent, packing, quality, suffixdedup, tokenfile, toxicity, warc
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from docmill.sources.tables import read_table
 
 
 def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nndescent.nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+    return nndescent.nearest(read_table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfile.token_file_digests(_table(spark, sf_dir, "documents"))
+    return tokenfile.token_file_digests(read_table(spark, sf_dir, "documents"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip_digests(_table(spark, sf_dir, "documents"))
+    return bpe.round_trip_digests(read_table(spark, sf_dir, "documents"))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccardjoin.component_ids(_table(spark, sf_dir, "documents"))
+    return jaccardjoin.component_ids(read_table(spark, sf_dir, "documents"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return toxicity.severity(docs, toxicity.fit_labelled(docs, _table(spark, sf_dir, "labels")))
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.fit_labelled(docs, read_table(spark, sf_dir, "labels")))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_digests(_table(spark, sf_dir, "pages"))
+    return warc.archive_digests(read_table(spark, sf_dir, "pages"))
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = read_table(spark, sf_dir, "documents")
     return maskedlm.score(docs, maskedlm.train(docs))
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixdedup.removal_digests(_table(spark, sf_dir, "documents"))
+    return suffixdedup.removal_digests(read_table(spark, sf_dir, "documents"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(_table(spark, sf_dir, "documents"))
+    return quality.quality(read_table(spark, sf_dir, "documents"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

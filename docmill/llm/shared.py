@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests), one of this machine."""
-    have = spark.conf.get("spark.checkpoint.dir", None)
-    if not have:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not set_dir.isDefined():
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="docmill-"))
-            set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        have = set_dir.get()
-    return have
+from docmill.session import shared_folder
 
 
 def fresh_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share; see ``session.shared_folder``."""
+    return shared_folder(spark, what)
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -51,26 +39,28 @@ def drop_folder(spark: SparkSession, df_or_path: DataFrame | str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Bits of the filter below; its size is fixed, so broadcasting it is safe at any scale.
-FILTER_BITS = 1 << 23
+#: Least and largest number of bits of the filter below; the largest takes 16 MB, whatever the data.
+FILTER_BITS, MOST_BITS = 1 << 23, 1 << 27
 
 
-def hash_filter(df: DataFrame, column: str):
-    """A broadcast bitmap of ``FILTER_BITS`` bits, in which the bits of all (long) values are set.
+def hash_filter(df: DataFrame, column: str, rows: int = 0):
+    """A broadcast bitmap in which the bits of all (long) values are set; ``rows`` tells about how many there
+    are, and the bitmap has eight bits or more for each, up to ``MOST_BITS``.
 
     Rows whose bit is not set surely have no partner, so they need no shuffle. When more values are there
     than the bitmap can tell apart it lets everything through: results never depend on it.
     """
     spark = df.sparkSession
+    size = min(MOST_BITS, max(FILTER_BITS, 1 << max(0, 8 * rows - 1).bit_length()))
 
     def run(batches):
-        bits = np.zeros(FILTER_BITS, bool)
+        bits = np.zeros(size, bool)
         for batch in batches:
-            bits[filter_place(batch.column(0).drop_null().to_numpy())] = True
+            bits[filter_place(batch.column(0).drop_null().to_numpy(), size)] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
     def unite(batches):
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
             for x in batch.column(0):
                 bits |= np.frombuffer(x.as_buffer(), np.uint8)
@@ -82,9 +72,9 @@ def hash_filter(df: DataFrame, column: str):
     return spark.sparkContext.broadcast(bits)
 
 
-def filter_place(values: np.ndarray) -> np.ndarray:
+def filter_place(values: np.ndarray, size: int) -> np.ndarray:
     x = values.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x >> np.uint64(64 - int(FILTER_BITS).bit_length() + 1)).astype(np.int64)
+    return (x >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
 
 
 def may_pass(df: DataFrame, column: str, bits, keep: bool = True) -> DataFrame:
@@ -93,7 +83,7 @@ def may_pass(df: DataFrame, column: str, bits, keep: bool = True) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            place = filter_place(batch.column(at).fill_null(0).to_numpy())
+            place = filter_place(batch.column(at).fill_null(0).to_numpy(), 8 * len(bits.value))
             ok = (bits.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1
             yield batch.filter(pa.array(ok.astype(bool) == keep))
 

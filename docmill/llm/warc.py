@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from docmill.llm.shared import bounded_batches, fresh_folder
 
 MIN_REVISIT = 100
-#: Records of a payload file; a file is read as a whole.
-FILE_RECORDS = 2048
+#: Records of a payload file of payloads up to ``SMALL`` bytes. A file is read as a whole, so files of
+#: payloads of every further doubling of that size have half as many: no file but one of a single record
+#: has more than their product, 32 MB.
+FILE_RECORDS, SMALL = 2048, 16 << 10
 END = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -68,14 +70,18 @@ def write_archive(pages: DataFrame, path: str) -> None:
     rows = classify(pages)
     rows.select("digest", "kind", header(*(F.col(c) for c in ("kind", "page_id", "url", "digest", "n", "holder"))).alias("header")).write.parquet(f"{path}/headers")
     payload = F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary"))
-    once = pages.select(F.sha2(payload, 256).alias("digest"), payload.alias("payload")).groupBy("digest").agg(F.first("payload").alias("payload"))
     head = F.concat(
-        F.lit(f"WARC/1.1{END}WARC-Type: resource{END}WARC-Record-ID: <urn:sha256:"), "digest",
-        F.lit(f">{END}WARC-Date: {DATE}{END}WARC-Block-Digest: sha256:"), "digest",
+        F.lit(f"WARC/1.1{END}WARC-Type: resource{END}WARC-Record-ID: <urn:sha256:"), "digest", F.lit(f">{END}WARC-Target-URI: urn:sha256:"), "digest",
+        F.lit(f"{END}WARC-Date: {DATE}{END}WARC-Block-Digest: sha256:"), "digest",
         F.lit(f"{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.octet_length("payload").cast("string"), F.lit(END + END),
     )
+    # the text writer passes these bytes through as they are, valid UTF-8 or not
     record = F.concat(head.cast("binary"), F.col("payload")).cast("string")
-    once.select(record.alias("value")).write.option("lineSep", END + END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(f"{path}/payloads")
+    size = F.greatest(F.ceil(F.log2(F.greatest(F.octet_length(payload), F.lit(1)) / SMALL)), F.lit(0)).cast("int")
+    held = pages.select(F.sha2(payload, 256).alias("digest"), payload.alias("payload"), size.alias("size"))
+    for n in [r["size"] for r in pages.select(size.alias("size")).distinct().collect()]:  # at most 17
+        once = held.where(F.col("size") == n).groupBy("digest").agg(F.first("payload").alias("payload"))
+        once.select(record.alias("value")).write.option("lineSep", END + END).option("maxRecordsPerFile", max(1, FILE_RECORDS >> n)).option("compression", "gzip").text(f"{path}/payloads/size-{n}")
 
 
 def parse_warc(raw: memoryview) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -116,7 +122,10 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
                 if held:
                     yield _payload_batch(held)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/payloads").select("content")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/payloads")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):  # an archive of no records
+        return spark.createDataFrame([], "digest string, n long, payload binary")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(f"{path}/payloads").select("content")
     return files.mapInArrow(run, "digest string, n long, payload binary")
 
 
