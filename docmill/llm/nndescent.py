@@ -69,10 +69,10 @@ class Sizes:
 
 
 def sizes(count: int) -> Sizes:
-    """The graph's sizes grow by a step with every doubling of the rows, the search pool with their root."""
+    """The sizes grow by a step with every doubling of the rows."""
     more = max(1.0, count / BASE)
     twice = math.log2(more)
-    return Sizes(REPEATS + round(2 * twice), DEGREE + round(4 * twice), REVERSE + round(3 * twice), round(POOL * math.sqrt(more)))
+    return Sizes(REPEATS + round(2 * twice), DEGREE + round(4 * twice), REVERSE + round(3 * twice), round(POOL + 48 * twice))
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -267,9 +267,12 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(row), 1 << 16):
             at = slice(k, k + (1 << 16))
             s = np.einsum("ij,ij->i", qv[row[at]], _matrix(half[at]) * norm[at, None].astype(np.float32))
-            ok = (s > bar[row[at]]) & (cand[at] != query[row[at]])
-            if ok.any():
-                yield _edges(query[row[at]][ok], cand[at][ok], s[ok])
+            ok = np.flatnonzero((s > bar[row[at]]) & (cand[at] != query[row[at]]))
+            if len(ok):  # neighbourhoods overlap: what a query meets here again goes out once
+                q, c = query[row[at]][ok], cand[at][ok]
+                by = np.lexsort((c, q))
+                by = by[np.concatenate([[True], (q[by][1:] != q[by][:-1]) | (c[by][1:] != c[by][:-1])])]
+                yield _edges(q[by], c[by], s[ok][by])
 
 
 def search(rows: DataFrame, index: DataFrame, graph: DataFrame, queries: DataFrame, k: int) -> DataFrame:
