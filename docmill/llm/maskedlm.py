@@ -84,12 +84,18 @@ class Network:
 
     def log_probability(self, around: np.ndarray, word: np.ndarray) -> np.ndarray:
         """log P(word | words around) of each place; words count from 0."""
-        _, h = self.hidden(around)
+        parts = np.matmul(self.embed, self.w.reshape(2 * SIDE, WIDTH, HIDDEN))  # of each word on each seat
+        h = np.tanh(sum((parts[k][around[:, k]] for k in range(2 * SIDE)), self.b))
         c, s = word // self.per_class, word % self.per_class
-        out = _log_softmax(h @ self.wc + self.bc)[np.arange(len(word)), c]
-        for k in np.unique(c):
-            own = np.flatnonzero(c == k)
-            out[own] += _log_softmax(h[own] @ self.ws[k] + self.bs[k])[np.arange(len(own)), s[own]]
+        z, e, total = _softmax(self.wc.T @ h.T + self.bc[:, None])
+        out = z[c, np.arange(len(word))] - np.log(total)
+        order, cuts = _by_class(c)
+        h, s = h[order], s[order]
+        within = np.empty(len(word), z.dtype)
+        for k, i, j in cuts:
+            z, e, total = _softmax(self.ws[k].T @ h[i:j].T + self.bs[k][:, None])
+            within[i:j] = z[s[i:j], np.arange(j - i)] - np.log(total)
+        out[order] += within
         return out
 
     def learn(self, around: np.ndarray, word: np.ndarray, memory: Network) -> None:
@@ -98,20 +104,23 @@ class Network:
         x, h = self.hidden(around)
         c, s = word // self.per_class, word % self.per_class
         grad = Network(len(self.embed) - 1)
-        gc = np.exp(_log_softmax(h @ self.wc + self.bc))
-        gc[np.arange(n), c] -= 1
-        grad.wc[:], grad.bc[:] = h.T @ gc, gc.sum(axis=0)
-        gh = gc @ self.wc.T
-        for k in np.unique(c):
-            own = np.flatnonzero(c == k)
-            gs = np.exp(_log_softmax(h[own] @ self.ws[k] + self.bs[k]))
-            gs[np.arange(len(own)), s[own]] -= 1
-            grad.ws[k], grad.bs[k] = h[own].T @ gs, gs.sum(axis=0)
-            gh[own] += gs @ self.ws[k].T
+        _, gc, total = _softmax(self.wc.T @ h.T + self.bc[:, None])
+        gc /= total
+        gc[c, np.arange(n)] -= 1
+        grad.wc[:], grad.bc[:] = (gc @ h).T, gc.sum(axis=1)
+        order, cuts = _by_class(c)
+        x, h, s, gc = x[order], h[order], s[order], gc[:, order]
+        gh = gc.T @ self.wc.T
+        for k, i, j in cuts:
+            _, gs, total = _softmax(self.ws[k].T @ h[i:j].T + self.bs[k][:, None])
+            gs /= total
+            gs[s[i:j], np.arange(j - i)] -= 1
+            grad.ws[k], grad.bs[k] = (gs @ h[i:j]).T, gs.sum(axis=1)
+            gh[i:j] += gs.T @ self.ws[k].T
         gz = gh * (1 - h * h)
         grad.w[:], grad.b[:] = x.T @ gz, gz.sum(axis=0)
         gx = (gz @ self.w.T).reshape(n * 2 * SIDE, WIDTH)
-        seat = around.ravel()
+        seat = around[order].ravel().astype(np.uint16)  # sorted by digits; there are fewer words than 65,536
         order = np.argsort(seat, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], seat[order][1:] != seat[order][:-1]]))
         grad.embed[seat[order][first]] = np.add.reduceat(gx[order], first, axis=0)
@@ -121,9 +130,19 @@ class Network:
         self.flat -= RATE * g / (np.sqrt(memory.flat) + 1e-6)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(z less its largest, exp of that, sums of those) of columns of logits; columns, since numpy goes
+    through all places at once then."""
+    z -= z.max(axis=0)
+    e = np.exp(z)
+    return z, e, e.sum(axis=0)
+
+
+def _by_class(c: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(order of places by class, (class, from, to) of each class that occurs)."""
+    order = np.argsort(c.astype(np.uint8), kind="stable")
+    cut = np.concatenate([[0], np.cumsum(np.bincount(c, minlength=CLASSES))])
+    return order, [(k, int(cut[k]), int(cut[k + 1])) for k in range(CLASSES) if cut[k] < cut[k + 1]]
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
