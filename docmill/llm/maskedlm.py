@@ -87,13 +87,13 @@ class Network:
         parts = np.matmul(self.embed, self.w.reshape(2 * SIDE, WIDTH, HIDDEN))  # of each word on each seat
         h = np.tanh(sum((parts[k][around[:, k]] for k in range(2 * SIDE)), self.b))
         c, s = word // self.per_class, word % self.per_class
-        z, e, total = _softmax(self.wc.T @ h.T + self.bc[:, None])
+        z, e, total = _softmax(self.wc.T @ h.T + self.bc[:, None], self.wc, self.bc)
         out = z[c, np.arange(len(word))] - np.log(total)
         order, cuts = _by_class(c)
         h, s = h[order], s[order]
         within = np.empty(len(word), z.dtype)
         for k, i, j in cuts:
-            z, e, total = _softmax(self.ws[k].T @ h[i:j].T + self.bs[k][:, None])
+            z, e, total = _softmax(self.ws[k].T @ h[i:j].T + self.bs[k][:, None], self.ws[k], self.bs[k])
             within[i:j] = z[s[i:j], np.arange(j - i)] - np.log(total)
         out[order] += within
         return out
@@ -104,7 +104,7 @@ class Network:
         x, h = self.hidden(around)
         c, s = word // self.per_class, word % self.per_class
         grad = Network(len(self.embed) - 1)
-        _, gc, total = _softmax(self.wc.T @ h.T + self.bc[:, None])
+        _, gc, total = _softmax(self.wc.T @ h.T + self.bc[:, None], self.wc, self.bc)
         gc /= total
         gc[c, np.arange(n)] -= 1
         grad.wc[:], grad.bc[:] = (gc @ h).T, gc.sum(axis=1)
@@ -112,7 +112,7 @@ class Network:
         x, h, s, gc = x[order], h[order], s[order], gc[:, order]
         gh = gc.T @ self.wc.T
         for k, i, j in cuts:
-            _, gs, total = _softmax(self.ws[k].T @ h[i:j].T + self.bs[k][:, None])
+            _, gs, total = _softmax(self.ws[k].T @ h[i:j].T + self.bs[k][:, None], self.ws[k], self.bs[k])
             gs /= total
             gs[s[i:j], np.arange(j - i)] -= 1
             grad.ws[k], grad.bs[k] = (gs @ h[i:j]).T, gs.sum(axis=1)
@@ -130,10 +130,12 @@ class Network:
         self.flat -= RATE * g / (np.sqrt(memory.flat) + 1e-6)
 
 
-def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(z less its largest, exp of that, sums of those) of columns of logits; columns, since numpy goes
-    through all places at once then."""
-    z -= z.max(axis=0)
+def _softmax(z: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(logits, exp of them, sums of those) in columns, since numpy goes through all places at once then.
+    The largest logit is taken off where the weights would let one be too large for exp (inputs lie in
+    -1 .. 1)."""
+    if (np.abs(weight).sum(axis=0) + np.abs(bias)).max() > 80:
+        z -= z.max(axis=0)
     e = np.exp(z)
     return z, e, e.sum(axis=0)
 
@@ -157,8 +159,15 @@ def word_numbers(hashes: np.ndarray, vocabulary: np.ndarray, number: np.ndarray)
     bucket = len(vocabulary) + (hashes % np.uint64(BUCKETS)).astype(np.int64)
     if not len(vocabulary):
         return bucket
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == hashes, number[at], bucket)
+    # the first word of the vocabulary with the same leading bits, and those after it with them
+    lead = np.arange(1 << 16, dtype=np.uint64) << np.uint64(48)
+    begin = np.searchsorted(vocabulary, lead)
+    at = begin[(hashes >> np.uint64(48)).astype(np.int64)]
+    out = bucket
+    for k in range(int(np.diff(np.append(begin, len(vocabulary))).max())):
+        near = np.minimum(at + k, len(vocabulary) - 1)
+        out = np.where(vocabulary[near] == hashes, number[near], out)
+    return out
 
 
 def windows(words: np.ndarray, before: np.ndarray, places: np.ndarray) -> np.ndarray:
