@@ -44,8 +44,8 @@ FILTER_BITS, MOST_BITS = 1 << 23, 1 << 27
 
 
 def hash_filter(df: DataFrame, column: str, rows: int = 0):
-    """A broadcast bitmap in which the bits of all (long) values are set; ``rows`` tells about how many there
-    are, and the bitmap has eight bits or more for each, up to ``MOST_BITS``.
+    """A broadcast bitmap in which the bits of all (long) values are set. It has ``FILTER_BITS`` bits, or where
+    ``rows`` tells about how many values there are eight for each, up to ``MOST_BITS``.
 
     Rows whose bit is not set surely have no partner, so they need no shuffle. When more values are there
     than the bitmap can tell apart it lets everything through: results never depend on it.
