@@ -41,6 +41,8 @@ ROUNDS = 2
 #: As many as rounds: each round takes its own places, all rounds together take all.
 STRIDE = ROUNDS
 BATCH = 2048
+#: Places scored in one numpy step; arrays of so many stay in the processor's cache.
+SCORED = 1 << 12
 RATE = 0.1
 STEP = 1 << 19
 #: Places of the parameters that are averaged as one row.
@@ -78,22 +80,35 @@ class Network:
         net.bs[:] = np.log(share / share.sum(axis=1, keepdims=True))
         return net
 
+    def steep(self) -> tuple[bool, np.ndarray]:
+        """Whether the weights would let a logit be too large for exp (inputs lie in -1 .. 1): for the classes,
+        and for the words of each class."""
+        within = (np.abs(self.ws).sum(axis=1) + np.abs(self.bs)).max(axis=1) > 80
+        return bool((np.abs(self.wc).sum(axis=0) + np.abs(self.bc)).max() > 80), within
+
     def hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = self.embed[around].reshape(len(around), -1)
-        return x, np.tanh(x @ self.w + self.b)
+        x = self.embed.take(around.ravel(), axis=0).reshape(len(around), -1)
+        h = x @ self.w
+        h += self.b
+        return x, np.tanh(h, out=h)
 
     def log_probability(self, around: np.ndarray, word: np.ndarray) -> np.ndarray:
         """log P(word | words around) of each place; words count from 0."""
         parts = np.matmul(self.embed, self.w.reshape(2 * SIDE, WIDTH, HIDDEN))  # of each word on each seat
-        h = np.tanh(sum((parts[k][around[:, k]] for k in range(2 * SIDE)), self.b))
+        h = parts[0].take(around[:, 0], axis=0)
+        for k in range(1, 2 * SIDE):
+            h += parts[k].take(around[:, k], axis=0)
+        h += self.b
+        np.tanh(h, out=h)
         c, s = word // self.per_class, word % self.per_class
-        z, e, total = _softmax(self.wc.T @ h.T + self.bc[:, None], self.wc, self.bc)
+        steep, steep_within = self.steep()
+        z, e, total = _softmax(self.wc.T @ h.T, self.bc, steep)
         out = z[c, np.arange(len(word))] - np.log(total)
         order, cuts = _by_class(c)
-        h, s = h[order], s[order]
+        h, s = h.take(order, axis=0), s[order]
         within = np.empty(len(word), z.dtype)
         for k, i, j in cuts:
-            z, e, total = _softmax(self.ws[k].T @ h[i:j].T + self.bs[k][:, None], self.ws[k], self.bs[k])
+            z, e, total = _softmax(self.ws[k].T @ h[i:j].T, self.bs[k], steep_within[k])
             within[i:j] = z[s[i:j], np.arange(j - i)] - np.log(total)
         out[order] += within
         return out
@@ -104,15 +119,16 @@ class Network:
         x, h = self.hidden(around)
         c, s = word // self.per_class, word % self.per_class
         grad = Network(len(self.embed) - 1)
-        _, gc, total = _softmax(self.wc.T @ h.T + self.bc[:, None], self.wc, self.bc)
+        steep, steep_within = self.steep()
+        _, gc, total = _softmax(self.wc.T @ h.T, self.bc, steep)
         gc /= total
         gc[c, np.arange(n)] -= 1
         grad.wc[:], grad.bc[:] = (gc @ h).T, gc.sum(axis=1)
         order, cuts = _by_class(c)
-        x, h, s, gc = x[order], h[order], s[order], gc[:, order]
+        x, h, s, gc = x.take(order, axis=0), h.take(order, axis=0), s[order], gc.take(order, axis=1)
         gh = gc.T @ self.wc.T
         for k, i, j in cuts:
-            _, gs, total = _softmax(self.ws[k].T @ h[i:j].T + self.bs[k][:, None], self.ws[k], self.bs[k])
+            _, gs, total = _softmax(self.ws[k].T @ h[i:j].T, self.bs[k], steep_within[k])
             gs /= total
             gs[s[i:j], np.arange(j - i)] -= 1
             grad.ws[k], grad.bs[k] = (gs @ h[i:j]).T, gs.sum(axis=1)
@@ -120,21 +136,20 @@ class Network:
         gz = gh * (1 - h * h)
         grad.w[:], grad.b[:] = x.T @ gz, gz.sum(axis=0)
         gx = (gz @ self.w.T).reshape(n * 2 * SIDE, WIDTH)
-        seat = around[order].ravel().astype(np.uint16)  # sorted by digits; there are fewer words than 65,536
-        order = np.argsort(seat, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], seat[order][1:] != seat[order][:-1]]))
-        grad.embed[seat[order][first]] = np.add.reduceat(gx[order], first, axis=0)
+        seat = around.take(order, axis=0).ravel()
+        for k in range(WIDTH):
+            grad.embed[:, k] = np.bincount(seat, gx[:, k], len(grad.embed))
         grad.embed[0] = 0
         g = grad.flat / n
         memory.flat += g * g
         self.flat -= RATE * g / (np.sqrt(memory.flat) + 1e-6)
 
 
-def _softmax(z: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(logits, exp of them, sums of those) in columns, since numpy goes through all places at once then.
-    The largest logit is taken off where the weights would let one be too large for exp (inputs lie in
-    -1 .. 1)."""
-    if (np.abs(weight).sum(axis=0) + np.abs(bias)).max() > 80:
+def _softmax(z: np.ndarray, bias: np.ndarray, steep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(logits with their bias, exp of them, sums of those) in columns, since numpy goes through all places at
+    once then. The largest logit is taken off where one could be too large for exp."""
+    z += bias[:, None]
+    if steep:
         z -= z.max(axis=0)
     e = np.exp(z)
     return z, e, e.sum(axis=0)
@@ -286,8 +301,8 @@ def score(docs: DataFrame, model: tuple[Network, np.ndarray, np.ndarray], text:
                 got, before = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 ids = word_numbers(got, vocab, num)
                 each = np.zeros(len(ids))
-                for k in range(0, len(ids), 1 << 14):
-                    at = np.arange(k, min(len(ids), k + (1 << 14)))
+                for k in range(0, len(ids), SCORED):
+                    at = np.arange(k, min(len(ids), k + SCORED))
                     each[at] = own.log_probability(windows(ids, before, at), ids[at])
                 n = np.diff(before)
                 doc = np.repeat(np.arange(b - a), n)
