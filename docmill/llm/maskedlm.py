@@ -4,7 +4,7 @@ The network reads the ``SIDE`` words before and after a place, never the word it
 layer, and a softmax over classes times a softmax within the class. Words are the ``VOCABULARY`` most
 frequent of the whole corpus, counted over all documents; every other word is one of ``BUCKETS`` hash
 buckets, of whose probability it has its share by its count (all words never counted share one count more).
-Shares of the ``KNOWN`` most frequent such words go to every task, those of all others come by a join. A document's score is the sum of the conditional log-probabilities of all its words.
+Shares of at most ``KNOWN`` of the most frequent such words go to every task, those of all others come by a join. A document's score is the sum of the conditional log-probabilities of all its words.
 
 Training is data-parallel numpy: in each of ``ROUNDS`` rounds every task starts from the shared
 parameters, takes Adagrad steps over every ``STRIDE``-th place of all its documents (other places in other
@@ -221,12 +221,26 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col(text).cast("string")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, most: int, ties: bool) -> DataFrame:
+    """The words of the highest counts: at most ``most``, or with ``ties`` all up to the count level that holds
+    the last of them. Levels are sixteenths of a doubling, so their tally on the driver has some hundred rows
+    at any size, and a later collect fetches chosen words alone, not so many from every task."""
+    level = F.floor(F.log2("n") * 16)
+    tally = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()
+    above, least = 0, None
+    for r in sorted(tally, key=lambda r: -r["level"]):
+        if above >= most or (above + r["words"] > most and not ties):
+            break
+        above, least = above + r["words"], r["level"]
+    return counts.where(F.lit(False) if least is None else level >= least)
+
+
 def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> tuple[Network, np.ndarray, np.ndarray]:
     """(network, vocabulary, number): see ``word_numbers`` for the last two."""
     bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     counts = written(count_words(docs, text), "words")
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    top = frequent(counts, VOCABULARY, ties=True).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     total = counts.agg(F.sum("n")).first()[0] or 0
     hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
@@ -285,7 +299,7 @@ def score(docs: DataFrame, model: tuple[Network, np.ndarray, np.ndarray], text:
     net, vocabulary, number = model
     words = len(net.embed) - 1
     outside, sums = net.rare
-    top = outside.orderBy(F.desc("n"), "word").limit(known).collect()  # at most KNOWN rows
+    top = frequent(outside, known, ties=False).collect()  # at most ``known`` rows
     hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
     fine = np.round(FINE * np.log(np.array([r["n"] for r in top], np.float64) / (np.array(sums, np.float64)[(hashes % np.uint64(BUCKETS)).astype(np.int64)] + 1))).astype(np.int64)

@@ -261,6 +261,18 @@ def test_every_place_is_learnt_once():
         assert sorted(np.concatenate(taken).tolist()) == list(range(n))
 
 
+def test_frequent_words(spark):
+    rows = [(k, 1000 // (k + 1)) for k in range(300)]
+    counts = spark.createDataFrame(rows, "word long, n long").repartition(5)
+    for most in (0, 1, 7, 50, 299, 300, 1000):
+        few, more = ({r.word for r in maskedlm.frequent(counts, most, ties).collect()} for ties in (False, True))
+        assert few <= set(range(most)) and more >= set(range(min(most, 300))), most
+        for got in (few, more):  # no word stays out while one with a lower count is in
+            least = min((1000 // (k + 1) for k in got), default=1 << 60)
+            assert got >= {k for k, n in rows if n > least}
+    assert maskedlm.frequent(counts.limit(0), 5, True).count() == 0
+
+
 def test_rare_words_have_their_share(spark):
     often = " ".join(f"w{k} w{k} w{k}" for k in range(maskedlm.VOCABULARY))
     rare = " ".join([*(f"r{k} r{k}" for k in range(300)), *(f"s{k}" for k in range(300))])
