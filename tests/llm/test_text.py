@@ -79,7 +79,7 @@ def test_token_files(docs, library, monkeypatch):
     monkeypatch.setattr(tokenfile, "FILE_TEXT_BYTES", 50_000)
     got = tokenfile.token_file_digests(docs).toPandas()
     crc = lambda t: zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())
-    assert collections.Counter(got.ids_crc32) == collections.Counter(crc(r.text) for r in docs.collect())
+    assert collections.Counter((r.doc_id, r.ids_crc32) for r in tokenfile.token_file_digests(docs).collect()) == collections.Counter((r.doc_id, crc(r.text)) for r in docs.collect())
     got = got.sort_values("start")
     assert got.start.iloc[0] == 0 and (got.start.diff().iloc[1:] == got.n_tokens.shift().iloc[1:]).all()
     keys = got.doc_id.dropna().tolist()
@@ -95,6 +95,11 @@ def test_packing(docs, library):
     assert got.length.sum() == sum(sizes)
     assert len(got) == sum(-(-n // 256) for n in sizes)
     assert got.sequence_id.nunique() <= -(-sum(sizes) // 256) + 2
+    want = collections.Counter()
+    for r in docs.collect():
+        ids = np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        want.update((r.doc_id, a // 256, a, len(ids[a : a + 256]), zlib.crc32(ids[a : a + 256].tobytes())) for a in range(0, len(ids), 256))
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packing.pack_documents(docs, capacity=256).collect()) == want
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
