@@ -5,7 +5,8 @@ four words whose every pair is frequent; a phrase can't be more frequent than a
 lost. Each task counts in a HAT-trie (``HatTrie``): a trie over word ids whose leaves are hash tables of the
 phrases' further words; a table that grows too large bursts into a node with a table for every next word.
 When a task holds too many phrases, whole subtrees, the largest first, leave as runs sorted by their
-words. Runs meet by prefix, the first three words, and are added up there.
+words. Runs meet by prefix, the first word (and for words that make up much of the corpus by a part of what
+follows), and are added up there.
 
 **Filters.** Which words and pairs are frequent is told to the tasks by a bitmap of bounded size. It lets
 some others through, which are counted in vain and dropped afterwards; results never depend on it.
@@ -23,6 +24,8 @@ without frequent phrases, gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +48,11 @@ BURST = 1 << 12
 #: Bits of a word's id in a packed key, and how many ids there are before a trie is emptied.
 ID_BITS = 21
 #: Bytes of text that one vectorised step handles.
-STEP, WORD_STEP = 1 << 19, 1 << 21
+STEP = 1 << 21
+#: Words that make up at least one in so many of all (so no more than these) have their runs dealt to PARTS places.
+HEAVY, PARTS = 1024, 64
+#: Phrases that one step of a merging task handles, beyond the prefix that it is at.
+MERGED = 1 << 18
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[ord("A") : ord("Z") + 1] += 32
@@ -130,8 +137,8 @@ class HatTrie:
                     own[r] = own.get(r, 0) + c
             else:
                 had = len(table)
-                for r, c in zip(rest[a:b], count[a:b], strict=True):
-                    table[r] = table.get(r, 0) + c
+                own = rest[a:b]
+                table.update(zip(own, map(add, count[a:b], map(table.get, own, repeat(0))), strict=True))
                 grown = len(table) - had
                 if len(table) > self.burst:
                     self._burst(head, table)
@@ -146,26 +153,32 @@ class HatTrie:
         self.root[head] = node
         self.nodes.add(head)
 
-    def spill(self, all_: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(first, rest, count) of subtrees, each a sorted run: the largest until half is left, or all."""
+    def spill(self, all_: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, rest, count) of whole subtrees in no order: the largest until half is left, or all."""
+        if all_:
+            gone = list(self.root)
+        else:
+            gone, left = [], self.size
+            for head in sorted(self.root, key=self.sizes.__getitem__, reverse=True):
+                if left <= self.held // 2:
+                    break
+                gone.append(head)
+                left -= self.sizes[head]
         low = 2 * ID_BITS
-        gone: list[int] = []
-        for head in sorted(self.root) if all_ else sorted(self.root, key=self.sizes.__getitem__, reverse=True):
-            if not all_ and self.size <= self.held // 2:
-                break
-            table = self.root[head]
-            if head in self.nodes:
-                rest = np.concatenate([np.fromiter(t, np.int64, len(t)) | (k << low) for k, t in table.items()])
-                count = np.concatenate([np.fromiter(t.values(), np.int64, len(t)) for t in table.values()])
-            else:
-                rest, count = np.fromiter(table, np.int64, len(table)), np.fromiter(table.values(), np.int64, len(table))
-            order = np.argsort(rest)
-            yield np.full(len(rest), head), rest[order], count[order]
-            self.size -= len(rest)
-            gone.append(head)
+        plain = [head for head in gone if head not in self.nodes]
+        leaves = [(head, above << low, table) for head in gone if head in self.nodes for above, table in self.root[head].items()]
+        tables = [self.root[head] for head in plain] + [table for _, _, table in leaves]
+        sizes = np.array([len(t) for t in tables], np.int64)
+        total = int(sizes.sum())
+        first = np.repeat(np.array(plain + [head for head, _, _ in leaves], np.int64), sizes)
+        rest = np.fromiter(chain.from_iterable(tables), np.int64, total)
+        rest |= np.repeat(np.array([0] * len(plain) + [above for _, above, _ in leaves], np.int64), sizes)
+        count = np.fromiter(chain.from_iterable(t.values() for t in tables), np.int64, total)
         for head in gone:
-            del self.root[head], self.sizes[head]
+            self.size -= self.sizes.pop(head)
+            del self.root[head]
             self.nodes.discard(head)
+        return first, rest, count
 
 
 def _pair_id(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -195,7 +208,7 @@ def count_words(docs: DataFrame, text: str = "text", group: str = "lang") -> Dat
             langs = batch.column(0).dictionary_encode()
             number = langs.indices.to_numpy().astype(np.int64)
             data, offsets = textcore.flat_text(batch.column(1))
-            for a, b in textcore.steps(offsets, WORD_STEP):
+            for a, b in textcore.steps(offsets, STEP):
                 raw, start, end, doc, _ = piece_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 if not len(start):
                     continue
@@ -219,30 +232,32 @@ def count_words(docs: DataFrame, text: str = "text", group: str = "lang") -> Dat
 def count_phrases(docs: DataFrame, words: DataFrame, pairs: DataFrame | None = None, text: str = "text", group: str = "lang", min_count: int = MIN_COUNT) -> DataFrame:
     """(lang, w1 .. w4, a): phrases that occur ``min_count`` times or more, as word hashes; absent words are 0.
 
-    Pairs of the frequent words (``words`` has w1), or with frequent ``pairs`` (w1, w2) the phrases of three and four
+    Pairs of the frequent words (``words`` has w1 and n), or with frequent ``pairs`` (w1, w2) the phrases of three and four
     words whose pairs are all among them."""
     word_bits = hash_filter(words, "w1", words.count())
     pair_bits = hash_filter(pairs.select(_pair_column("w1", "w2").alias("id")), "id", pairs.count()) if pairs is not None else None
-    low = ID_BITS
-    mask = (1 << ID_BITS) - 1
-
-    def batch_of(trie: HatTrie, names: list[str], runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        first, rest, count = (np.concatenate([r[k] for r in runs]) for k in range(3))
-        known = np.array([0, *trie.words], np.uint64).view(np.int64)  # id 0: no word
-        ids = (first & mask, rest >> (2 * low), (rest >> low) & mask, rest & mask)
-        lang = pa.array(names).take(pa.array(first >> low))
-        return pa.RecordBatch.from_arrays([lang, *(pa.array(known[i]) for i in ids), pa.array(count)], names=["lang", *_WORDS, "n"])
+    low, mask = ID_BITS, (1 << ID_BITS) - 1
+    short = pairs is None
+    columns = ["lang", "w1", "part", *(_WORDS[1:2] if short else _WORDS[1:]), "n"]
+    total = words.agg(F.sum("n")).first()[0] or 0  # of the frequent words, which are all that is counted
+    heavy = np.array([r["w1"] for r in words.where(F.col("n") * HEAVY >= total).select("w1").distinct().collect()], np.int64).view(np.uint64)  # HEAVY at most
 
     def emptied(trie: HatTrie, names: list[str], all_: bool) -> Iterator[pa.RecordBatch]:
-        runs, size = [], 0
-        for r in trie.spill(all_):
-            runs.append(r)
-            size += len(r[0])
-            if size > 1 << 15:
-                yield batch_of(trie, names, runs)
-                runs, size = [], 0
-        if runs:
-            yield batch_of(trie, names, runs)
+        """Subtrees as sorted runs: a row for each first word (and part, of a heavy one) with the other words' hashes."""
+        first, rest, count = trie.spill(all_)
+        known = np.array([0, *trie.words], np.uint64)  # id 0: no word
+        ids = [known[(rest >> (low * k)) & mask] for k in (2, 1, 0)][: 1 if short else 3]
+        part = np.where(np.isin(known[first & mask], heavy), (textcore.mix(sum(w * np.uint64(2 * k + 3) for k, w in enumerate(ids))) >> np.uint64(58)).astype(np.int64), 0)
+        order = np.lexsort((rest, part, first))
+        first, part, count, ids = first[order], part[order], count[order], [w[order] for w in ids]
+        cut = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (part[1:] != part[:-1]))) if len(first) else np.zeros(0, np.int64)
+        ends = np.append(cut[1:], len(first))
+        for a, b in textcore.steps(np.append(cut, len(first)), 1 << 16):
+            lo, hi = cut[a], ends[b - 1]
+            at = pa.py_buffer((8 * (np.append(cut[a:b], hi) - lo)).astype(np.int32))
+            packed = [pa.Array.from_buffers(pa.binary(), b - a, [None, at, pa.py_buffer(np.ascontiguousarray(x[lo:hi]))]) for x in (*ids, count)]
+            head = first[cut[a:b]]
+            yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(head >> low)), pa.array(known[head & mask].view(np.int64)), pa.array(part[cut[a:b]], pa.int32()), *packed], names=columns)
 
     def phrases(hashes: np.ndarray, piece: np.ndarray, bits, more) -> Iterator[tuple[np.ndarray, int]]:
         """(places, length): where phrases of the length begin that may be frequent."""
@@ -291,9 +306,51 @@ def count_phrases(docs: DataFrame, words: DataFrame, pairs: DataFrame | None = N
                     trie.add((lang[a:b][doc[at]] << low) | ids[at], rest)
         yield from emptied(trie, names, True)
 
-    runs = _grouped(docs, text, group).mapInArrow(run, "lang string, " + ", ".join(f"{w} long" for w in _WORDS) + ", n long")
-    met = runs.repartition("lang", *_WORDS[:3])
-    return met.groupBy("lang", *_WORDS).agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of one prefix, next to each other, added up."""
+        held: list[pa.RecordBatch] = []
+        size, end = 0, None
+        for batch in batches:
+            keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            fresh = np.append(end is None or tuple(k[0] for k in keys) != end, np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))
+            end = tuple(k[-1] for k in keys)
+            last = np.flatnonzero(fresh)
+            if len(last) and size > MERGED:
+                yield _added(held + [batch.slice(0, last[-1])], min_count)
+                held, size = [], 0
+                batch = batch.slice(last[-1])
+            held.append(batch)
+            size += batch.nbytes // 16
+        if held:
+            yield _added(held, min_count)
+
+    rest = columns[3:]
+    runs = _grouped(docs, text, group).mapInArrow(run, "lang string, w1 long, part int, " + ", ".join(f"{c} binary" for c in rest))
+    met = runs.repartition("lang", "w1", "part").sortWithinPartitions("lang", "w1", "part")
+    return met.mapInArrow(merge, "lang string, " + ", ".join(f"{w} long" for w in _WORDS) + ", a long")
+
+
+def _added(runs: list[pa.RecordBatch], min_count: int) -> pa.RecordBatch:
+    """(lang, w1 .. w4, a) of phrases with ``min_count`` occurrences or more in runs, those of one prefix next to each other."""
+    table = pa.Table.from_batches(runs).combine_chunks()
+    column = lambda name: table.column(name).chunk(0) if len(table) else pa.array([], pa.binary())
+    langs = table.column("lang").combine_chunks().dictionary_encode()
+    head = [langs.indices.to_numpy(zero_copy_only=False), *(table.column(c).to_numpy() for c in ("w1", "part"))]
+    flat, offsets = textcore.flat_text(column("n"))
+    sizes = np.diff(offsets) // 8
+    row = np.repeat(np.arange(len(table)), sizes)
+    number = np.cumsum(np.append(False, np.logical_or.reduce([h[1:] != h[:-1] for h in head]))) if len(table) else np.zeros(0, np.int64)
+    words = [np.frombuffer(textcore.flat_text(column(w))[0].tobytes(), np.int64) for w in _WORDS[1:] if w in table.column_names]
+    count = np.frombuffer(flat.tobytes(), np.int64)
+    order = np.lexsort((*reversed(words), number[row])) if len(count) else np.zeros(0, np.int64)
+    keys = [number[row][order], *(w[order] for w in words)]
+    fresh = np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))) if len(count) else np.zeros(0, np.int64)
+    sums = np.add.reduceat(count[order], fresh) if len(fresh) else count
+    kept = fresh[sums >= min_count]
+    at = row[order][kept]
+    made = [w[order][kept] for w in words]
+    made += [np.zeros(len(kept), np.int64)] * (MOST_WORDS - 1 - len(made))
+    return pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(head[0][at])), pa.array(head[1][at], pa.int64()), *(pa.array(w) for w in made), pa.array(sums[sums >= min_count])], names=["lang", *_WORDS, "a"])
 
 
 def _cut(words: list[str], a: int, b: int) -> list[Column]:
