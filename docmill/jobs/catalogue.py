@@ -32,13 +32,13 @@ def _asked(rows: DataFrame) -> DataFrame:
 
 def semantic_topk(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    hits = retrieval.semantic(_asked(v), v, RetrievalConfig(top_k=6, min_score=-2.0))
+    hits = retrieval.semantic(_asked(v), v, RetrievalConfig(top_k=6, min_score=-2.0), exclude_self=True)
     return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 def semantic_threshold(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    hits = retrieval.semantic(_asked(v), v, SEARCH)
+    hits = retrieval.semantic(_asked(v), v, SEARCH, exclude_self=True)
     return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
@@ -61,7 +61,7 @@ def _hybrid(spark, sf_dir):
     index = _vector_codes(table)
     asked = index.where(F.col("chunk_id") % 50 == 0).select(F.col("chunk_id").alias("query_id"), "value")
     by_code = retrieval.lookup(asked, index).where("query_id <> chunk_id")
-    return retrieval.hybrid(retrieval.semantic(_asked(v), v, SEARCH), by_code, SEARCH, index)
+    return retrieval.hybrid(retrieval.semantic(_asked(v), v, SEARCH, exclude_self=True), by_code, SEARCH, index)
 
 
 def hybrid_retrieve(spark, sf_dir):
@@ -85,7 +85,7 @@ def eval_rates(spark, sf_dir):
     """Queries are graded by whether a hit shares their label; the label is the expected code."""
     table = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
     v = _vectors(spark, sf_dir)
-    hits = retrieval.semantic(_asked(v), v, SEARCH).join(table.toDF("chunk_id", "hit_label"), "chunk_id")
+    hits = retrieval.semantic(_asked(v), v, SEARCH, exclude_self=True).join(table.toDF("chunk_id", "hit_label"), "chunk_id")
     own = hits.groupBy("query_id").agg(F.collect_set(F.col("hit_label").cast("string")).alias("codes"), F.collect_set((F.col("chunk_id") % 10).cast("int")).alias("pages"))
     none = F.array().cast("array<string>")
     cases = _asked(table).join(own, F.col("id") == F.col("query_id"), "left").select(

@@ -132,7 +132,7 @@ def index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _updated(spark, sf_dir)
     now = lifecycle.load(spark, path)
     stored = now["chunks"].join(now["vectors"], ["source_path", "chunk_id"]).groupBy("source_path").agg(F.sum(F.length("text")).alias("chars"), F.sum(F.col("v")[0]).cast("long").alias("total"))
-    done = spark.read.parquet(f"{path}/v2/actions").select("source_path", "action")
+    done = lifecycle.last_actions(spark, path).select("source_path", "action")
     rows = now["registry"].join(done, "source_path").join(stored, "source_path", "left")
     zero = F.lit(0).cast("long")
     return rows.select("source_path", "content_hash", "document_id", "chunk_count", "action", F.coalesce("chars", zero).alias("chars"), F.coalesce("total", zero).alias("total"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -37,27 +38,35 @@ def _met(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return c.join(q.withColumn("block", numbers), ["dim", "block"]).select("dim", "q", "c")
 
 
-def _scores(k: int, min_score: float):
+def _same(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Which ids of a equal which of b."""
+    both = pa.concat_arrays([a, b]).dictionary_encode().indices.to_numpy()
+    return both[: len(a), None] == both[None, len(a) :]
+
+
+def _scores(k: int, min_score: float, exclude_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
                 (qid, q), (cid, c) = (_unpack(batch.column(j)[row]) for j in (1, 2))
                 s = _unit(q) @ _unit(c).T
-                s[qid[:, None] == cid[None, :]] = -np.inf
+                if exclude_self:
+                    s[_same(qid, cid)] = -np.inf
                 s[~(s >= min_score)] = -np.inf
                 at = np.argsort(-s, axis=1, kind="stable")[:, :k] if s.shape[1] > k else np.tile(np.arange(s.shape[1]), (len(s), 1))
                 got = np.take_along_axis(s, at, 1)
                 ok = np.isfinite(got)
-                q_at = np.repeat(qid, at.shape[1]).reshape(at.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(q_at[ok]), pa.array(cid[at][ok]), pa.array(got[ok])], names=["query_id", "chunk_id", "score"])
+                q_at = np.repeat(np.arange(len(s)), at.shape[1]).reshape(at.shape)
+                yield pa.RecordBatch.from_arrays([qid.take(pa.array(q_at[ok])), cid.take(pa.array(at[ok])), pa.array(got[ok])], names=["query_id", "chunk_id", "score"])
 
     return run
 
 
-def _unpack(cell) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(cell) -> tuple[pa.Array, np.ndarray]:
+    """Ids of any type in order, and their vectors."""
     own = cell.values
-    order = np.argsort(own.field("id").to_numpy())
-    return own.field("id").to_numpy()[order], np.array(own.field("v").flatten(), np.float64).reshape(len(own), -1)[order]
+    order = pc.sort_indices(own.field("id"))
+    return own.field("id").take(order), np.array(own.field("v").flatten(), np.float64).reshape(len(own), -1)[order.to_numpy()]
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -65,25 +74,30 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def semantic(queries: DataFrame, vectors: DataFrame, config: RetrievalConfig, ranked: bool = True) -> DataFrame:
+def semantic(queries: DataFrame, vectors: DataFrame, config: RetrievalConfig, ranked: bool = True, exclude_self: bool = False) -> DataFrame:
     """(query_id, chunk_id, score[, rank]): each query's top_k by cosine among scores of at least min_score.
 
-    Both sides are (id long, v array). Every block of queries meets every block of vectors in one numpy
+    Both sides are (id of any type that can be ordered, v array). Every block of queries meets every block of vectors in one numpy
     product, which keeps top_k of each query; the window then ranks blocks' winners. A null vector, or one
-    with a null, takes no part; a zero vector scores 0; an id never finds itself; ties go to the lesser id.
+    with a null, takes no part; a zero vector scores 0; ties go to the lesser id. With ``exclude_self``, for queries taken from
+    the vectors themselves, an id doesn't find itself.
     """
     clean = lambda df: df.where("v is not null and size(v) > 0").where(~F.exists("v", lambda x: x.isNull()))
-    met = _met(clean(queries), clean(vectors)).mapInArrow(_scores(config.top_k, config.min_score), "query_id long, chunk_id long, score double")
+    kinds = [df.schema["id"].dataType for df in (queries, vectors)]
+    if exclude_self and kinds[0] != kinds[1]:
+        raise TypeError("ids of queries and vectors are of different types")
+    schema = f"query_id {kinds[0].simpleString()}, chunk_id {kinds[1].simpleString()}, score double"
+    met = _met(clean(queries), clean(vectors)).mapInArrow(_scores(config.top_k, config.min_score, exclude_self), schema)
     if not ranked:
         return met
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= config.top_k)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(value, chunk_id) from chunks with codes: each chunk once per value."""
+def postings(chunks: DataFrame, *beside: str) -> DataFrame:
+    """(value, columns beside, chunk_id) from chunks with codes: each chunk once per value."""
     # the outer form, since explode has the codes extracted once more for a filter on their number
-    return chunks.select("chunk_id", F.explode_outer("codes.value").alias("value")).where("value is not null").distinct().select("value", "chunk_id")
+    return chunks.select("chunk_id", *beside, F.explode_outer("codes.value").alias("value")).where("value is not null").distinct().select("value", *beside, "chunk_id")
 
 
 def lookup(query_codes: DataFrame, index: DataFrame) -> DataFrame:

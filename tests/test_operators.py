@@ -100,8 +100,11 @@ def test_hybrid_merge(spark):
 
 def test_semantic_leaves_out_nulls_and_keeps_ties_in_order(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (3, [1.0, 0.0]), (2, [2.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [1.0, None])], "id long, v array<double>")
-    got = retrieval.semantic(v.where("id = 1"), v, RetrievalConfig(top_k=6, min_score=-1.0)).orderBy("rank").collect()
+    got = retrieval.semantic(v.where("id = 1"), v, RetrievalConfig(top_k=6, min_score=-1.0), exclude_self=True).orderBy("rank").collect()
     assert [(r.chunk_id, r.score) for r in got] == [(2, 1.0), (3, 1.0), (5, 0.0)]
+    # ids of queries and chunks are different name spaces unless one says otherwise, and may be of any type
+    got = retrieval.semantic(v.where("id = 1"), v.withColumn("id", F.concat(F.lit("c"), "id")), RetrievalConfig(top_k=6, min_score=-1.0)).orderBy("rank").collect()
+    assert [(r.query_id, r.chunk_id) for r in got] == [(1, "c1"), (1, "c2"), (1, "c3"), (1, "c5")]
 
 
 def test_evaluation(spark):
