@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from docmill.config import DEFAULT_CODE_PATTERNS, NOT_FOUND
+from docmill.config import DEFAULT_CODE_PATTERNS, NOT_FOUND, RetrievalConfig
 from docmill.functions import answers, codes
 from docmill.jobs import catalogue
 from docmill.operators import answering, chunking, lifecycle, retrieval
@@ -176,6 +176,101 @@ _REEMBED = f"""select source, count(*) as vectors, sum(length(s))::bigint as fir
 from {catalogue._LINES} where s <> '' group by 1"""
 
 
+FEATURES = 16
+LOOKUP = RetrievalConfig(top_k=6, min_score=0.75)
+
+
+def _digest_vector(text: Column) -> Column:
+    """A vector of a text's checksum: equal texts are equal, others as good as random."""
+    digit = lambda i: F.call_function("instr", F.lit("0123456789abcdef"), F.call_function("substring", F.md5(text), i, F.lit(1)))
+    return F.transform(F.sequence(F.lit(1), F.lit(FEATURES)), lambda i: digit(i).cast("double") - 8.5)
+
+
+def _alarm_parse(files: DataFrame) -> DataFrame:
+    """A chunk a line that isn't blank, with its alarms; every third line stands in a section."""
+    lines = B.page_lines(files.select("source_path", F.lit(1).alias("page"), F.col("content").cast("string").alias("text")), "source_path")
+    lines = B.classify(lines).where("kind <> 'blank'")
+    section = F.when(F.col("line_no") % 3 == 0, F.concat(F.lit("Part "), F.col("line_no") % 4))
+    name = chunking.chunk_id(F.col("source_path"), F.col("line_no"), F.lit(1), F.col("s"))
+    return lines.select("source_path", name.alias("chunk_id"), F.col("s").alias("text"), "page", section.alias("section"), F.lit("paragraph").alias("kind"), codes.extract(F.col("s"), DEFAULT_CODE_PATTERNS[:1]).alias("codes"))
+
+
+def _alarm_files(docs: DataFrame, old: bool) -> DataFrame:
+    headed = docs.withColumn("text", F.concat(F.lit("ALARM "), F.col("doc_id") % 500, F.lit("\n"), F.coalesce("text", F.lit(""))))
+    return _as_files(headed, old)
+
+
+def _alarm_index(spark: SparkSession, sf_dir: str) -> str:
+    """An index of an older state, brought up to date, without the documents named 12.txt and 13.txt."""
+    docs = read_table(spark, sf_dir, "documents")
+    path = shared_folder(spark, "index")
+    embed = lambda chunks: chunks.select("chunk_id", "source_path", _digest_vector(F.col("embedding_text")).alias("v"))
+    lifecycle.update(spark, path, _alarm_files(docs, True), _alarm_parse, embed, "digests", "T0")
+    lifecycle.update(spark, path, _alarm_files(docs, False), _alarm_parse, embed, "digests", "T1")
+    lifecycle.remove(spark, path, ["x/12.txt", "x/13.txt"], "T2")
+    return path
+
+
+def _alarm_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document divisible by 50 asks with its own line of identifiers."""
+    docs = read_table(spark, sf_dir, "documents").where("doc_id % 50 = 0")
+    return docs.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("what is alarm "), F.col("doc_id") % 500, F.lit(" or alarm 9999 in "), "source", F.lit("?")).alias("question"))
+
+
+def _embed_questions(questions: DataFrame) -> DataFrame:
+    return questions.select("query_id", _digest_vector(F.col("embedding_text")).alias("v"))
+
+
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six nearest chunks of the index to each question."""
+    path = _alarm_index(spark, sf_dir)
+    asked = _embed_questions(_alarm_questions(spark, sf_dir).withColumnRenamed("question", "embedding_text"))
+    hits, _ = lifecycle.search(spark, path, asked, RetrievalConfig(top_k=6, min_score=-1.0))
+    return hits.select("query_id", "source_path", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+def index_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bare questions to the index: what was found, what kind of hits, resolved identifiers, and the message."""
+    path = _alarm_index(spark, sf_dir)
+    made, hits = answering.ask(spark, path, _alarm_questions(spark, sf_dir), _embed_questions, LOOKUP, DEFAULT_CODE_PATTERNS[:1], "digests")
+    kinds = hits.groupBy("query_id").agg(*(F.count_if(F.col("match_type") == k).alias(k) for k in ("code", "semantic", "hybrid")))
+    return made.join(kinds, "query_id", "left").select("query_id", "found", F.coalesce(F.size("retrieved"), F.lit(0)).cast("long").alias("passages"), "code", "semantic", "hybrid", F.array_join("resolved", ",").alias("resolved"), F.md5(F.col("messages")[1]["content"]).alias("asked_md5"))
+
+
+def index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index's stored postings after an update and a removal, by identifier."""
+    now = lifecycle.load(spark, _alarm_index(spark, sf_dir))
+    return now["postings"].groupBy("value").agg(F.count("*").alias("chunks"), F.min("source_path").alias("first_path"), F.min("chunk_id").alias("first_chunk"))
+
+
+_VECTOR = "[instr('0123456789abcdef', md5({t})[i]) - 8.5 for i in range(1, 17)]::double[]"
+_ALARM_LINES = rf"""a as materialized (select *, sha1(source_path || '|' || line_no || '|1|' || s)[:16] as chunk_id, case when line_no % 3 = 0 then 'Part ' || (line_no % 4) end as section,
+    list_distinct(list_transform(regexp_extract_all(regexp_replace(s, '[^A-Za-z0-9]', '\0\0', 'g'), '(?i)(?:^|[^A-Za-z0-9])(?:ALARM|ALM|AL)[\s\-:_]*(\d{{1,4}}[A-Z]?)', 1), lambda x: 'AL-' || upper(x))) as codes
+  from (select source || '/' || doc_id || '.txt' as source_path, line_no, s from {{lines}} where s <> '' and doc_id not in (12, 13))),
+v as materialized (select *, {_VECTOR.format(t="coalesce(section || chr(10), '') || s")} as v from a),
+q as materialized (select query_id, question, {_VECTOR.format(t="question")} as v from (select doc_id as query_id, 'what is alarm ' || (doc_id % 500) || ' or alarm 9999 in ' || source || '?' as question from documents where doc_id % 50 = 0)),
+m as materialized (select query_id, source_path, chunk_id, score from (select query_id, source_path, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id, source_path) as r
+  from (select query_id, source_path, chunk_id, list_cosine_similarity(q.v, v.v) as score from q, v)) where r <= 6)""".replace(
+    "{lines}", catalogue._LINES.replace("coalesce(text, '')", "'ALARM ' || (doc_id % 500) || chr(10) || coalesce(text, '')")
+)
+_INDEX_SEARCH = f"""with {_ALARM_LINES}
+select query_id, source_path, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id, source_path) as rank, round(score, 6) as score from m"""
+_INDEX_POSTINGS = f"with {_ALARM_LINES} select value, count(*) as chunks, min(source_path) as first_path, min(chunk_id) as first_chunk from (select source_path, chunk_id, unnest(codes) as value from a) group by 1"
+_INDEX_ASK = f"""with {_ALARM_LINES},
+w as (select query_id, unnest(['AL-' || (query_id % 500), 'AL-9999']) as value, unnest([0, 1]) as position from q),
+p as materialized (select source_path, chunk_id, unnest(codes) as value from a),
+k as (select distinct query_id, source_path, chunk_id, true as by_code from w join p using (value)),
+h as materialized (select *, row_number() over (partition by query_id order by score desc, chunk_id, source_path) as rank from (
+  select query_id, source_path, chunk_id, coalesce(score, 0) + case when by_code then 1 else 0 end as score, case when by_code is null then 'semantic' when score is null then 'code' else 'hybrid' end as kind
+  from (select * from m where score >= 0.75) full join k using (query_id, source_path, chunk_id))),
+t as (select query_id, count(*) as passages, count(*) filter (kind = 'code') as code, count(*) filter (kind = 'semantic') as semantic, count(*) filter (kind = 'hybrid') as hybrid,
+  string_agg(chr(10) || chr(10) || '[' || chunk_id || ']' || case when section <> '' then ' (section: ' || section || ')' else '' end || case when len(codes) > 0 then chr(10) || 'Identifiers: ' || array_to_string(codes, ', ') else '' end || chr(10) || s, '' order by rank) as said
+  from h join a using (source_path, chunk_id) group by 1)
+select q.query_id, passages is not null as found, coalesce(passages, 0) as passages, code, semantic, hybrid,
+  coalesce((select string_agg(value, ',' order by position) from w where w.query_id = q.query_id and value in (select value from p)), '') as resolved,
+  md5('Question: ' || question || chr(10) || chr(10) || 'Context passages:' || said) as asked_md5 from q left join t on t.query_id = q.query_id"""
+
+
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations")
     rank = F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))
@@ -289,7 +384,7 @@ _SOURCES = f"select conv_id as query_id, min(i)::bigint - 1 as position, source_
 QUERIES = {
     f.__name__: f
     for f in (
-        paragraph_blocks, document_titles, document_chunks, code_rules, index_update, index_remove, index_reembed, questions_prepared, structured_replies, answers_assembled, answer_sources,
+        paragraph_blocks, document_titles, document_chunks, code_rules, index_update, index_remove, index_reembed, index_search, index_postings, index_ask, questions_prepared, structured_replies, answers_assembled, answer_sources,
     )
 }
 
@@ -301,6 +396,9 @@ ORACLES = {
     "index_update": f"select source_path, content_hash, doc_id::varchar as document_id, n as chunk_count, case when doc_id % 7 = 0 then 'added' when doc_id % 10 = 0 then 'refreshed' else 'skipped' end as action, chars, chars as total from {_FILES}",
     "index_remove": _REMOVED,
     "index_reembed": _REEMBED,
+    "index_search": _INDEX_SEARCH,
+    "index_postings": _INDEX_POSTINGS,
+    "index_ask": _INDEX_ASK,
     "questions_prepared": f"select conv_id as query_id, ids is not null as found, coalesce(len(ids), 0)::bigint as passages, array_to_string(resolved, ',') as resolved, md5(asked) as asked_md5, ids is not null as told from {_ASKED}",
     "structured_replies": _STRUCTURED,
     "answers_assembled": _ASSEMBLED,

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.config import NOT_FOUND
+from docmill.config import DEFAULT_CODE_PATTERNS, NOT_FOUND, CodePattern, RetrievalConfig
 from docmill.functions import answers
+from docmill.functions.codes import extract
 from docmill.functions.text import strip
-from docmill.operators import prompts
+from docmill.operators import lifecycle, prompts
+from docmill.operators.retrieval import hybrid, lookup
 
 #: What a model is told ahead of a question and its passages.
 SYSTEM_MESSAGE = f"""Use nothing but the passages below to answer the question.
@@ -25,13 +30,14 @@ _CITATION = ("chunk_id", "source_path", "page", "section")
 def prepare(questions: DataFrame, hits: DataFrame, chunks: DataFrame, resolved: DataFrame | None = None, system: str = SYSTEM_MESSAGE) -> DataFrame:
     """(query_id, question, found, retrieved, resolved, messages) of every question.
 
-    ``hits`` has query_id, rank and chunk_id; ``chunks`` chunk_id, source_path, page, section, kind, text and
+    ``hits`` has query_id, rank and chunk_id, and source_path where it is part of a chunk's key; ``chunks`` chunk_id, source_path, page, section, kind, text and
     codes (array of values); ``resolved`` query_id, position, value of identifiers that the index holds.
     ``retrieved`` lists the hits that have a chunk, in order of rank. A question without any is not found
     and gets no messages. Repeated hits stay; a null rank comes first.
     """
     passage = prompts.passage(F.col("chunk_id"), F.col("section"), F.col("codes"), F.col("kind"), F.col("text"))
-    rows = hits.select("query_id", "rank", "chunk_id").join(chunks.select(*_CITATION, "kind", "text", "codes"), "chunk_id")
+    key = ["chunk_id", *(c for c in ("source_path",) if c in hits.columns)]
+    rows = hits.select("query_id", "rank", *key).join(chunks.select(*_CITATION, "kind", "text", "codes"), key)
     own = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", *_CITATION, "codes", passage.alias("passage")))).alias("retrieved"))
     made = questions.select("query_id", "question").join(own, "query_id", "left")
     none = F.array().cast("array<string>")
@@ -46,6 +52,37 @@ def prepare(questions: DataFrame, hits: DataFrame, chunks: DataFrame, resolved:
     return made.select("query_id", "question", found.alias("found"), "retrieved", "resolved", F.when(found, asked).alias("messages"))
 
 
+def ask(
+    spark: SparkSession, path: str, questions: DataFrame, embed: Callable[[DataFrame], DataFrame], config: RetrievalConfig | None = None, rules: Sequence[CodePattern] = DEFAULT_CODE_PATTERNS, model: str = "", system: str = SYSTEM_MESSAGE
+) -> tuple[DataFrame, DataFrame]:
+    """(prepared, hits) of bare questions (query_id, question) to the index at a path: their identifiers are looked up
+    in its postings, their vectors in its blocks, both kinds of hits are merged, and messages are made.
+
+    ``embed`` turns (query_id, embedding_text) into (query_id, v). Hits are (query_id, chunk_id, source_path, score,
+    match_type, rank). All of it reads one version of the index. A question that is null or empty has no identifiers;
+    a model that is not the index's own gives a warning. Chunks without a page, section or kind have none.
+    """
+    config = config or RetrievalConfig()
+    version = lifecycle.latest(spark, path)
+    now = lifecycle.load(spark, path, version)
+    if now is None:
+        raise lifecycle.NoIndex(path)
+    if said := lifecycle.model_warning(spark, path, model):
+        warnings.warn(said, stacklevel=2)
+    named = questions.select("query_id", F.posexplode(extract(F.col("question"), rules)["value"]).alias("position", "value")).withColumn("bucket", lifecycle.bucket(F.col("value")))
+    near, _ = lifecycle.search(spark, path, embed(questions.select("query_id", F.coalesce("question", F.lit("")).alias("embedding_text"))), config, version)
+    by_code = lookup(named, now["postings"], "source_path")
+    hits = hybrid(near, by_code, config, None, "source_path")
+    chunks = now["chunks"]
+    defaults = {"page": "int", "section": "string", "kind": "string", "codes": "array<struct<kind:string,value:string,raw:string>>"}
+    for name, kind in defaults.items():
+        if name not in chunks.columns:
+            chunks = chunks.withColumn(name, F.lit(None).cast(kind))
+    chunks = chunks.withColumn("codes", F.col("codes")["value"])
+    resolved = named.join(now["postings"].select("bucket", "value"), ["bucket", "value"], "left_semi")
+    return prepare(questions, hits, chunks, resolved, system), hits
+
+
 def citations(ids: Column, retrieved: Column) -> Column:
     """array<struct<chunk_id,source_path,page,section>> of the ids that were retrieved, in their order."""
     place = lambda i: F.try_element_at(F.filter(retrieved, lambda r: r["chunk_id"] == i), F.lit(1))

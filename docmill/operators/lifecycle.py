@@ -23,7 +23,7 @@ import uuid
 from collections.abc import Callable
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.operators import vectorblocks
@@ -123,7 +123,7 @@ def create_once(spark: SparkSession, path: str, content: str) -> bool:
         fs.delete(draft, False)
 
 
-def _latest(spark: SparkSession, path: str) -> int:
+def latest(spark: SparkSession, path: str) -> int:
     """The latest version, 0 without any."""
     return max((int(n) for n in _names(spark, f"{path}/log") if n.isdigit()), default=0)
 
@@ -133,12 +133,17 @@ def _manifest(spark: SparkSession, path: str, version: int) -> dict:
     return json.loads(rows[0][0])
 
 
+def bucket(value: Column) -> Column:
+    """The folder of an identifier's postings."""
+    return F.pmod(F.xxhash64(value), F.lit(BUCKETS))
+
+
 class _Change:
     """A change being made: the version it starts from, and its segment."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.base = _latest(spark, path)
+        self.base = latest(spark, path)
         self.meta = _manifest(spark, path, self.base) if self.base else {}
         number = max([self.meta.get("last_segment", 0), *(int(n[1:]) for n in _names(spark, f"{path}/segments") if n[1:].isdigit())]) + 1
         while not create_once(spark, f"{path}/segments/s{number}/CLAIM", ""):  # two changes never share a segment
@@ -162,7 +167,7 @@ class _Change:
     def index(self, chunks: DataFrame) -> None:
         """Stores the postings of chunks that have identifiers, in folders by their values."""
         if "codes" in chunks.columns:
-            own = postings(chunks, "source_path").select("value", "source_path", F.col("chunk_id").cast("string").alias("chunk_id"), F.pmod(F.xxhash64("value"), F.lit(BUCKETS)).alias("bucket"))
+            own = postings(chunks, "source_path").select("value", "source_path", F.col("chunk_id").cast("string").alias("chunk_id"), bucket(F.col("value")).alias("bucket"))
             self.write(own.repartition("bucket", F.xxhash64("source_path") % 8).sortWithinPartitions("bucket", "value"), "postings", "bucket")
 
     def finish(self, entries: DataFrame | None, model: str, vector_dim: int | None, now: str, segments: list[int], **more) -> int:
@@ -234,7 +239,7 @@ def _alive(rows: DataFrame, dead: DataFrame | None) -> DataFrame:
 
 def load(spark: SparkSession, path: str, version: int = 0) -> dict[str, DataFrame] | None:
     """chunks, vectors, postings, registry and meta of a version (the latest without one), or None."""
-    version = version or _latest(spark, path)
+    version = version or latest(spark, path)
     if not version:
         return None
     meta = _manifest(spark, path, version)
@@ -252,7 +257,7 @@ def load(spark: SparkSession, path: str, version: int = 0) -> dict[str, DataFram
 
 def search(spark: SparkSession, path: str, queries: DataFrame, config, version: int = 0) -> tuple[DataFrame, DataFrame]:
     """(hits, work) of ``vectorblocks.search`` over the vectors of a version of the index."""
-    version = version or _latest(spark, path)
+    version = version or latest(spark, path)
     if not version:
         raise NoIndex(path)
     segments = _manifest(spark, path, version)["segments"]
@@ -317,7 +322,7 @@ def update(spark: SparkSession, path: str, files: DataFrame, parse: Callable[[Da
 def join_tiers(spark: SparkSession, path: str) -> None:
     """Joins MOST_SEGMENTS neighbours of one tier, as long as there are any. If another change comes first, that
     one's own turn will do it."""
-    while version := _latest(spark, path):
+    while version := latest(spark, path):
         meta = _manifest(spark, path, version)
         segments, tiers = meta["segments"], meta["tiers"]
         tier = [tiers.get(str(s), 0) for s in segments]
@@ -362,7 +367,7 @@ def compact(spark: SparkSession, path: str) -> None:
     """Writes the live rows of all segments as one."""
 
     def change() -> None:
-        version = _latest(spark, path)
+        version = latest(spark, path)
         if not version:
             raise NoIndex(path)
         meta = _manifest(spark, path, version)
@@ -376,7 +381,7 @@ def remove(spark: SparkSession, path: str, targets: list[str], now: str = "") ->
     """Removes the documents that the targets name; returns their paths."""
 
     def change() -> DataFrame:
-        if not _latest(spark, path):
+        if not latest(spark, path):
             raise NoIndex(path)
         own = _Change(spark, path)
         meta = own.meta
@@ -418,7 +423,7 @@ def reembed(spark: SparkSession, path: str, embed: Callable[[DataFrame], DataFra
 
 def last_actions(spark: SparkSession, path: str, version: int = 0) -> DataFrame:
     """(source_path, content_hash, action) of the latest change that looked at files or removed some."""
-    version = version or _latest(spark, path)
+    version = version or latest(spark, path)
     number = _manifest(spark, path, version)["actions"] if version else None
     if number is None:
         return spark.createDataFrame([], "source_path string, content_hash string, action string")
@@ -427,7 +432,7 @@ def last_actions(spark: SparkSession, path: str, version: int = 0) -> DataFrame:
 
 def summary(spark: SparkSession, path: str, version: int = 0) -> DataFrame:
     """One row on the latest change: added, refreshed, skipped, removed, total_documents, total_chunks."""
-    version = version or _latest(spark, path)
+    version = version or latest(spark, path)
     if not version:
         raise NoIndex(path)
     meta = _manifest(spark, path, version)
@@ -438,7 +443,7 @@ def summary(spark: SparkSession, path: str, version: int = 0) -> DataFrame:
 def model_warning(spark: SparkSession, path: str, model: str) -> str | None:
     """What to say to one who asks with another model than the index was made with; None if the models agree or
     one of them isn't known."""
-    version = _latest(spark, path)
+    version = latest(spark, path)
     known = _manifest(spark, path, version)["embedding_model"] if version else ""
     return f"the index was made with embedding model {known}, the question is embedded with {model}" if known and model and known != model else None
 
@@ -446,7 +451,7 @@ def model_warning(spark: SparkSession, path: str, model: str) -> str | None:
 def vacuum(spark: SparkSession, path: str, keep: int = 2, older_than: float = 7 * 24 * 3600) -> list[str]:
     """Deletes log entries but the latest ``keep``, and segments that none of those names and that were begun more than
     ``older_than`` seconds ago (a change that is being made is in no entry yet). Returns the segments' names."""
-    version = _latest(spark, path)
+    version = latest(spark, path)
     kept = [v for v in sorted(int(n) for n in _names(spark, f"{path}/log") if n.isdigit()) if v > version - max(1, keep)]
     named: set[int] = set()
     for v in kept:

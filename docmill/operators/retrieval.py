@@ -100,9 +100,10 @@ def postings(chunks: DataFrame, *beside: str) -> DataFrame:
     return chunks.select("chunk_id", *beside, F.explode_outer("codes.value").alias("value")).where("value is not null").distinct().select("value", *beside, "chunk_id")
 
 
-def lookup(query_codes: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, chunk_id) of chunks that hold any of a query's codes; all of them, without a cap."""
-    return query_codes.join(index, "value").select("query_id", "chunk_id").distinct()
+def lookup(query_codes: DataFrame, index: DataFrame, *beside: str) -> DataFrame:
+    """(query_id, columns beside, chunk_id) of chunks that hold any of a query's codes; all of them, without a cap."""
+    on = ["bucket", "value"] if "bucket" in index.columns and "bucket" in query_codes.columns else ["value"]
+    return query_codes.join(index, on).select("query_id", *beside, "chunk_id").distinct()
 
 
 def resolved(query_codes: DataFrame, index: DataFrame) -> DataFrame:
@@ -110,17 +111,19 @@ def resolved(query_codes: DataFrame, index: DataFrame) -> DataFrame:
     return query_codes.join(index.select("value"), "value", "left_semi")
 
 
-def hybrid(semantic_hits: DataFrame, code_hits: DataFrame, config: RetrievalConfig, chunks: DataFrame | None = None) -> DataFrame:
-    """(query_id, rank, chunk_id, score, match_type): the full outer join of both kinds of hits.
+def hybrid(semantic_hits: DataFrame, code_hits: DataFrame, config: RetrievalConfig, chunks: DataFrame | None = None, *beside: str) -> DataFrame:
+    """(query_id, rank, chunk_id, score, match_type): the full outer join of both kinds of hits. Columns beside
+    belong to a chunk's key, as in an index, where equal files have equal chunk ids.
 
     A code hit scores the base plus its cosine if it is a semantic hit too. Hits without a row in
     ``chunks`` are left out. Ranked by score, then chunk id.
     """
-    code = code_hits.select("query_id", "chunk_id", F.lit(True).alias("by_code"))
-    both = semantic_hits.select("query_id", "chunk_id", "score").join(code, ["query_id", "chunk_id"], "full_outer")
+    key = ["chunk_id", *beside]
+    code = code_hits.select("query_id", *key, F.lit(True).alias("by_code"))
+    both = semantic_hits.select("query_id", *key, "score").join(code, ["query_id", *key], "full_outer")
     if chunks is not None:
-        both = both.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+        both = both.join(chunks.select(*key), key, "left_semi")
     kind = F.when(F.col("by_code").isNull(), "semantic").when(F.col("score").isNull(), "code").otherwise("hybrid")
     score = F.coalesce("score", F.lit(0.0)) + F.when(F.col("by_code"), config.code_base_score).otherwise(0.0)
-    out = both.select("query_id", "chunk_id", score.alias("score"), kind.alias("match_type"))
-    return out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))
+    out = both.select("query_id", *key, score.alias("score"), kind.alias("match_type"))
+    return out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), *key)))

@@ -43,7 +43,7 @@ def test_two_writers_lose_nothing(spark, index, monkeypatch):
     assert {(r.source_path, r.action) for r in update("T2", ("c.txt", "c"), ("b.txt", "b")).collect()} == {("c.txt", "added"), ("b.txt", "skipped")}
     now = lifecycle.load(spark, path)
     assert sorted(r.text for r in now["chunks"].collect()) == ["a", "b", "c"] and now["vectors"].count() == 3
-    assert lifecycle._latest(spark, path) == 3
+    assert lifecycle.latest(spark, path) == 3
 
 
 def test_a_version_is_created_once(spark, tmp_path):
