@@ -80,7 +80,7 @@ class HatTrie:
     burst, a node with a table for every second id. An id is a word's number in ``ids``.
     """
 
-    def __init__(self, held: int = HELD, burst: int = BURST):
+    def __init__(self, held: int, burst: int):
         self.held, self.burst = held, burst
         self.clear()
 
@@ -111,6 +111,8 @@ class HatTrie:
 
     def add(self, first: np.ndarray, rest: np.ndarray) -> None:
         """Counts phrases, given by their first id (with a group's number above it) and the packed others."""
+        if not len(first):
+            return
         order = np.lexsort((rest, first))
         first, rest = first[order], rest[order]
         new = np.ones(len(first), bool)
@@ -118,7 +120,7 @@ class HatTrie:
         at = np.flatnonzero(new)
         count = np.diff(np.append(at, len(first))).tolist()
         first, rest = first[at], rest[at]
-        cut = np.flatnonzero(np.append(True, first[1:] != first[:-1])).tolist() if len(first) else []
+        cut = np.flatnonzero(np.append(True, first[1:] != first[:-1])).tolist()
         heads, rest = first[cut].tolist(), rest.tolist()
         low = 2 * ID_BITS
         for head, a, b in zip(heads, cut, [*cut[1:], len(rest)], strict=True):
@@ -272,7 +274,7 @@ def count_phrases(docs: DataFrame, words: DataFrame, pairs: DataFrame | None = N
         yield np.flatnonzero(three[:-1] & together[2:]), 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, names, number = HatTrie(), [], {}
+        trie, names, number = HatTrie(HELD, BURST), [], {}
         bits, more = word_bits.value, pair_bits.value if pair_bits is not None else None
         for batch in batches:
             langs = batch.column(0).dictionary_encode()

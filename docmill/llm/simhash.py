@@ -245,18 +245,20 @@ class Plan:
             own.append(np.tile(np.arange(len(flips)) < _ball(len(part), t // 2), len(fp)))
         return np.concatenate(keys), np.concatenate(rows), np.concatenate(own)
 
-    def dealt(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``probes`` with large buckets cut to blocks, a bucket for every two of them."""
+    def dealt(self, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``probes`` with large buckets cut to blocks, a bucket for every two of them; in steps of bounded size."""
         keys, rows, own = self.probes(fp)
         if not len(self.listed):
-            return keys, rows, own
+            yield keys, rows, own
+            return
         at = np.minimum(np.searchsorted(self.listed, keys), len(self.listed) - 1)
         blocks = np.where(self.listed[at] == keys, self.split[at], 1)
         mine = (textcore.mix(fp + np.uint64(1))[rows] % blocks.astype(np.uint64)).astype(np.int64)
-        again = np.repeat(np.arange(len(keys)), blocks)
-        other = textcore.take_ranges(np.zeros(len(keys), np.int64), blocks)
-        low, high = np.minimum(mine[again], other), np.maximum(mine[again], other)
-        return textcore.mix(keys[again] + (low << 32 | high).astype(np.uint64)), rows[again], own[again]
+        for a, b in textcore.steps(np.concatenate([[0], np.cumsum(blocks)]), HELD):
+            again = np.repeat(np.arange(a, b), blocks[a:b])
+            other = textcore.take_ranges(np.zeros(b - a, np.int64), blocks[a:b])
+            low, high = np.minimum(mine[again], other), np.maximum(mine[again], other)
+            yield textcore.mix(keys[again] + (low << 32 | high).astype(np.uint64)), rows[again], own[again]
 
 
 def verified_links(key: np.ndarray, fp: np.ndarray, own: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
@@ -310,8 +312,8 @@ def links(fps: DataFrame) -> DataFrame:
             all_ = batch.column(0).to_numpy().view(np.uint64)
             for a in range(0, len(all_), 1 << 12):
                 fp = all_[a : a + (1 << 12)]
-                keys, at, own = plan.dealt(fp)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fp[at].view(np.int64)), pa.array(own)], names=["bucket", "fp", "own"])
+                for keys, at, own in plan.dealt(fp):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fp[at].view(np.int64)), pa.array(own)], names=["bucket", "fp", "own"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
