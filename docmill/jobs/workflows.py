@@ -13,9 +13,10 @@ from pyspark.sql import Window as W
 from docmill.config import DEFAULT_CODE_PATTERNS, NOT_FOUND, RetrievalConfig
 from docmill.functions import answers, codes
 from docmill.jobs import catalogue
-from docmill.operators import answering, chunking, lifecycle, retrieval
+from docmill.operators import answering, chunking, evaluate, lifecycle, modelcalls, retrieval
 from docmill.operators import blocks as B
 from docmill.session import shared_folder
+from docmill.sources.documents import pages_by, route, text_pages
 from docmill.sources.tables import read_table
 
 SPACE = r"'^\s+|\s+$'"
@@ -381,10 +382,71 @@ _ASSEMBLED = f"""select a.conv_id as query_id, found, md5(text) as text_md5, coa
 from {_ANSWERED} a"""
 _SOURCES = f"select conv_id as query_id, min(i)::bigint - 1 as position, source_path, page::bigint as page, section from {_CITES} group by conv_id, source_path, page, section"
 
+def graded_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a graded case: expected pages and identifiers made from its number."""
+    made = _prepared(spark, sf_dir)
+    c = F.col("query_id")
+    pages = F.when(c % 4 != 1, F.array((c % 3).cast("int"))).otherwise(F.array().cast("array<int>"))
+    wanted = F.when(c % 2 == 0, F.array(F.concat(F.lit("AL-"), c % 6), F.concat(F.lit("SC-"), c % 9))).otherwise(F.array().cast("array<string>"))
+    cases = made.select("query_id", pages.alias("expected_pages"), wanted.alias("expected_codes"), (c % 7 != 0).alias("should_find"))
+    return evaluate.graded(cases, made).select("query_id", "found_correct", "page_hit", "codes_resolved")
+
+
+_GRADED = f"""select conv_id as query_id, (ids is not null) = (conv_id % 7 <> 0) as found_correct, case when conv_id % 4 <> 1 then coalesce(list_contains(pages, conv_id % 3), false) end as page_hit,
+  case when conv_id % 2 = 0 then list_has_all(coalesce(flatten(codes), []) || resolved, ['AL-' || (conv_id % 6), 'SC-' || (conv_id % 9)]) end as codes_resolved
+from {_ASKED} join (select conv_id, list(turn % 3) filter (rank > 1) as pages from {_TURNS} group by 1) using (conv_id)"""
+
+
+def _odd_file(path: str, content: bytes) -> list[str]:
+    """Stands for a parser that takes only files of its own format."""
+    if not content.startswith(b"%PDF"):
+        raise ValueError("no PDF header")
+    return content[4:].decode("utf-8", "replace").split("\f")
+
+
+def index_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each file where some have no parser and some are broken: action, error and chunks."""
+    docs = read_table(spark, sf_dir, "documents")
+    d = F.col("doc_id")
+    suffix = F.when(d % 10 == 3, ".bin").when(d % 10 == 4, ".PDF").otherwise(".txt")
+    head = F.when((d % 10 == 4) & (d % 20 == 4), "%PDF").otherwise("")
+    rows = docs.select(F.concat("source", F.lit("/"), d, suffix).alias("source_path"), F.concat(head, F.coalesce("text", F.lit(""))).cast("binary").alias("content"))
+    files = rows.withColumn("content_hash", chunking.content_hash(F.col("content")))
+    path = shared_folder(spark, "index")
+
+    def parse(changed: DataFrame) -> DataFrame:
+        pages = route(changed, [((".txt", ".md"), text_pages), ((".pdf",), pages_by(_odd_file))])
+        bad = pages.where("error is not null").select("source_path", F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("string").alias("text"), "error")
+        lines = B.classify(B.page_lines(pages.where("error is null"), "source_path")).where("kind <> 'blank'")
+        good = lines.select("source_path", chunking.chunk_id(F.col("source_path"), F.col("line_no"), F.col("page"), F.col("s")).alias("chunk_id"), F.col("s").alias("text"), F.lit(None).cast("string").alias("error"))
+        return good.unionByName(bad)
+
+    done = lifecycle.update(spark, path, files, parse, _embed(F.length("text")), "lengths", "T0")
+    registry = lifecycle.load(spark, path)["registry"].select("source_path", "chunk_count")
+    return done.join(lifecycle.failures(spark, path), "source_path", "left").join(registry, "source_path", "left").select("source_path", "action", "error", "chunk_count")
+
+
+_ROUTING = f"""select source || '/' || d.doc_id || case d.doc_id % 10 when 3 then '.bin' when 4 then '.PDF' else '.txt' end as source_path, case when bad is null then 'added' else 'failed' end as action, bad as error,
+  case when bad is null then coalesce(n, 0) end as chunk_count
+from (select *, case when doc_id % 10 = 3 then 'unsupported' when doc_id % 20 = 14 then 'ValueError: no PDF header' end as bad from documents) d
+  left join (select doc_id, count(*) as n from {catalogue._LINES} where s <> '' group by 1) l on l.doc_id = d.doc_id"""
+
+
+def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model is asked about every document, first about some: each different text is one call."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("payload"))
+    store = shared_folder(spark, "calls")
+    said = lambda texts: [f"{len(t)} characters" for t in texts]
+    modelcalls.ask(spark, store, docs.where("doc_id % 3 = 0"), said, "lengths")
+    out = modelcalls.ask(spark, store, docs, said, "lengths")
+    done = modelcalls.stored(spark, store, "string").agg(F.count("*").alias("calls"))
+    return out.select("doc_id", F.col("result").alias("said")).crossJoin(done)  # one row
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        paragraph_blocks, document_titles, document_chunks, code_rules, index_update, index_remove, index_reembed, index_search, index_postings, index_ask, questions_prepared, structured_replies, answers_assembled, answer_sources,
+        paragraph_blocks, document_titles, document_chunks, code_rules, index_update, index_remove, index_reembed, index_search, index_postings, index_ask, index_routing, model_calls, graded_cases, questions_prepared, structured_replies, answers_assembled, answer_sources,
     )
 }
 
@@ -399,6 +461,9 @@ ORACLES = {
     "index_search": _INDEX_SEARCH,
     "index_postings": _INDEX_POSTINGS,
     "index_ask": _INDEX_ASK,
+    "index_routing": _ROUTING,
+    "model_calls": "select doc_id, length(coalesce(text, '')) || ' characters' as said, (select count(distinct coalesce(text, '')) from documents) as calls from documents",
+    "graded_cases": _GRADED,
     "questions_prepared": f"select conv_id as query_id, ids is not null as found, coalesce(len(ids), 0)::bigint as passages, array_to_string(resolved, ',') as resolved, md5(asked) as asked_md5, ids is not null as told from {_ASKED}",
     "structured_replies": _STRUCTURED,
     "answers_assembled": _ASSEMBLED,

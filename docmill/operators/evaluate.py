@@ -17,6 +17,19 @@ def outcomes(cases: DataFrame) -> DataFrame:
     )
 
 
+def graded(cases: DataFrame, prepared: DataFrame) -> DataFrame:
+    """``outcomes`` of a graded set (query_id, expected_pages, expected_codes, should_find) and what
+    ``answering.prepare`` or ``ask`` made of its questions. Available codes are the resolved ones and those of the hits;
+    a case that was not asked is not found."""
+    hits = prepared.select("query_id", "found", F.col("retrieved")["page"].alias("pages"), F.array_union("resolved", F.coalesce(F.flatten(F.filter(F.col("retrieved")["codes"], lambda c: c.isNotNull())), F.array().cast("array<string>"))).alias("codes"))
+    made = cases.join(hits, "query_id", "left")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    return outcomes(made.select(
+        "query_id", F.coalesce("found", F.lit(False)).alias("found"), F.coalesce("should_find", F.lit(True)).alias("should_find"), F.coalesce(F.col("expected_pages").cast("array<int>"), none("int")).alias("expected_pages"),
+        F.coalesce(F.col("pages").cast("array<int>"), none("int")).alias("pages"), F.coalesce("expected_codes", none("string")).alias("expected_codes"), F.coalesce("codes", none("string")).alias("codes"),
+    ))
+
+
 def _rate(hit: Column, counted: Column) -> Column:
     return F.coalesce(F.try_divide(F.count_if(counted & hit), F.count_if(counted)), F.lit(1.0))
 

@@ -41,7 +41,7 @@ BUCKETS = 16
 _REGISTRY = "source_path string, content_hash string, chunk_count long, document_id string, title string, segment int"
 _META = "embedding_model string, vector_dim int, created_at string, updated_at string, total_documents long, total_chunks long, segments array<int>"
 _POSTING = "value string, source_path string, chunk_id string"
-_COUNTS = ("added", "refreshed", "skipped", "removed")
+_COUNTS = ("added", "refreshed", "skipped", "removed")  # as a summary has them; a manifest also counts failed
 
 
 class ModelMismatch(ValueError):
@@ -283,7 +283,9 @@ def update(spark: SparkSession, path: str, files: DataFrame, parse: Callable[[Da
     ``parse`` turns changed files into chunks (with source_path and chunk_id; document_id and title if they
     are known, codes for postings), ``embed`` chunks into vectors (chunk_id, source_path, v); it is given
     embedding_text. Each changed file is parsed once, and each chunk embedded once, from what was stored. A path
-    that is listed twice counts once.
+    that is listed twice counts once. Where ``parse`` has a column error, a row that isn't null there says that its
+    file has no chunks: such a file's action is ``failed``, ``failures`` has its error, what the index held of it stays,
+    and it is tried again next time.
     """
 
     def change() -> DataFrame:
@@ -293,22 +295,31 @@ def update(spark: SparkSession, path: str, files: DataFrame, parse: Callable[[Da
             raise ModelMismatch(f"the index holds vectors of {known}, not {model}")
         segments = own.meta.get("segments", [])
         listed = files.dropDuplicates(["source_path"])
-        todo = own.write(actions(listed.select("source_path", "content_hash"), _registry(spark, path, segments)), "actions")
+        todo = own.write(actions(listed.select("source_path", "content_hash"), _registry(spark, path, segments)), "wanted")
         counts = {r["action"]: r["count"] for r in todo.groupBy("action").count().collect()}
         more = {"counts": counts, "actions": own.number}
         dim = own.meta.get("vector_dim")
         if not counts.get("added") and not counts.get("refreshed"):
+            done = own.write(todo, "actions")
             own.finish(None, model or known, dim, now, segments, **more)
-            return todo
+            return done
         changed = listed.join(todo.where("action <> 'skipped'").select("source_path"), "source_path", "left_semi")
-        chunks = own.write(parse(changed), "chunks")
+        parsed = parse(changed)
+        if "error" in parsed.columns:
+            parsed = own.write(parsed, "parsed")
+            failed = own.write(parsed.where("error is not null").groupBy("source_path").agg(F.min("error").alias("error")), "failures")
+            chunks = own.write(parsed.join(failed, "source_path", "left_anti").drop("error"), "chunks")
+            todo = own.write(todo.join(failed.select("source_path", F.lit("failed").alias("fault")), "source_path", "left").withColumn("action", F.coalesce("fault", "action")).drop("fault"), "actions")
+            more["counts"] = {r["action"]: r["count"] for r in todo.groupBy("action").count().collect()}
+        else:
+            chunks, todo = own.write(parsed, "chunks"), own.write(todo, "actions")
         own.index(chunks)
         dim = own.vectors(embed(embeddable(chunks))) or dim
         ids = [F.min(c).alias(f"own_{c}") for c in ("document_id", "title") if c in chunks.columns]
         made = chunks.groupBy("source_path").agg(F.count("*").alias("n"), *ids)
         name = F.coalesce(F.col("own_document_id") if "document_id" in chunks.columns else F.lit(None), stem(F.col("source_path")))
         title = F.coalesce(F.col("own_title") if "title" in chunks.columns else F.lit(None), name)
-        entries = todo.where("action <> 'skipped'").join(made, "source_path", "left").select(
+        entries = todo.where("action not in ('skipped', 'failed')").join(made, "source_path", "left").select(
             "source_path", "content_hash", F.coalesce("n", F.lit(0)).cast("long").alias("chunk_count"), name.alias("document_id"), title.alias("title"), F.lit(own.number).alias("segment")
         )
         own.finish(entries, model or known, dim, now, segments, **more)
@@ -430,6 +441,14 @@ def last_actions(spark: SparkSession, path: str, version: int = 0) -> DataFrame:
     return spark.read.parquet(f"{path}/segments/s{number}/actions")
 
 
+def failures(spark: SparkSession, path: str, version: int = 0) -> DataFrame:
+    """(source_path, error) of files that the latest change could not take."""
+    version = version or latest(spark, path)
+    number = _manifest(spark, path, version)["actions"] if version else None
+    at = f"{path}/segments/s{number}/failures"
+    return spark.read.parquet(at) if number is not None and _exists(spark, at) else spark.createDataFrame([], "source_path string, error string")
+
+
 def summary(spark: SparkSession, path: str, version: int = 0) -> DataFrame:
     """One row on the latest change: added, refreshed, skipped, removed, total_documents, total_chunks."""
     version = version or latest(spark, path)

@@ -26,5 +26,6 @@ def user_prompts(hits: DataFrame) -> DataFrame:
 
 
 def referenced_codes(resolved: Column, hit_codes: Column) -> Column:
-    """The query's resolved codes if any, else the codes of the hits in rank order; each once."""
-    return F.when(F.size(resolved) > 0, F.array_distinct(resolved)).otherwise(F.array_distinct(F.flatten(hit_codes)))
+    """The query's resolved codes if any, else the codes of the hits in rank order; each once. A hit may have none."""
+    known = F.filter(hit_codes, lambda c: c.isNotNull())
+    return F.when(F.size(resolved) > 0, F.array_distinct(resolved)).otherwise(F.array_distinct(F.flatten(known)))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +24,55 @@ def stem(path: Column) -> Column:
 
 
 def read_files(spark: SparkSession, *paths: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """(source_path, document_id, content, content_hash) of files below the paths, each once."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+    """(source_path, document_id, content, content_hash, argument) of files below the paths, each once; argument
+    is the number, from 0, of the first of the paths that it is below or is."""
+    roots = []
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        roots.append(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/"))
+    # a path below another one is listed with that
+    outer = [r for k, r in enumerate(roots) if r not in roots[:k] and not any(r.startswith(o + "/") for o in roots)]
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(outer)
     wanted = found.where(F.lower("path").rlike("(?:" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$"))
-    return wanted.select(F.col("path").alias("source_path"), stem(F.col("path")).alias("document_id"), "content", content_hash(F.col("content")).alias("content_hash")).dropDuplicates(["source_path"])
+    bare = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/") if not isinstance(c, str) else re.sub("^([a-z0-9]+):/+", r"\1:/", c)
+    below = lambda r: (bare(F.col("path")) == bare(r)) | bare(F.col("path")).startswith(bare(r) + "/")
+    argument = F.coalesce(*(F.when(below(r), F.lit(k)) for k, r in enumerate(roots)))
+    return wanted.select(F.col("path").alias("source_path"), stem(F.col("path")).alias("document_id"), "content", content_hash(F.col("content")).alias("content_hash"), argument.alias("argument"))
+
+
+def text_pages(files: DataFrame) -> DataFrame:
+    """(source_path, page, text, error) of text files; a form feed begins a page."""
+    text = F.split(decode(F.coalesce("content", F.lit(b""))), "\f", -1)
+    return files.select("source_path", F.posexplode(text).alias("page", "text")).select("source_path", (F.col("page") + 1).alias("page"), "text", F.lit(None).cast("string").alias("error"))
+
+
+def pages_by(parse: Callable[[str, bytes], list[str]]) -> Callable[[DataFrame], DataFrame]:
+    """A parser of files from a function of one file's path and bytes that returns its pages' texts. What it
+    raises is that file's error, with no page, and stops no other file."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["source_path"], frame["content"], strict=True):
+                try:
+                    texts, error = [str(t) for t in parse(path, bytes(content or b""))], None
+                except Exception as fault:  # the format's own errors can be of any kind
+                    texts, error = [None], f"{type(fault).__name__}: {fault}"
+                n = len(texts)
+                yield pd.DataFrame({"source_path": [path] * n, "page": range(1, n + 1), "text": texts, "error": [error] * n}, dtype=object)
+
+    return lambda files: files.select("source_path", "content").mapInPandas(run, "source_path string, page int, text string, error string")
+
+
+def route(files: DataFrame, parsers: Sequence[tuple[tuple[str, ...], Callable[[DataFrame], DataFrame]]]) -> DataFrame:
+    """(source_path, page, text, error) of files (source_path, content): each goes to the first parser that
+    takes its suffix, in any case. A file that none takes has one row with error ``unsupported`` and no page."""
+    which = F.coalesce(*(F.when(F.lower("source_path").rlike("(?:" + "|".join(re.escape(s) for s in suffixes) + ")$"), F.lit(k)) for k, (suffixes, _) in enumerate(parsers)), F.lit(-1))
+    routed = files.withColumn("_parser", which)
+    none = lambda kind: F.lit(None).cast(kind)
+    out = routed.where("_parser = -1").select("source_path", none("int").alias("page"), none("string").alias("text"), F.lit("unsupported").alias("error"))
+    for k, (_, parse) in enumerate(parsers):
+        out = out.unionByName(parse(routed.where(F.col("_parser") == k).drop("_parser")))
+    return out
 
 
 def decode(content: Column) -> Column:
