@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from docmill.config import DEFAULT_CODE_PATTERNS, NOT_FOUND, RetrievalConfig
 from docmill.functions import answers, codes
+from docmill.functions import text as T
 from docmill.jobs import catalogue
 from docmill.operators import answering, chunking, evaluate, lifecycle, modelcalls, retrieval
 from docmill.operators import blocks as B
@@ -190,7 +191,7 @@ def _digest_vector(text: Column) -> Column:
 def _alarm_parse(files: DataFrame) -> DataFrame:
     """A chunk a line that isn't blank, with its alarms; every third line stands in a section."""
     lines = B.page_lines(files.select("source_path", F.lit(1).alias("page"), F.col("content").cast("string").alias("text")), "source_path")
-    lines = B.classify(lines).where("kind <> 'blank'")
+    lines = lines.withColumn("s", T.strip(F.col("line"))).where("s <> ''")
     section = F.when(F.col("line_no") % 3 == 0, F.concat(F.lit("Part "), F.col("line_no") % 4))
     name = chunking.chunk_id(F.col("source_path"), F.col("line_no"), F.lit(1), F.col("s"))
     return lines.select("source_path", name.alias("chunk_id"), F.col("s").alias("text"), "page", section.alias("section"), F.lit("paragraph").alias("kind"), codes.extract(F.col("s"), DEFAULT_CODE_PATTERNS[:1]).alias("codes"))

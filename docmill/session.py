@@ -33,6 +33,13 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Limits an Arrow batch to 8 MB unless the session has a limit below 64 MB already: rows that hold whole blocks
+    of vectors, or whole files, are too large to go by their number."""
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) >= 64 << 20:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def shared_folder(spark: SparkSession, what: str) -> str:
     """A new folder below the one that spark.checkpoint.dir names, which driver and executors share. Where
     it is unset, a local session (as in tests) gets a temporary one; a cluster has to name one."""

@@ -99,8 +99,10 @@ def _brute(queries, rows, k, least):
     return out
 
 
-@pytest.mark.parametrize("least", [-1.0, 0.6])
-def test_search_skips_blocks_and_finds_all(spark, tmp_path, monkeypatch, least):
+@pytest.mark.parametrize(("least", "sent"), [(-1.0, 1 << 20), (0.6, 1 << 20), (0.6, 0)])
+def test_search_skips_blocks_and_finds_all(spark, tmp_path, monkeypatch, least, sent):
+    monkeypatch.setattr(vectorblocks, "BROADCAST_BYTES", sent)
+    monkeypatch.setattr(vectorblocks, "STEP", 5)
     monkeypatch.setattr(vectorblocks, "BLOCK", 8)
     monkeypatch.setattr(vectorblocks, "PIVOTS", 24)
     monkeypatch.setattr(vectorblocks, "QUERIES", 4)
