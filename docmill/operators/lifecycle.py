@@ -36,6 +36,8 @@ from docmill.sources.documents import base_name, stem
 MOST_SEGMENTS = 4
 #: Times that a change is applied again to a newer version before it gives up.
 ATTEMPTS = 20
+#: Paths of at most so many bytes are sent to every task, so that the rows they are joined with stay where they are.
+SENT_BYTES = 16 << 20
 #: Folders by value of the postings' identifiers.
 BUCKETS = 16
 _REGISTRY = "source_path string, content_hash string, chunk_count long, document_id string, title string, segment int"
@@ -223,7 +225,7 @@ def _dead(spark: SparkSession, path: str, segments: list[int]) -> DataFrame | No
     if len(segments) < 2:
         return None
     own = _entries(spark, path, segments).where("segment is not null").select("source_path", "segment")
-    return own.join(_registry(spark, path, segments).select("source_path", "segment"), ["source_path", "segment"], "left_anti").select("segment", "source_path")
+    return _small(own.join(_registry(spark, path, segments).select("source_path", "segment"), ["source_path", "segment"], "left_anti").select("segment", "source_path"))
 
 
 def _rows(spark: SparkSession, path: str, segments: list[int], name: str, empty: str) -> DataFrame:
@@ -233,6 +235,12 @@ def _rows(spark: SparkSession, path: str, segments: list[int], name: str, empty:
     return _union(own, lambda: spark.createDataFrame([], f"{empty}, segment int"))
 
 
+def _small(paths: DataFrame) -> DataFrame:
+    """The rows, to be sent to every task if their paths have at most SENT_BYTES, else as they are."""
+    size = paths.agg(F.coalesce(F.sum(F.length("source_path") * 4 + 32), F.lit(0))).first()[0]
+    return F.broadcast(paths) if size <= SENT_BYTES else paths
+
+
 def _alive(rows: DataFrame, dead: DataFrame | None) -> DataFrame:
     return (rows if dead is None else rows.join(dead, ["segment", "source_path"], "left_anti")).drop("segment")
 
@@ -294,7 +302,9 @@ def update(spark: SparkSession, path: str, files: DataFrame, parse: Callable[[Da
         if known and model and known != model:
             raise ModelMismatch(f"the index holds vectors of {known}, not {model}")
         segments = own.meta.get("segments", [])
-        listed = files.dropDuplicates(["source_path"])
+        # whole files are only shuffled where a path is listed twice
+        twice = files.groupBy("source_path").count().where("count > 1").limit(1).count()
+        listed = files.dropDuplicates(["source_path"]) if twice else files
         todo = own.write(actions(listed.select("source_path", "content_hash"), _registry(spark, path, segments)), "wanted")
         counts = {r["action"]: r["count"] for r in todo.groupBy("action").count().collect()}
         more = {"counts": counts, "actions": own.number}
@@ -303,7 +313,7 @@ def update(spark: SparkSession, path: str, files: DataFrame, parse: Callable[[Da
             done = own.write(todo, "actions")
             own.finish(None, model or known, dim, now, segments, **more)
             return done
-        changed = listed.join(todo.where("action <> 'skipped'").select("source_path"), "source_path", "left_semi")
+        changed = listed.join(_small(todo.where("action <> 'skipped'").select("source_path")), "source_path", "left_semi") if counts.get("skipped") else listed
         parsed = parse(changed)
         if "error" in parsed.columns:
             parsed = own.write(parsed, "parsed")
