@@ -140,6 +140,20 @@ def index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source_path", "content_hash", "document_id", "chunk_count", "action", F.coalesce("chars", zero).alias("chars"), F.coalesce("total", zero).alias("total"))
 
 
+def index_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry of an index that was written as one JSON document and read into another index, with what that
+    one holds of each document."""
+    text, copy = shared_folder(spark, "exchange"), shared_folder(spark, "index")
+    lifecycle.export_json(spark, _updated(spark, sf_dir), text)
+    lifecycle.import_json(spark, text, copy)
+    now = lifecycle.load(spark, copy)
+    stored = now["chunks"].join(now["vectors"], ["source_path", "chunk_id"]).groupBy("source_path").agg(F.sum(F.length("text")).alias("chars"), F.sum(F.col("v")[0]).cast("long").alias("total"))
+    zero = F.lit(0).cast("long")
+    meta = now["meta"].select("embedding_model", "created_at", "updated_at").first()
+    rows = now["registry"].join(stored, "source_path", "left").select("source_path", "content_hash", "document_id", "title", "chunk_count", F.coalesce("chars", zero).alias("chars"), F.coalesce("total", zero).alias("total"))
+    return rows.withColumn("said", F.lit(f"{meta['embedding_model']} {meta['created_at']} {meta['updated_at']}"))
+
+
 _FILES = f"""(select d.source || '/' || d.doc_id || '.txt' as source_path, d.doc_id, sha256(coalesce(d.text, ''))[:16] as content_hash, coalesce(n, 0) as n, coalesce(chars, 0) as chars
   from documents d left join (select doc_id, count(*) as n, sum(length(s))::bigint as chars from {catalogue._LINES} where s <> '' group by 1) l on l.doc_id = d.doc_id)"""
 
@@ -447,7 +461,7 @@ def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        paragraph_blocks, document_titles, document_chunks, code_rules, index_update, index_remove, index_reembed, index_search, index_postings, index_ask, index_routing, model_calls, graded_cases, questions_prepared, structured_replies, answers_assembled, answer_sources,
+        paragraph_blocks, document_titles, document_chunks, code_rules, index_update, index_exchange, index_remove, index_reembed, index_search, index_postings, index_ask, index_routing, model_calls, graded_cases, questions_prepared, structured_replies, answers_assembled, answer_sources,
     )
 }
 
@@ -457,6 +471,7 @@ ORACLES = {
     "document_chunks": _CHUNKS,
     "code_rules": _rule_sql(),
     "index_update": f"select source_path, content_hash, doc_id::varchar as document_id, n as chunk_count, case when doc_id % 7 = 0 then 'added' when doc_id % 10 = 0 then 'refreshed' else 'skipped' end as action, chars, chars as total from {_FILES}",
+    "index_exchange": f"select source_path, content_hash, doc_id::varchar as document_id, doc_id::varchar as title, n as chunk_count, chars, chars as total, 'lengths T0 T1' as said from {_FILES}",
     "index_remove": _REMOVED,
     "index_reembed": _REEMBED,
     "index_search": _INDEX_SEARCH,

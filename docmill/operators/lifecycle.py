@@ -31,6 +31,7 @@ from docmill.operators.chunking import embedding_text
 from docmill.operators.retrieval import postings
 from docmill.session import shared_folder
 from docmill.sources.documents import base_name, stem
+from docmill.sources.indexjson import read_index_json, write_index_json
 
 #: Segments of one tier that are joined to one of the next.
 MOST_SEGMENTS = 4
@@ -503,3 +504,39 @@ def vacuum(spark: SparkSession, path: str, keep: int = 2, older_than: float = 7
 def info(chunks: DataFrame) -> DataFrame:
     """(source_path, chunk_count) by path."""
     return chunks.groupBy("source_path").agg(F.count("*").alias("chunk_count"))
+
+
+def export_json(spark: SparkSession, path: str, target: str, version: int = 0, one_file: bool = False) -> None:
+    """Writes a version as one JSON document (``sources/indexjson``)."""
+    index = load(spark, path, version)
+    if index is None:
+        raise NoIndex(path)
+    write_index_json(spark, index, target, one_file)
+
+
+def import_json(spark: SparkSession, source: str, path: str, now: str = "") -> int:
+    """Makes an index's next version from a JSON document, in place of what it held; returns the version.
+
+    A vector belongs to the chunk of its id; a chunk without a vector is kept, and found by its identifiers alone.
+    Chunks of a path that the document's registry lacks get a registry row without a hash, so the next update
+    reads that file again. Times are the document's; ``now`` counts where it has none.
+    """
+    given = read_index_json(spark, source)
+    said = given["meta"].first()
+
+    def change() -> int:
+        own = _Change(spark, path)
+        chunks = own.write(given["chunks"], "chunks")
+        own.index(chunks)
+        dim = own.vectors(given["vectors"].join(chunks.select("chunk_id", "source_path"), "chunk_id"))
+        held = chunks.groupBy("source_path").agg(F.count("*").alias("n"), F.min("document_id").alias("own_id"))
+        # of several rows of one path the one with the greatest hash counts
+        known = given["registry"].groupBy("source_path").agg(F.max(F.struct("content_hash", "document_id", "title")).alias("d")).select("source_path", "d.*")
+        entries = held.join(known, "source_path", "full").select(
+            "source_path", F.coalesce("content_hash", F.lit("")).alias("content_hash"), F.coalesce("n", F.lit(0)).cast("long").alias("chunk_count"),
+            F.coalesce("document_id", "own_id").alias("document_id"), F.coalesce("title", "document_id", "own_id").alias("title"), F.lit(own.number).alias("segment"),
+        )
+        own.meta = {"last_segment": own.meta.get("last_segment", 0), "created_at": said["created_at"] or now}
+        return own.finish(entries, said["embedding_model"], dim or said["vector_dim"], said["updated_at"] or now, [])
+
+    return _again(change)

@@ -81,7 +81,6 @@ def decode(content: Column) -> Column:
 
 
 GRADED = "struct<version:int,cases:array<struct<question:string,expected_pages:array<int>,expected_codes:array<string>,should_find:boolean>>>"
-INDEX = "struct<version:int,metadata:struct<embedding_model:string,vector_dim:int,created_at:string,updated_at:string>,chunks:array<struct<chunk_id:string,document_id:string,source_path:string,text:string,page:int,section:string,kind:string,codes:array<struct<kind:string,value:string,raw:string>>,rows:array<array<string>>>>,vectors:map<string,array<double>>>"
 
 
 def _whole_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -98,10 +97,3 @@ def read_graded_set(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(
         "case_no", question.alias("question"), F.coalesce("c.expected_pages", empty_i).alias("expected_pages"), F.coalesce("c.expected_codes", empty_s).alias("expected_codes"), F.coalesce("c.should_find", F.lit(True)).alias("should_find")
     )
-
-
-def read_index_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(chunks, vectors) of an index in one JSON file, version 1 or 2."""
-    raw = _whole_json(spark, path, INDEX)
-    fine = raw.withColumn("chunks", F.when(F.col("x.version").isin(1, 2), F.col("x.chunks")).otherwise(F.raise_error("an index of version 1 or 2 is expected")))
-    return fine.select(F.explode("chunks").alias("c")).select("c.*"), raw.select(F.explode("x.vectors").alias("chunk_id", "v"))
