@@ -229,7 +229,8 @@ def _with(table: DataFrame, /, **defaults: Column) -> DataFrame:
 def write_index_json(spark: SparkSession, index: dict[str, DataFrame], path: str, one_file: bool = False) -> None:
     """Writes what ``lifecycle.load`` gave as one JSON document of version 2: a folder of files that are its text in
     the order of their names, or one file, for which the driver copies their bytes one after the other in bounded
-    memory. Entries come by source path and chunk id; the path must not exist."""
+    memory. Entries come by source path and chunk id, of rows that share both the one whose JSON is greatest; the path
+    must not exist."""
     meta = index["meta"].first()
     empty = lambda kind: F.lit(None).cast(kind)
     registry, chunks = index["registry"], index["chunks"]
@@ -248,15 +249,17 @@ def write_index_json(spark: SparkSession, index: dict[str, DataFrame], path: str
     rows = spark.createDataFrame([(s, "", "", t) for s, t in frame], "section int, path string, id string, text string")
     for section in sections:
         rows = rows.unionByName(section)
-    at = shared_folder(spark, "index-text")
-    rows.withColumn("row", F.monotonically_increasing_id()).write.parquet(at)  # stored, so that a row keeps its number
-    rows = spark.read.parquet(at)
     # a comma goes before every entry but a section's first
-    heads = [r["head"] for r in rows.where("section in (1, 3, 5)").groupBy("section").agg(F.min_by("row", F.struct("path", "id", "row")).alias("head")).collect()]
-    lines = rows.withColumn("text", F.when(F.col("section").isin(1, 3, 5) & ~F.col("row").isin(heads), F.concat(F.lit(","), "text")).otherwise(F.col("text")))
-    order = ["section", "path", "id", "row"]
+    keys = [F.col("section"), F.col("path"), F.col("id")]
+    heads = rows.where("section in (1, 3, 5)").groupBy("section").agg(F.min(F.struct("path", "id")).alias("head")).collect()
+    first = F.lit(False)
+    for row in heads:
+        first = first | ((keys[0] == row["section"]) & (keys[1] == row["head"]["path"]) & (keys[2] == row["head"]["id"]))
+    comma = F.when(keys[0].isin(1, 3, 5) & ~first, F.lit(",")).otherwise(F.lit(""))
+    # rows of one key are neighbours by range already, so they meet without a shuffle of their own
+    single = rows.repartitionByRange(*keys).groupBy(*keys).agg(F.max("text").alias("text"))
     folder = shared_folder(spark, "index-parts") if one_file else path
-    lines.repartitionByRange(max(1, rows.rdd.getNumPartitions()), *order).sortWithinPartitions(*order).select("text").write.text(folder)
+    single.sortWithinPartitions(*keys).select(F.concat(comma, "text").alias("value")).write.text(folder)
     if one_file:
         _copy(spark, folder, path)
 
