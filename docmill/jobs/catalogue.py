@@ -184,8 +184,7 @@ _ISLANDS = f"""(select *, sum(fresh) over (partition by doc_id order by line_no)
 
 def section_carry(spark, sf_dir):
     """Of every document, its blocks by the section that they stand in."""
-    placed = B.with_sections(_blocks(spark, sf_dir), "doc_id")
-    return placed.groupBy("doc_id", F.coalesce("section", F.lit("")).alias("section")).agg(F.count("*").alias("blocks"), F.min("island").alias("first_island"))
+    return _blocks(spark, sf_dir).groupBy("doc_id", F.coalesce("section", F.lit("")).alias("section")).agg(F.count("*").alias("blocks"), F.min("island").alias("first_island"))
 
 
 _SECTION = f"""with b as (select doc_id, island, kind, min(line_no) as place, any_value(s) as s,

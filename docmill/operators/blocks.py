@@ -24,18 +24,60 @@ def classify(lines: DataFrame) -> DataFrame:
     return lines.withColumn("s", T.strip(F.col("line"))).withColumn("kind", T.line_kind(F.col("line")))
 
 
-def blocks(lines: DataFrame, key: str) -> DataFrame:
-    """(key, block_no, kind, text, page, rows) from classified lines.
+#: Lines of one tile, the most that one group of the scan below holds.
+TILE = 4096
+_JOIN = ("paragraph", "table")
+_SOLID = ("heading", "table", "step", "paragraph")
+
+
+def placed(lines: DataFrame, key: str, tile: int = TILE) -> DataFrame:
+    """Classified lines with what depends on the lines before them in their document: ``island``, the number of the run
+    of lines that a line is in; ``section``, the last heading before or at it; ``seen``, how many lines of each kind of
+    block came up to it (separator rows count for none). Adds row, a table line's cells, too.
+
+    The lines of a document needn't meet in one task: each tile of neighbouring lines of a page is scanned by itself, as
+    if nothing came before, and tells its first and last kind, its counts and its last heading. Only these few values, a
+    row a tile, are put in order by document; what comes out is joined back to the tiles, which lie as they did. Rows
+    with a null key, page or line number go.
+    """
+    row = F.when(F.col("kind") == "table", T.cells(F.col("line")))
+    rows = lines.withColumn("row", row).withColumn("_tile", F.floor(F.col("line_no") / tile))
+    rows = rows.withColumn("_solid", F.when((F.col("kind") != "table") | ~T.is_separator(F.col("row")), F.col("kind")))
+    own = [key, "page", "_tile"]
+    w = W.partitionBy(*own).orderBy("line_no")
+    fresh = F.when(F.lag("kind").over(w).isNull(), 0).when((F.lag("kind").over(w) == F.col("kind")) & F.col("kind").isin(*_JOIN), 0).otherwise(1)
+    rows = rows.withColumn("_fresh", fresh).withColumn("_head", F.when(F.col("kind") == "heading", T.heading(F.col("s"))))
+    rows = rows.withColumn("_island", F.sum("_fresh").over(w)).withColumn("_section", F.last("_head", ignorenulls=True).over(w))
+    rows = rows.withColumn("_seen", F.struct(*(F.count(F.when(F.col("_solid") == k, 1)).over(w).alias(k) for k in _SOLID)))
+    told = rows.groupBy(*own).agg(
+        F.min_by("kind", "line_no").alias("first"), F.max_by("kind", "line_no").alias("final"), F.sum("_fresh").alias("islands"),
+        F.max_by("_head", F.when(F.col("_head").isNotNull(), F.col("line_no"))).alias("head"), *(F.count(F.when(F.col("_solid") == k, 1)).alias(k) for k in _SOLID),
+    )
+    order = W.partitionBy(key).orderBy("page", "_tile")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    goes_on = (F.lag("page").over(order) == F.col("page")) & (F.lag("final").over(order) == F.col("first")) & F.col("first").isin(*_JOIN)
+    told = told.withColumn("begins", F.when(goes_on, 0).otherwise(1))
+    carry = told.select(
+        *own, (F.coalesce(F.sum(F.col("islands") + F.col("begins")).over(before), F.lit(0)) + F.col("begins")).alias("_islands"), F.last("head", ignorenulls=True).over(before).alias("_carried"),
+        F.struct(*(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in _SOLID)).alias("_earlier"),
+    )
+    rows = rows.join(carry, own)
+    seen = F.struct(*((F.col("_seen")[k] + F.col("_earlier")[k]).alias(k) for k in _SOLID))
+    return rows.select(*lines.columns, "row", (F.col("_island") + F.col("_islands")).alias("island"), F.coalesce("_section", "_carried").alias("section"), seen.alias("seen"))
+
+
+def blocks(lines: DataFrame, key: str, tile: int = TILE) -> DataFrame:
+    """(key, block_no, kind, text, page, rows, island, section, seen) from classified lines.
 
     Neighbouring paragraph lines join by a space and neighbouring table rows by a line feed; a page's end
-    ends both. Separator rows vanish, and a table of nothing else makes no block.
+    ends both. Separator rows vanish, and a table of nothing else makes no block. island rises with the blocks of a
+    document, section is the last heading before or at a block, seen counts as in ``placed``. block_no counts a document's blocks
+    in one window, which Spark leaves out where the column isn't used; island is an order too, and needs none.
     """
-    w = W.partitionBy(key).orderBy("page", "line_no")
-    same = (F.lag("kind").over(w) == F.col("kind")) & (F.lag("page").over(w) == F.col("page")) & F.col("kind").isin("paragraph", "table")
-    marked = lines.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("island", F.sum("new").over(w))
-    solid = marked.where(~F.col("kind").isin("blank", "navigation"))
-    row = T.cells(F.col("line"))
-    grouped = solid.groupBy(key, "island", "kind", "page").agg(F.sort_array(F.collect_list(F.struct("line_no", "s", F.when(F.col("kind") == "table", row).alias("row")))).alias("own"))
+    solid = placed(lines, key, tile).where(~F.col("kind").isin("blank", "navigation"))
+    grouped = solid.groupBy(key, "island", "kind", "page").agg(
+        F.sort_array(F.collect_list(F.struct("line_no", "s", "row"))).alias("own"), F.min_by("section", "line_no").alias("section"), F.min_by("seen", "line_no").alias("seen")
+    )
     rows = F.when(F.col("kind") == "table", F.filter(F.transform("own", lambda x: x["row"]), lambda r: ~T.is_separator(r)))
     joined = F.array_join(F.transform("own", lambda x: x["s"]), " ")
     text = (
@@ -44,19 +86,13 @@ def blocks(lines: DataFrame, key: str) -> DataFrame:
         .otherwise(T.strip(joined))
     )
     made = grouped.withColumn("rows", rows).where("kind <> 'table' or size(rows) > 0").withColumn("text", text)
-    number = F.row_number().over(W.partitionBy(key).orderBy("page", "island")) - 1
-    return made.select(key, number.alias("block_no"), "kind", "text", "page", "rows", "island")
-
-
-def with_sections(blocks: DataFrame, key: str) -> DataFrame:
-    """Adds the last heading before or at each block."""
-    w = W.partitionBy(key).orderBy("block_no").rowsBetween(W.unboundedPreceding, 0)
-    return blocks.withColumn("section", F.last(F.when(F.col("kind") == "heading", F.col("text")), ignorenulls=True).over(w))
+    number = F.row_number().over(W.partitionBy(key).orderBy("island")) - 1
+    return made.select(key, number.alias("block_no"), "kind", "text", "page", "rows", "island", "section", "seen")
 
 
 def titles(blocks: DataFrame, key: str) -> DataFrame:
     """(key, title): the first heading, else the key."""
-    first = F.min_by(F.when(F.col("kind") == "heading", F.col("text")), F.when(F.col("kind") == "heading", F.col("block_no")))
+    first = F.min_by(F.when(F.col("kind") == "heading", F.col("text")), F.when(F.col("kind") == "heading", F.col("island")))
     return blocks.groupBy(key).agg(F.coalesce(first, F.col(key).cast("string")).alias("title"))
 
 

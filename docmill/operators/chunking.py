@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType
 from docmill.config import DEFAULT_CODE_PATTERNS, ChunkingConfig
 from docmill.functions.codes import extract
 from docmill.functions.text import strip
-from docmill.operators.blocks import with_sections
+from docmill.session import stored
 
 
 #: Orders of one tile, which is the most that one row of packing holds.
@@ -120,28 +120,35 @@ def pack(blocks: DataFrame, keys: list[str], order: str, length: Column, budget:
 
 
 def chunks(blocks: DataFrame, key: str, config: ChunkingConfig | None = None, rules=DEFAULT_CODE_PATTERNS) -> DataFrame:
-    """(key, ordinal, chunk_id, text, page, section, kind, rows, codes) of blocks (key, block_no, kind, text, page, rows)."""
+    """(key, ordinal, chunk_id, text, page, section, kind, rows, codes) of blocks as ``blocks.blocks`` makes them.
+
+    Blocks of one sort with no other sort between them are packed together: they have seen the same number of lines of
+    other sorts. The blocks are stored once; packing and numbering go by their lengths, and texts join at the end.
+    """
     config = config or ChunkingConfig()
-    w = W.partitionBy(key).orderBy("block_no")
-    kind = F.col("kind")
-    whole = F.lit(config.keep_tables_intact) & (kind == "table")
-    steps = F.lit(config.keep_steps_intact) & (kind == "step")
-    sort = F.when(kind == "heading", "heading").when(whole, "table").when(steps, "steps").otherwise("text")
-    placed = with_sections(blocks, key).withColumn("sort", sort)
-    same = (F.lag("sort").over(w) == F.col("sort")) & F.col("sort").isin("steps", "text")
-    placed = placed.withColumn("segment", F.sum(F.when(same, 0).otherwise(1)).over(w)).where("sort <> 'heading'")
+    kind, seen = F.col("kind"), F.col("seen")
+    text = ["paragraph"] + ([] if config.keep_tables_intact else ["table"]) + ([] if config.keep_steps_intact else ["step"])
+    others = sum((seen[k] for k in ("heading", "table", "step") if k not in text), F.lit(0))
+    sort = F.when(kind.isin(*text), "text").when(kind == "step", "steps").otherwise(kind)
+    segment = F.when(sort == "text", others).when(sort == "steps", seen["heading"] + seen["table"] + seen["paragraph"]).otherwise(F.col("island"))
+    sized = blocks.where("kind <> 'heading'").select(
+        key, "island", "kind", "text", "page", "section", "rows", sort.alias("sort"), segment.alias("segment"), F.length("text").alias("chars"), (strip(F.col("text")) != "").alias("solid")
+    )
+    sized = stored(sized, "blocks")
+    part = [key, "sort", "segment"]
     budget = F.when(F.col("sort") == "steps", config.step_max_chars).otherwise(config.max_chars)
-    packed = pack(placed, [key, "segment"], "block_no", F.length("text"), budget)
-    made = packed.groupBy(key, "segment", "group").agg(
-        F.sort_array(F.collect_list(F.struct("block_no", "text"))).alias("own"),
-        F.min("block_no").alias("first"),
-        F.min_by("page", "block_no").alias("page"),
-        F.min_by("section", "block_no").alias("section"),
-        F.min_by("rows", "block_no").alias("rows"),
+    packed = pack(sized.select(*part, "island", "chars", "solid"), part, "island", F.col("chars"), budget)
+    heads = packed.groupBy(*part, "group").agg(F.min("island").alias("head"), F.bool_or("solid").alias("any")).where("any").drop("any")
+    heads = heads.withColumn("ordinal", F.row_number().over(W.partitionBy(key).orderBy("head")) - 1).drop("head")
+    own = packed.join(heads, [*part, "group"]).select(key, "island", "ordinal").join(sized, [key, "island"])
+    made = own.groupBy(key, "ordinal").agg(
+        F.sort_array(F.collect_list(F.struct("island", "text"))).alias("own"),
+        F.min_by("page", "island").alias("page"),
+        F.min_by("section", "island").alias("section"),
+        F.min_by("rows", "island").alias("rows"),
         F.when(F.bool_or(kind == "table"), "table").when(F.bool_and(kind == "step"), "step").otherwise("paragraph").alias("kind"),
     )
-    made = made.withColumn("text", strip(F.array_join(F.transform("own", lambda x: x["text"]), "\n"))).where("text <> ''")
-    made = made.withColumn("ordinal", F.row_number().over(W.partitionBy(key).orderBy("first")) - 1)
+    made = made.withColumn("text", strip(F.array_join(F.transform("own", lambda x: x["text"]), "\n")))
     return made.select(
         key, "ordinal", chunk_id(F.col(key), F.col("ordinal"), F.col("page"), F.col("text")).alias("chunk_id"), "text", "page", "section", "kind",
         F.when(F.col("kind") == "table", F.col("rows")).alias("rows"), extract(F.concat_ws("\n", "section", "text"), rules).alias("codes"),
