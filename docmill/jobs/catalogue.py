@@ -14,7 +14,7 @@ from docmill.config import DEFAULT_CODE_PATTERNS, NOT_FOUND, RetrievalConfig
 from docmill.functions import answers, codes
 from docmill.functions import text as T
 from docmill.operators import blocks as B
-from docmill.operators import chunking, evaluate, lifecycle, prompts, retrieval
+from docmill.operators import answering, chunking, evaluate, lifecycle, prompts, retrieval
 from docmill.sources.documents import base_name
 from docmill.sources.tables import read_table
 
@@ -256,11 +256,10 @@ def update_diff(spark, sf_dir):
 
 
 def remove_match(spark, sf_dir):
-    """Pages whose path or base name is that of a page divisible by 50."""
+    """Pages that a removal takes out which names the base names of pages divisible by 50."""
     pages = read_table(spark, sf_dir, "pages").select(F.col("url").alias("source_path"), "page_id")
-    names = pages.where("page_id % 50 = 0").select(base_name(F.col("source_path")).alias("target")).where("target <> ''").distinct()
-    hit = pages.withColumn("name", base_name(F.col("source_path"))).join(names, F.col("name") == F.col("target"), "left_semi")
-    return hit.select("page_id", "source_path")
+    named = pages.where("page_id % 50 = 0").select(base_name(F.col("source_path")).alias("target")).where("target <> ''")
+    return pages.join(lifecycle.removal(pages, named), "source_path", "left_semi").select("page_id", "source_path")
 
 
 def index_info(spark, sf_dir):
@@ -365,13 +364,12 @@ _REFERENCED = """select source, case when regexp_extract(source, '(\\d+)$', 1)::
 
 
 def provenance_dedup(spark, sf_dir):
-    """The first page of each host and language folder."""
-    pages = read_table(spark, sf_dir, "pages")
-    place = F.regexp_extract("url", r"^https?://([^/]+)", 1)
-    section = F.regexp_extract("url", r"^https?://[^/]+/([^/?#]*)", 1)
-    w = W.partitionBy("host", "section").orderBy("page_id")
-    rows = pages.select("page_id", place.alias("host"), section.alias("section"))
-    return rows.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    """Of every conversation, whose turns cite a document and a section each, the different places in the order in
+    which they are first cited."""
+    turns = read_table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
+    cited = F.struct("turn", F.concat(F.lit("doc-"), F.length("text") % 3).alias("source_path"), F.lit(1).alias("page"), F.col("role").alias("section"))
+    answered = turns.groupBy(F.col("conv_id").alias("query_id")).agg(F.sort_array(F.collect_list(cited)).alias("citations"))
+    return answering.provenance(answered).select("query_id", F.col("position").cast("long").alias("position"), "source_path", "section")
 
 
 QUERIES = {
@@ -404,7 +402,9 @@ ORACLES: dict[str, str] = {
     "header_strip": f"""select source, count(*) as lines, sum(length(line))::bigint as chars from {_LINES} l
   where not exists (select 1 from {_EDGES} e join {_FORMS} f on f.source = e.source and f.form = e.form where e.doc_id = l.doc_id and e.line_no = l.line_no) group by 1""",
     "update_diff": "select source || '/' || doc_id || '.txt' as source_path, case when doc_id % 7 = 0 then 'added' when doc_id % 10 = 0 then 'refreshed' else 'skipped' end as action from documents",
-    "remove_match": "select page_id, url as source_path from pages where string_split(url, '/')[-1] in (select string_split(url, '/')[-1] from pages where page_id % 50 = 0) and string_split(url, '/')[-1] <> ''",
+    "remove_match": """with p as (select page_id, url, coalesce(string_split(url, '/')[-1], '') as name from pages),
+  t as (select distinct name as target from p where page_id % 50 = 0 and name <> ''), exact as (select target from t where target in (select url from p)), loose as (select target from t where target not in (select target from exact))
+  select page_id, url as source_path from p where url in (select target from exact) or name in (select target from loose) or exists (select 1 from loose where suffix(p.url, target))""",
     "index_info": "select source as source_path, count(*) as chunk_count from documents group by 1",
     "prompt_render": _PROMPT,
     "cited_ids": _CITED,
@@ -413,5 +413,6 @@ ORACLES: dict[str, str] = {
     "not_found_flag": _NOT_FOUND,
     "structured_parse": _STRUCTURED,
     "referenced_codes": _REFERENCED,
-    "provenance_dedup": "select page_id, host, section from (select page_id, regexp_extract(url, '^https?://([^/]+)', 1) as host, regexp_extract(url, '^https?://[^/]+/([^/?#]*)', 1) as section from pages) qualify row_number() over (partition by host, section order by page_id) = 1",
+    "provenance_dedup": """select query_id, min(n) - 1 as position, source_path, section from (
+  select conv_id as query_id, 'doc-' || (length(text) % 3) as source_path, role as section, row_number() over (partition by conv_id order by turn, 'doc-' || (length(text) % 3), role) as n from conversations where conv_id is not null and turn is not null) group by 1, 3, 4""",
 }

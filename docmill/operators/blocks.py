@@ -42,11 +42,12 @@ def placed(lines: DataFrame, key: str, tile: int = TILE) -> DataFrame:
     """
     row = F.when(F.col("kind") == "table", T.cells(F.col("line")))
     rows = lines.withColumn("row", row).withColumn("_tile", F.floor(F.col("line_no") / tile))
-    rows = rows.withColumn("_solid", F.when((F.col("kind") != "table") | ~T.is_separator(F.col("row")), F.col("kind")))
+    # found before the scan's shuffle, so that what a tile tells needs no text there
+    rows = rows.withColumn("_solid", F.when((F.col("kind") != "table") | ~T.is_separator(F.col("row")), F.col("kind"))).withColumn("_head", F.when(F.col("kind") == "heading", T.heading(F.col("s"))))
     own = [key, "page", "_tile"]
     w = W.partitionBy(*own).orderBy("line_no")
     fresh = F.when(F.lag("kind").over(w).isNull(), 0).when((F.lag("kind").over(w) == F.col("kind")) & F.col("kind").isin(*_JOIN), 0).otherwise(1)
-    rows = rows.withColumn("_fresh", fresh).withColumn("_head", F.when(F.col("kind") == "heading", T.heading(F.col("s"))))
+    rows = rows.withColumn("_fresh", fresh)
     rows = rows.withColumn("_island", F.sum("_fresh").over(w)).withColumn("_section", F.last("_head", ignorenulls=True).over(w))
     rows = rows.withColumn("_seen", F.struct(*(F.count(F.when(F.col("_solid") == k, 1)).over(w).alias(k) for k in _SOLID)))
     told = rows.groupBy(*own).agg(
