@@ -27,7 +27,7 @@ from docmill.llm.shared import bounded_batches, fresh_folder
 MIN_REVISIT = 100
 #: Records of a payload file of payloads up to ``SMALL`` bytes. A file is read as a whole, so files of
 #: payloads of every further doubling of that size have half as many: no file but one of a single record
-#: has more than their product, 32 MB.
+#: has more than their product, 32 MB. All classes are written in one pass.
 FILE_RECORDS, SMALL = 2048, 16 << 10
 END = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -77,11 +77,13 @@ def write_archive(pages: DataFrame, path: str) -> None:
     )
     # the text writer passes these bytes through as they are, valid UTF-8 or not
     record = F.concat(head.cast("binary"), F.col("payload")).cast("string")
-    size = F.greatest(F.ceil(F.log2(F.greatest(F.octet_length(payload), F.lit(1)) / SMALL)), F.lit(0)).cast("int")
-    held = pages.select(F.sha2(payload, 256).alias("digest"), payload.alias("payload"), size.alias("size"))
-    for n in [r["size"] for r in pages.select(size.alias("size")).distinct().collect()]:  # at most 17
-        once = held.where(F.col("size") == n).groupBy("digest").agg(F.first("payload").alias("payload"))
-        once.select(record.alias("value")).write.option("lineSep", END + END).option("maxRecordsPerFile", max(1, FILE_RECORDS >> n)).option("compression", "gzip").text(f"{path}/payloads/size-{n}")
+    size = F.greatest(F.ceil(F.log2(F.greatest(F.octet_length("payload"), F.lit(1)) / SMALL)), F.lit(0)).cast("int")
+    once = pages.select(F.sha2(payload, 256).alias("digest"), payload.alias("payload")).groupBy("digest").agg(F.first("payload").alias("payload"))
+    # a task's records in order of their class are cut by their place in it, so a file holds neighbours of one class
+    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    dealt = once.select(record.alias("value"), size.alias("size")).sortWithinPartitions("size").withColumn("at", at)
+    dealt = dealt.select("value", "size", F.floor(F.col("at") / F.greatest(F.expr(f"shiftright({FILE_RECORDS}, size)"), F.lit(1))).alias("file"))
+    dealt.write.partitionBy("size", "file").option("lineSep", END + END).option("compression", "gzip").text(f"{path}/payloads")
 
 
 def parse_warc(raw: memoryview) -> Iterator[tuple[dict[str, str], memoryview]]:

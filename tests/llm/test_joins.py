@@ -182,6 +182,20 @@ def test_archive(spark):
     assert warc.archive_digests(df.limit(0)).count() == 0
 
 
+def test_archive_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(warc, "FILE_RECORDS", 8)
+    monkeypatch.setattr(warc, "SMALL", 100)
+    sizes = [n for n in (0, 1, 99, 100, 101, 200, 399, 400, 799, 800, 801, 5000) for _ in range(30)]
+    df = spark.createDataFrame([(k, "u", chr(97 + k % 26) * n) for k, n in enumerate(sizes)], "page_id long, url string, html string")
+    warc.write_archive(df.repartition(3), f"file://{tmp_path}/a")
+    files = [[len(block) for _, block in warc.parse_warc(gzip.decompress(f.read_bytes()))] for f in (tmp_path / "a" / "payloads").rglob("part-*")]
+    assert all(sum(f) <= 800 or len(f) == 1 for f in files) and max(map(len, files)) <= 8
+    assert sum(map(len, files)) == df.select("html").distinct().count()
+    assert warc.read_records(spark, f"file://{tmp_path}/a").count() == len(sizes)
+
+
 def test_archive_finds_a_changed_payload(spark, tmp_path):
     import gzip
 
