@@ -135,6 +135,36 @@ def test_quality(spark):
     assert quality.keep_good(df).columns == df.columns and quality.keep_good(df.limit(0)).count() == 0
 
 
+def plain_kept(text):
+    """The whole verdict: base rules, the band of the text's length, and the share of chunks outside theirs."""
+    import zstandard
+
+    raw = (text or "").encode()
+    if plain_quality(text)[5]:
+        return False
+    ratio = lambda part: len(zstandard.ZstdCompressor(level=3).compress(part)) / len(part)
+    own = [(low, high) for least, low, high in quality.BANDS if len(raw) >= least][-1:]
+    if own and not own[0][0] <= ratio(raw) <= own[0][1]:
+        return False
+    chunks = [raw[i : i + 1024] for i in range(0, len(raw) - 1024, 1024)] + [raw[-1024:]] if len(raw) >= 1024 else []
+    return sum(not 0.32 <= ratio(c) <= 0.75 for c in chunks) <= len(chunks) / 4
+
+
+def test_kept_equals_a_plain_rewrite(spark):
+    draw, rng = random.Random(9), np.random.default_rng(9)
+    word = lambda: "".join(draw.choice(["ri", "sto", "wal", "un", "gre", "sev", "la", "qui", "of", "é"]) for _ in range(draw.randint(1, 4)))
+    texts = ["", None, "w " * 900]
+    for n in [20, 49, 50, 51, 60, 90, 150, 151, 300, 700, 3000, 20_000] * 4:
+        words = [word() for _ in range(n)]
+        texts += [" ".join(words), " ".join(words[: n // 3] * 3), " ".join(base64.b64encode(rng.bytes(draw.randint(6, 30))).decode() for _ in range(n))]
+        texts += [texts[-3] + " " + texts[-1][: len(texts[-3]) * draw.randint(1, 9) // 10]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.kept for r in quality.quality(df).collect()}
+    want = {k: plain_kept(t) for k, t in enumerate(texts)}
+    assert got == want and 0 < sum(want.values()) < sum(not plain_quality(t)[5] for t in texts)
+    assert sorted(r.doc_id for r in quality.keep_good(df).select("doc_id").collect()) == [k for k, w in want.items() if w]
+
+
 def test_compression_bands():
     draw = random.Random(5)
     prose = " ".join("".join(draw.choice(["ri", "sto", "wal", "un", "gre", "sev", "la", "qui", "of", "the", "a"]) for _ in range(draw.randint(1, 4))) for _ in range(600)).encode()
