@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+#: Unicode's white space and the four separators; trimming by signs costs far less than a pattern.
+SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 # What a contents leader, a trailing page reference, a step, a heading mark and a table
 # separator look like.
@@ -18,13 +19,17 @@ SEPARATOR = r"^:?-{2,}:?$"
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def lines(c: Column) -> Column:
-    """The lines of a text, without a last empty one."""
-    parts = F.split(c, _LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    """The lines of a text, without a last empty one.
+
+    The pieces are named once, since they would be computed anew wherever they stand; only texts with other ends than
+    a line feed are cut by a pattern."""
+    other = c.rlike(r"[\r\x0b\x0c\x1c\x1d\x1e\x85]") | c.contains("\u2028") | c.contains("\u2029")
+    fed = F.when(other, F.regexp_replace(c, _LINE_END, "\n")).otherwise(c)
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(fed, r"\n\z", ""), "\n", -1))
 
 
 def cells(line: Column) -> Column:
@@ -40,25 +45,31 @@ def is_separator(row: Column) -> Column:
 
 
 def heading(stripped: Column) -> Column:
-    """The heading's text, or null if the line is none."""
+    """The heading's text, or null if the line is none. What costs least and tells most is asked first."""
     marked = F.regexp_extract(stripped, ATX, 1)
     loud = (
-        stripped.rlike(r"\p{L}")
-        & F.length(stripped).between(2, 60)
+        F.length(stripped).between(2, 60)
         & (stripped == F.upper(stripped))
+        & stripped.rlike(r"\p{L}")
         & ~stripped.rlike(r"[.:,;]$")
         & ~stripped.rlike(LEADER)
-        & ~stripped.rlike(PAGE_REF)
+        & ~_paged(stripped)
     )
-    return F.when(stripped.rlike(ATX), strip(marked)).when(loud, stripped)
+    return F.when(stripped.startswith("#") & stripped.rlike(ATX), strip(marked)).when(loud, stripped)
+
+
+def _paged(stripped: Column) -> Column:
+    """Whether a stripped line ends in a page reference; one that ends in no digit doesn't."""
+    return F.right(stripped, F.lit(1)).between("0", "9") & stripped.rlike(PAGE_REF)
 
 
-def line_kind(line: Column) -> Column:
-    """blank, navigation, table, heading, step or paragraph: the first that fits, in this order."""
-    s = strip(line)
+def line_kind(line: Column, stripped: Column | None = None) -> Column:
+    """blank, navigation, table, heading, step or paragraph: the first that fits, in this order. The stripped line is
+    asked often, so whoever has it as a column of its own should give it."""
+    s = strip(line) if stripped is None else stripped
     return (
         F.when(s == "", "blank")
-        .when(s.rlike(LEADER) & s.rlike(PAGE_REF), "navigation")
+        .when(_paged(s) & s.rlike(LEADER), "navigation")
         .when(line.contains("|") & (F.size(cells(line)) >= 2), "table")
         .when(heading(s).isNotNull(), "heading")
         .when(line.rlike(STEP), "step")

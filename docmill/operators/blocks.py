@@ -21,7 +21,7 @@ def split_pages(docs: DataFrame, *keys: str) -> DataFrame:
 
 def classify(lines: DataFrame) -> DataFrame:
     """Adds s (the stripped line) and kind."""
-    return lines.withColumn("s", T.strip(F.col("line"))).withColumn("kind", T.line_kind(F.col("line")))
+    return lines.withColumn("s", T.strip(F.col("line"))).withColumn("kind", T.line_kind(F.col("line"), F.col("s")))
 
 
 #: Lines of one tile, the most that one group of the scan below holds.
@@ -97,6 +97,18 @@ def titles(blocks: DataFrame, key: str) -> DataFrame:
     return blocks.groupBy(key).agg(F.coalesce(first, F.col(key).cast("string")).alias("title"))
 
 
+def line_titles(lines: DataFrame, key: str) -> DataFrame:
+    """``titles`` of the blocks of classified lines, which it doesn't make: a heading is a line of its own, so each task
+    keeps a document's first one, and no text but that is shuffled. Columns come before the groups, as whole lines
+    would be sorted by document otherwise."""
+    kind = F.col("kind")
+    solid = ~kind.isin("blank", "navigation") & ((kind != "table") | ~T.is_separator(T.cells(F.col("line"))))
+    head = F.when(kind == "heading", F.struct("page", "line_no", T.heading(F.col("s")).alias("text")))
+    rows = lines.select(key, "page", "line_no", solid.alias("solid"), head.alias("head")).where(F.col(key).isNotNull() & F.col("page").isNotNull() & F.col("line_no").isNotNull())
+    own = rows.groupBy(key).agg(F.min("head").alias("first"), F.bool_or("solid").alias("any"))
+    return own.where("any").select(key, F.coalesce(F.col("first")["text"], F.col(key).cast("string")).alias("title"))
+
+
 def edge_lines(lines: DataFrame, document: str) -> DataFrame:
     """The first non-blank line of each page and, if there are more, the last: (document, page, line_no, edge, form)."""
     solid = lines.withColumn("s", T.strip(F.col("line"))).where("s <> ''")
