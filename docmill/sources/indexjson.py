@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -63,12 +64,14 @@ def _key(data: np.ndarray, quotes: np.ndarray, colon: int) -> str:
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], np.ndarray]]:
     """((file, start of its range), bytes) of each batch's rows, with the commas between them."""
     for batch in batches:
-        files, starts, values = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        cut = [0, *(k for k in range(1, len(files)) if files[k] != files[k - 1] or starts[k] != starts[k - 1]), len(files)]
+        files, starts, values = batch.column(0), batch.column(1), batch.column(2)
+        # rows are joined where they lie in Arrow's memory; a range's rows are neighbours
+        moved = pc.or_(pc.not_equal(files[1:], files[:-1]), pc.not_equal(starts[1:], starts[:-1])) if len(batch) > 1 else pa.array([], pa.bool_())
+        cut = [0, *(np.flatnonzero(moved.to_numpy(zero_copy_only=False)) + 1).tolist(), len(batch)]
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             if b > a:
-                text = b",".join(values[a:b]) + b","
-                yield (files[a], starts[a]), np.frombuffer(text, np.uint8)
+                text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), values[a:b]), b",")[0].as_buffer().to_pybytes() + b","
+                yield (files[a].as_py(), starts[a].as_py()), np.frombuffer(text, np.uint8)
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
