@@ -35,7 +35,9 @@ def _matches(text: Column, order: int, rule: CodePattern) -> Column:
         return F.zip_with(F.slice(starts, 1, F.size(whole)), whole, made)
 
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return _let(whole, placed)
+    # most texts have none, and are gone through once to see that
+    none = F.array().cast("array<struct<start:int,order:int,kind:string,value:string,raw:string>>")
+    return F.when(text.rlike(pattern), _let(whole, placed)).otherwise(none)
 
 
 def extract(text: Column, rules: Sequence[CodePattern] = DEFAULT_CODE_PATTERNS) -> Column:
