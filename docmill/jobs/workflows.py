@@ -34,7 +34,7 @@ _PARAGRAPHS = f"""select doc_id, island::bigint as island, length(t)::bigint as
 
 
 def document_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.titles(catalogue._blocks(spark, sf_dir), "doc_id")
+    return B.line_titles(B.classify(catalogue._document_lines(spark, sf_dir)), "doc_id")
 
 
 _HEAD = "coalesce(nullif(regexp_extract(s, '^\\s*#{1,6}\\s+(.+?)\\s*#*\\s*$', 1), ''), s)"
@@ -111,7 +111,7 @@ def _as_files(docs: DataFrame, old: bool) -> DataFrame:
 def _parse(files: DataFrame) -> DataFrame:
     """A chunk a line that isn't blank."""
     lines = B.page_lines(files.select("source_path", F.lit(1).alias("page"), F.col("content").cast("string").alias("text")), "source_path")
-    lines = B.classify(lines).where("kind <> 'blank'")
+    lines = lines.withColumn("s", T.strip(F.col("line"))).where("s <> ''")
     return lines.select("source_path", chunking.chunk_id(F.col("source_path"), F.col("line_no"), F.lit(1), F.col("s")).alias("chunk_id"), F.col("s").alias("text"))
 
 
@@ -129,11 +129,18 @@ def _updated(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def _held(index: dict[str, DataFrame]) -> DataFrame:
+    """(source_path, chars, total) of the chunks that have a vector; only their lengths are shuffled."""
+    sizes = index["chunks"].select("source_path", "chunk_id", F.length("text").alias("chars"))
+    firsts = index["vectors"].select("source_path", "chunk_id", F.col("v")[0].alias("first"))
+    return sizes.join(firsts, ["source_path", "chunk_id"]).groupBy("source_path").agg(F.sum("chars").alias("chars"), F.sum("first").cast("long").alias("total"))
+
+
 def index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registry after an index of an older state was updated, with each document's stored text."""
     path = _updated(spark, sf_dir)
     now = lifecycle.load(spark, path)
-    stored = now["chunks"].join(now["vectors"], ["source_path", "chunk_id"]).groupBy("source_path").agg(F.sum(F.length("text")).alias("chars"), F.sum(F.col("v")[0]).cast("long").alias("total"))
+    stored = _held(now)
     done = lifecycle.last_actions(spark, path).select("source_path", "action")
     rows = now["registry"].join(done, "source_path").join(stored, "source_path", "left")
     zero = F.lit(0).cast("long")
@@ -147,7 +154,7 @@ def index_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
     lifecycle.export_json(spark, _updated(spark, sf_dir), text)
     lifecycle.import_json(spark, text, copy)
     now = lifecycle.load(spark, copy)
-    stored = now["chunks"].join(now["vectors"], ["source_path", "chunk_id"]).groupBy("source_path").agg(F.sum(F.length("text")).alias("chars"), F.sum(F.col("v")[0]).cast("long").alias("total"))
+    stored = _held(now)
     zero = F.lit(0).cast("long")
     meta = now["meta"].select("embedding_model", "created_at", "updated_at").first()
     rows = now["registry"].join(stored, "source_path", "left").select("source_path", "content_hash", "document_id", "title", "chunk_count", F.coalesce("chars", zero).alias("chars"), F.coalesce("total", zero).alias("total"))
@@ -198,8 +205,8 @@ LOOKUP = RetrievalConfig(top_k=6, min_score=0.75)
 
 def _digest_vector(text: Column) -> Column:
     """A vector of a text's checksum: equal texts are equal, others as good as random."""
-    digit = lambda i: F.call_function("instr", F.lit("0123456789abcdef"), F.call_function("substring", F.md5(text), i, F.lit(1)))
-    return F.transform(F.sequence(F.lit(1), F.lit(FEATURES)), lambda i: digit(i).cast("double") - 8.5)
+    digits = F.split(F.substring(F.md5(text), 1, FEATURES), "")  # an argument, so that the checksum is made once
+    return F.transform(digits, lambda d: F.call_function("instr", F.lit("0123456789abcdef"), d).cast("double") - 8.5)
 
 
 def _alarm_parse(files: DataFrame) -> DataFrame:
@@ -432,7 +439,7 @@ def index_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     def parse(changed: DataFrame) -> DataFrame:
         pages = route(changed, [((".txt", ".md"), text_pages), ((".pdf",), pages_by(_odd_file))])
         bad = pages.where("error is not null").select("source_path", F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("string").alias("text"), "error")
-        lines = B.classify(B.page_lines(pages.where("error is null"), "source_path")).where("kind <> 'blank'")
+        lines = B.page_lines(pages.where("error is null"), "source_path").withColumn("s", T.strip(F.col("line"))).where("s <> ''")
         good = lines.select("source_path", chunking.chunk_id(F.col("source_path"), F.col("line_no"), F.col("page"), F.col("s")).alias("chunk_id"), F.col("s").alias("text"), F.lit(None).cast("string").alias("error"))
         return good.unionByName(bad)
 
