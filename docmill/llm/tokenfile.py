@@ -45,17 +45,24 @@ _HEAD = np.dtype([("magic", "S4"), ("docs", "<u4"), ("ids", "<u8"), ("blocks", "
 _BLOCK_HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("patches", "<u2")])
 
 
+def _lane(width: int) -> int:
+    """Bytes of the smallest whole number that holds so many bits."""
+    return 1 if width <= 8 else 2 if width <= 16 else 4
+
+
 def _pack(rows: np.ndarray, width: int) -> np.ndarray:
     """Rows of values below 2**width as rows of bytes."""
-    bits = np.unpackbits(rows.astype(">u4").view(np.uint8).reshape(*rows.shape, 4), axis=2)[:, :, 32 - width :]
+    lane = _lane(width)
+    bits = np.unpackbits(rows.astype(f">u{lane}").view(np.uint8).reshape(*rows.shape, lane), axis=2)[:, :, 8 * lane - width :]
     return np.packbits(bits.reshape(len(rows), -1), axis=1)
 
 
 def _unpack(rows: np.ndarray, width: int, n: int) -> np.ndarray:
+    lane = _lane(width)
     bits = np.unpackbits(rows, axis=1)[:, : n * width].reshape(len(rows), n, width)
-    full = np.zeros((len(rows), n, 32), np.uint8)
-    full[:, :, 32 - width :] = bits
-    return np.packbits(full, axis=2).reshape(len(rows), -1).view(">u4").astype(np.uint32)
+    full = np.zeros((len(rows), n, 8 * lane), np.uint8)
+    full[:, :, 8 * lane - width :] = bits
+    return np.packbits(full, axis=2).reshape(len(rows), -1).view(f">u{lane}").astype(np.uint32)
 
 
 def write_segment(keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -72,13 +79,16 @@ def write_segment(keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> byte
         for w in np.unique(width):
             own = np.flatnonzero(width == w)
             packed = _pack(value[own] & np.uint32((1 << int(w)) - 1), int(w)) if w else np.zeros((len(own), 0), np.uint8)
-            high = value[own].astype(np.uint64) >> np.uint64(w)
+            high = value[own] >> np.uint32(w) if w < 32 else np.zeros_like(value[own])
             at, where = np.nonzero(high)
             bound = np.searchsorted(at, np.arange(len(own) + 1))
-            for j, r in enumerate(own):
-                e = slice(bound[j], bound[j + 1])
-                head = np.array((low[r], w, bound[j + 1] - bound[j]), _BLOCK_HEAD)
-                parts[first + r] = b"".join((head.tobytes(), packed[j].tobytes(), where[e].astype("<u2").tobytes(), high[j, where[e]].astype("<u4").tobytes()))
+            heads = np.zeros(len(own), _BLOCK_HEAD)
+            heads["low"], heads["width"], heads["patches"] = low[own], w, np.diff(bound)
+            # as bytes at once, to be cut by block
+            head, body, place, rest = heads.tobytes(), packed.tobytes(), where.astype("<u2").tobytes(), high[at, where].astype("<u4").tobytes()
+            h, p = _BLOCK_HEAD.itemsize, packed.shape[1]
+            for j, (r, i, e) in enumerate(zip(own.tolist(), bound[:-1].tolist(), bound[1:].tolist(), strict=True)):
+                parts[first + r] = b"".join((head[h * j : h * j + h], body[p * j : p * j + p], place[2 * i : 2 * e], rest[4 * i : 4 * e]))
     starts = np.cumsum([0, *map(len, parts)])
     index = keys.astype("<i8").tobytes() + counts.astype("<u8").tobytes() + starts[:-1].astype("<u8").tobytes()
     head = np.array((MAGIC, len(keys), n, blocks, _HEAD.itemsize + len(index) + int(starts[-1])), _HEAD)

@@ -214,3 +214,27 @@ def test_toxicity_on_held_out_rows(spark):
     nothing = toxicity.fit_labelled(df.select("doc_id", "text"), labels.limit(0))
     assert toxicity.severity(df, nothing).where("rejected").count() == 0
     assert toxicity.drop_toxic(df.limit(0), model).count() == 0 and toxicity.drop_toxic(df, model).columns == df.columns
+
+
+def test_plain_units_share_the_librarys_calls(library, monkeypatch):
+    enc = wordbpe.LibraryEncoder(wordbpe.default_path())
+    calls, own = [], enc._library
+    monkeypatch.setattr(enc, "_library", lambda texts: calls.extend(texts) or own(texts))
+    texts = [" ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}x" for k in range(600)), "it's 7 naïve, 日本 w!"]
+    data, offsets = textcore.flat_text(pa.array(texts))
+    ids, counts = enc.encode(data, offsets)
+    assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids] and counts.sum() == len(ids)
+    assert len(calls) < 20  # not one a word
+
+
+def test_units_that_come_back_stay_when_the_dictionary_is_full(library, monkeypatch):
+    monkeypatch.setattr(wordbpe, "CACHE_UNITS", 40)
+    enc = wordbpe.LibraryEncoder(wordbpe.default_path())
+    asked, own = [], enc.encode_new
+    monkeypatch.setattr(enc, "encode_new", lambda keys: asked.extend(keys) or own(keys))
+    for k in range(12):
+        text = "often again " + " ".join(f"{chr(97 + k)}q{chr(97 + j)}" for j in range(25))
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert enc.encode(raw, np.array([0, len(raw)]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert asked.count(b"often") == asked.count(b"again") == 1
+    assert len(enc.known) <= 40 + 27
