@@ -18,8 +18,10 @@ SEPARATOR = r"^:?-{2,}:?$"
 
 
 def strip(c: Column) -> Column:
-    """Without Unicode white space at both ends."""
-    return F.btrim(c, F.lit(SPACES))
+    """Without Unicode white space at both ends. A text between two printable ASCII signs is asked for these alone."""
+    last = F.substring(c.cast("binary"), -1, 1)
+    bare = F.ascii(c).between(33, 126) & last.between(F.lit(b"!"), F.lit(b"~"))
+    return F.when(bare, c).otherwise(F.btrim(c, F.lit(SPACES)))
 
 
 def lines(c: Column) -> Column:
@@ -29,7 +31,8 @@ def lines(c: Column) -> Column:
     a line feed are cut by a pattern."""
     other = c.rlike(r"[\r\x0b\x0c\x1c\x1d\x1e\x85]") | c.contains("\u2028") | c.contains("\u2029")
     fed = F.when(other, F.regexp_replace(c, _LINE_END, "\n")).otherwise(c)
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(fed, r"\n\z", ""), "\n", -1))
+    without = lambda own: F.when(F.element_at(own, -1) == "", F.slice(own, 1, F.size(own) - 1)).otherwise(own)
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.element_at(F.transform(F.array(F.split(fed, "\n", -1)), without), 1))
 
 
 def cells(line: Column) -> Column:

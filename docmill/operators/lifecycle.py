@@ -162,9 +162,10 @@ class _Change:
     def vectors(self, rows: DataFrame) -> int | None:
         """Stores vectors (source_path, chunk_id, v) as blocks; their dimension, if there are any."""
         own = self.write(rows.select("source_path", F.col("chunk_id").cast("string").alias("chunk_id"), F.col("v").cast("array<double>").alias("v")), "made")
-        blocks = self.write(vectorblocks.build(own), "blocks")
-        at, fs = _at(self.spark, f"{self.path}/segments/s{self.number}/made")
-        fs.delete(at, True)
+        blocks = self.write(vectorblocks.build(own, lambda rows: self.write(rows, "placed")), "blocks")
+        for name in ("made", "placed"):
+            at, fs = _at(self.spark, f"{self.path}/segments/s{self.number}/{name}")
+            fs.delete(at, True)
         return blocks.agg(F.max("dim")).first()[0]
 
     def index(self, chunks: DataFrame) -> None:
@@ -201,6 +202,12 @@ def _again(change: Callable[[], DataFrame | int | None]):
             time.sleep(0.05 * attempt)
 
 
+def _none(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows; unlike those of createDataFrame they start no Python worker."""
+    names = [c.strip().split(" ", 1) for c in schema.split(",")]
+    return spark.range(0).select(*(F.lit(None).cast(kind).alias(name) for name, kind in names))
+
+
 def _union(frames: list[DataFrame], empty: Callable[[], DataFrame]) -> DataFrame:
     out = None
     for frame in frames:
@@ -211,7 +218,7 @@ def _union(frames: list[DataFrame], empty: Callable[[], DataFrame]) -> DataFrame
 def _entries(spark: SparkSession, path: str, segments: list[int]) -> DataFrame:
     """All registry rows with their place in the order of segments."""
     own = [spark.read.parquet(f"{path}/segments/s{s}/registry").withColumn("place", F.lit(k)) for k, s in enumerate(segments)]
-    return _union(own, lambda: spark.createDataFrame([], f"{_REGISTRY}, place int"))
+    return _union(own, lambda: _none(spark, f"{_REGISTRY}, place int"))
 
 
 def _registry(spark: SparkSession, path: str, segments: list[int]) -> DataFrame:
@@ -233,7 +240,7 @@ def _rows(spark: SparkSession, path: str, segments: list[int], name: str, empty:
     # chunks have whatever columns they were given; a table written by folders may have no file
     reader = spark.read if name == "chunks" else spark.read.schema(empty)
     own = [reader.parquet(f"{path}/segments/s{s}/{name}").withColumn("segment", F.lit(s)) for s in segments if _exists(spark, f"{path}/segments/s{s}/{name}")]
-    return _union(own, lambda: spark.createDataFrame([], f"{empty}, segment int"))
+    return _union(own, lambda: _none(spark, f"{empty}, segment int"))
 
 
 def _small(paths: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docmill.operators import chunking, lifecycle
+from docmill.operators import chunking, lifecycle, vectorblocks
 
 
 @pytest.fixture()
@@ -81,3 +81,19 @@ def test_a_second_writer_fails(spark, make):
     with pytest.raises(lifecycle.ConcurrentChange):
         second.finish(registry, "m", 1, "T1", [1])
     assert texts(spark, path) == ["one"]
+
+
+def test_no_rows_come_without_python(spark):
+    none = lifecycle._none(spark, lifecycle._POSTING + ", bucket long")
+    assert none.count() == 0 and [t for _, t in none.dtypes] == ["string", "string", "string", "bigint"]
+    assert "RDD" not in none._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_vectors_are_placed_once_and_packed_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(vectorblocks, "BLOCK", 4)
+    monkeypatch.setattr(vectorblocks, "TASK_BLOCKS", 2)
+    rows = spark.createDataFrame([(f"p{k}", str(k), [1.0, float(k)]) for k in range(40)], "source_path string, chunk_id string, v array<double>")
+    kept = []
+    blocks = vectorblocks.build(rows, lambda df: kept.append(df.cache()) or kept[0])
+    assert len(kept) == 1 and blocks.rdd.getNumPartitions() == 5
+    assert sum(len(r.ids) for r in blocks.collect()) == 40
