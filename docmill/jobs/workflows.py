@@ -187,7 +187,7 @@ select regexp_extract(source_path, '^(.*)/', 1) as source, count(*) as documents
 def index_reembed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of another model made from the stored chunks, summed up by source."""
     path = _updated(spark, sf_dir)
-    lifecycle.reembed(spark, path, _embed(F.length("text"), F.length(F.regexp_replace("text", "[^e]", ""))), "letters", "T3")
+    lifecycle.reembed(spark, path, _embed(F.length("text"), F.length("text") - F.length(F.replace("text", F.lit("e"), F.lit("")))), "letters", "T3")
     now = lifecycle.load(spark, path)
     meta = now["meta"].first()
     rows = now["vectors"].groupBy(F.regexp_extract("source_path", "^(.*)/", 1).alias("source"))
@@ -438,10 +438,12 @@ def index_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def parse(changed: DataFrame) -> DataFrame:
         pages = route(changed, [((".txt", ".md"), text_pages), ((".pdf",), pages_by(_odd_file))])
-        bad = pages.where("error is not null").select("source_path", F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("string").alias("text"), "error")
-        lines = B.page_lines(pages.where("error is null"), "source_path").withColumn("s", T.strip(F.col("line"))).where("s <> ''")
-        good = lines.select("source_path", chunking.chunk_id(F.col("source_path"), F.col("line_no"), F.col("page"), F.col("s")).alias("chunk_id"), F.col("s").alias("text"), F.lit(None).cast("string").alias("error"))
-        return good.unionByName(bad)
+        # in one pass, as each parser would be run once for its pages and once for its errors; an error is a row without a line
+        own = pages.select("source_path", "page", F.when(F.col("error").isNotNull(), F.lit("-")).otherwise(F.col("text")).alias("text"), "error")
+        lines = B.page_lines(own, "source_path", "error").withColumn("s", T.strip(F.col("line"))).where("s <> ''")
+        fine = F.col("error").isNull()
+        name = chunking.chunk_id(F.col("source_path"), F.col("line_no"), F.col("page"), F.col("s"))
+        return lines.select("source_path", F.when(fine, name).alias("chunk_id"), F.when(fine, F.col("s")).alias("text"), "error")
 
     done = lifecycle.update(spark, path, files, parse, _embed(F.length("text")), "lengths", "T0")
     registry = lifecycle.load(spark, path)["registry"].select("source_path", "chunk_count")

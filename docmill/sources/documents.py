@@ -5,15 +5,19 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.operators.chunking import content_hash
+from docmill.session import bound_batches
 
 #: Suffixes that a folder scan takes, in any case.
 SUFFIXES = (".txt", ".text", ".md", ".markdown", ".pdf")
 
+#: Characters of parsed pages after which a task hands them on.
+PAGES_SIZE = 4 << 20
+
 
 def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
@@ -50,17 +54,31 @@ def pages_by(parse: Callable[[str, bytes], list[str]]) -> Callable[[DataFrame],
     """A parser of files from a function of one file's path and bytes that returns its pages' texts. What it
     raises is that file's error, with no page, and stops no other file."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["source_path"], frame["content"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> pa.RecordBatch:
+            columns = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["source_path", "page", "text", "error"])
+
+        for batch in batches:
+            rows, size = [], 0
+            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    texts, error = [str(t) for t in parse(path, bytes(content or b""))], None
+                    texts, error = [str(t) for t in parse(path, content or b"")], None
                 except Exception as fault:  # the format's own errors can be of any kind
                     texts, error = [None], f"{type(fault).__name__}: {fault}"
-                n = len(texts)
-                yield pd.DataFrame({"source_path": [path] * n, "page": range(1, n + 1), "text": texts, "error": [error] * n}, dtype=object)
-
-    return lambda files: files.select("source_path", "content").mapInPandas(run, "source_path string, page int, text string, error string")
+                rows += [(path, k, t, error) for k, t in enumerate(texts, 1)]
+                size += sum(len(t or "") for t in texts)
+                if size > PAGES_SIZE:
+                    yield made()
+                    rows, size = [], 0
+            if rows:
+                yield made()
+
+    def pages(files: DataFrame) -> DataFrame:
+        bound_batches(files.sparkSession)
+        return files.select("source_path", "content").mapInArrow(run, "source_path string, page int, text string, error string")
+
+    return pages
 
 
 def route(files: DataFrame, parsers: Sequence[tuple[tuple[str, ...], Callable[[DataFrame], DataFrame]]]) -> DataFrame:

@@ -85,3 +85,28 @@ def test_ranges_join_their_rows(files):
         want = want[:-1] + [(f, want[-1][1] + v + b",")] if want and want[-1][0] == f else [*want, (f, v + b",")]
     assert [(place[0], data.tobytes()) for place, data in indexjson._ranges([batch])] == want
     assert not list(indexjson._ranges([batch.slice(0, 0)]))
+
+
+def test_a_line_between_plain_signs_is_not_trimmed(spark, monkeypatch):
+    monkeypatch.setattr(T, "SPACES", "xé")  # whatever is trimmed shows
+    got = spark.createDataFrame([("x a x",), ("éax",), ("xaé",), ("x",), ("",)], "t string").select(T.strip(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["x a x", "a", "a", "x", ""]
+
+
+def test_a_text_is_searched_for_other_line_ends_alone(spark):
+    assert str(T.lines(F.col("t"))).count("regexp_replace(") == 1
+
+
+def test_routed_files_are_parsed_once(spark, tmp_path, monkeypatch):
+    seen = tmp_path / "seen"
+
+    def parse(path, content):
+        with open(seen, "a") as f:
+            f.write(path + "\n")
+        return ["one\n\ntwo"] if content else 1 / 0
+
+    monkeypatch.setattr(workflows, "_odd_file", parse)
+    spark.createDataFrame([(4, "s", "text"), (14, "s", None), (1, "s", " a\nb"), (3, "s", "x")], "doc_id long, source string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.source_path: (r.action, r.error, r.chunk_count) for r in workflows.index_routing(spark, f"file://{tmp_path}").collect()}
+    assert got == {"s/4.PDF": ("added", None, 2), "s/14.PDF": ("failed", "ZeroDivisionError: division by zero", None), "s/1.txt": ("added", None, 2), "s/3.bin": ("failed", "unsupported", None)}
+    assert sorted(seen.read_text().split()) == ["s/14.PDF", "s/4.PDF"]
