@@ -438,7 +438,7 @@ def index_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def parse(changed: DataFrame) -> DataFrame:
         pages = route(changed, [((".txt", ".md"), text_pages), ((".pdf",), pages_by(_odd_file))])
-        # in one pass, as each parser would be run once for its pages and once for its errors; an error is a row without a line
+        # in one pass, as a Python parser would be run once for its pages and once for its errors; an error is a row without a line
         own = pages.select("source_path", "page", F.when(F.col("error").isNotNull(), F.lit("-")).otherwise(F.col("text")).alias("text"), "error")
         lines = B.page_lines(own, "source_path", "error").withColumn("s", T.strip(F.col("line"))).where("s <> ''")
         fine = F.col("error").isNull()
