@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from docmill.llm import jaccardjoin, packing, quality, suffixdedup, toxicity
 from docmill.llm.shared import written
 
+#: So many words make a passage, if it has no 400 bytes.
+PASSAGE_WORDS = 51
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose expected severity is below the rejection level; fitted on the table of labels.
@@ -38,9 +41,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur elsewhere too.
 
+    Passages are strings of 400 bytes and also stretches of over 50 words, however few bytes these take.
     A null text counts as empty. Passages are judged on this stage's input, so of a passage held by two documents
     neither keeps it. A document of which nothing but white space is left goes; one that was so before stays."""
-    return suffixdedup.remove_repeats(docs)
+    return suffixdedup.remove_repeats(docs, words=PASSAGE_WORDS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

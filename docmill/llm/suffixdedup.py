@@ -37,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm import textcore
-from docmill.llm.shared import bounded_batches, free_names, written
+from docmill.llm import textcore, wordwindows
+from docmill.llm.shared import bounded_batches, free_names, hash_filter, may_pass, written
 
 LENGTH = 400
 GRAM = 16
@@ -462,18 +462,48 @@ def removal_digests(docs: DataFrame, length: int = LENGTH, text: str = "text", k
     )
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of one text from several sources as one; an empty one stands for the whole text."""
+    for batch in batches:
+        out = []
+        for parts in batch.column(1).to_pylist():
+            at = np.frombuffer(b"".join(parts), "<i4").reshape(-1, 2)
+            if len(parts) > 1 and all(parts):
+                at = at[np.argsort(at[:, 0], kind="stable")]
+                reach = np.maximum.accumulate(at[:, 1])
+                first = np.flatnonzero(np.append(True, at[1:, 0] > reach[:-1]))
+                at = np.stack([at[first, 0], reach[np.append(first[1:], len(at)) - 1]], axis=1)
+            out.append(at.astype("<i4").tobytes() if all(parts) else b"")
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["digest", "spans"])
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id", words: int | None = None) -> DataFrame:
     """The documents without the bytes that repeated strings cover, with all their columns.
 
-    Of a character that is cut through nothing stays. ``n_chars``, if there, follows the new text. A
+    Repeated are strings of ``length`` bytes and, where ``words`` is given, also stretches of so many words
+    (``wordwindows``), from the first one's start to the last one's end, which may have fewer bytes. Both are judged
+    on the input. Of a character that is cut through nothing stays. ``n_chars``, if there, follows the new text. A
     document of which nothing but white space is left goes; one that was so before stays.
     """
     _, texts, spans = repeated_spans(docs, length, text, key)
     partial = texts.where((F.col("copies") == 1) & (F.col("n_bytes") >= length)).join(spans, "tid").select("digest", "spans")
     whole = texts.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("digest", F.lit(b"").alias("spans"))
-    digest, cut = free_names(docs, "digest", "spans")
+    spans = partial.unionByName(whole)
+    digest, cut, place = free_names(docs, "digest", "spans", "place")
     marked = docs.withColumn(digest, F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)))
-    marked = marked.join(partial.unionByName(whole).toDF(digest, cut), digest, "left").select(*docs.columns, cut)
+    if words is not None:
+        named = marked.select(F.col(digest).alias("digest"), F.col(text).cast("string").alias("text"))
+        windows = wordwindows.repeated_windows(named, words)
+        if windows is not None:
+            more = windows.mapInArrow(_merge_spans(0), "tid binary, spans binary").toDF("digest", "spans")
+            spans = spans.unionByName(more).groupBy("digest").agg(F.collect_list("spans").alias("spans")).mapInArrow(_unite, "digest binary, spans binary")
+    # texts from which nothing goes need no shuffle
+    spans = written(spans.toDF(digest, cut).withColumn(place, F.xxhash64(digest)), "removed")
+    marked, rest = marked.withColumn(place, F.xxhash64(digest)), docs
+    if n := spans.count():
+        bits = hash_filter(spans, place, n)
+        marked, rest = may_pass(marked, place, bits), may_pass(marked, place, bits, keep=False).select(*docs.columns)
+        marked = marked.drop(place).join(spans.drop(place), digest, "left").select(*docs.columns, cut)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -488,7 +518,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
             columns = [pa.array(out, texts.type) if i == at else batch.column(i) for i in range(len(batch.schema) - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1]).filter(pa.array(kept, pa.bool_()))
 
-    out = marked.mapInArrow(run, docs.schema)
+    out = marked.mapInArrow(run, docs.schema).unionAll(rest) if n else rest
     if "n_chars" in docs.columns and text != "n_chars":
         out = out.withColumn("n_chars", F.when(F.col(text).isNotNull(), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out
