@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from docmill.session import shared_folder
 
 
+#: Whether a query's shuffle files are removed at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def fresh_folder(spark: SparkSession, what: str) -> str:
     """A new folder that driver and executors share; see ``session.shared_folder``."""
     return shared_folder(spark, what)
@@ -24,10 +28,17 @@ def bounded_batches(spark: SparkSession) -> None:
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """The rows, written once to a Parquet table in the shared folder and read from there: cuts the
-    lineage, survives lost executors, and is computed once however often it is used."""
+    lineage, survives lost executors, and is computed once however often it is used.
+
+    Shuffle files of the write go when it ends. Otherwise they stay until the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = fresh_folder(spark, what)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,7 +79,8 @@ def hash_filter(df: DataFrame, column: str, rows: int = 0):
 
     parts = df.select(column).mapInArrow(run, "bits binary")
     few = parts.repartition(16).mapInArrow(unite, "bits binary").repartition(1).mapInArrow(unite, "bits binary")
-    bits = np.frombuffer(few.collect()[0]["bits"], np.uint8)
+    rows = few.collect()
+    bits = np.frombuffer(rows[0]["bits"], np.uint8) if rows else np.zeros(size // 8, np.uint8)
     return spark.sparkContext.broadcast(bits)
 
 
@@ -77,15 +89,19 @@ def filter_place(values: np.ndarray, size: int) -> np.ndarray:
     return (x >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
 
 
+def may_have(bits, values: np.ndarray) -> np.ndarray:
+    """Whether the filter can't rule a value out."""
+    place = filter_place(values, 8 * len(bits.value))
+    return ((bits.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
 def may_pass(df: DataFrame, column: str, bits, keep: bool = True) -> DataFrame:
     """The rows that the filter can't rule out, or those that it rules out; ``column`` is a long."""
     at = df.columns.index(column)
 
     def run(batches):
         for batch in batches:
-            place = filter_place(batch.column(at).fill_null(0).to_numpy(), 8 * len(bits.value))
-            ok = (bits.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1
-            yield batch.filter(pa.array(ok.astype(bool) == keep))
+            yield batch.filter(pa.array(may_have(bits, batch.column(at).fill_null(0).to_numpy()) == keep))
 
     return df.mapInArrow(run, df.schema)
 

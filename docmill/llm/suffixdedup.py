@@ -17,7 +17,8 @@ suffixes and equal parse prefixes, and a string repeats when its pair of classes
 
 **At scale.** The corpus order is never in one place: a range of it holds the contexts with one ``KEY``-byte
 continuation, and equal strings are always in one range. Triggers whose continuation occurs once leave
-after one aggregation on an 8-byte key. A range of more than ``RANGE_ROWS`` contexts is cut in two by d, and
+after one aggregation on an 8-byte key; bitmaps of bounded size keep most of what has no partner, texts too, out of
+the shuffles that follow, and results never depend on them. A range of more than ``RANGE_ROWS`` contexts is cut in two by d, and
 each half is keyed by all bytes that its strings have in common, again and again: halves that agree in
 full are counted, halves that agree with nothing leave, and the others get smaller. Texts are read in
 blocks, so a long text takes no more memory than its own bytes and a block.
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm import textcore, wordwindows
-from docmill.llm.shared import bounded_batches, free_names, hash_filter, may_pass, written
+from docmill.llm.shared import bounded_batches, free_names, hash_filter, may_have, may_pass, written
 
 LENGTH = 400
 GRAM = 16
@@ -153,13 +154,38 @@ def _scan(parser: Parser):
     return run
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _exploded(keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, row of the batch, number within the row) of all triggers."""
+    data, offsets = textcore.flat_text(keys)
+    per = np.diff(offsets) // 8
+    return np.frombuffer(data.tobytes(), np.int64), np.repeat(np.arange(len(per)), per), np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+
+
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's different keys, with 63 bits of its text's digest and, as the lowest bit, whether it has the key
+    twice. So copies of one text say the same, and a key stands twice if its values differ or are odd."""
     for batch in batches:
-        data, offsets = textcore.flat_text(batch.column(1))
-        per = np.diff(offsets) // 8
-        at = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-        tid = np.repeat(batch.column(0).to_numpy(), per)
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.tobytes(), np.int64)), pa.array(tid), pa.array(at.astype(np.int32))], names=["k", "tid", "idx"])
+        k, row, _ = _exploded(batch.column(1))
+        order = np.argsort(k.view(np.uint64) + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # equal ones lie together
+        first = np.flatnonzero(np.append(True, (k[order[1:]] != k[order[:-1]]) | (row[order[1:]] != row[order[:-1]]))[: len(k)])
+        again = np.full(len(k), -1)  # rows leave text by text, which packs better
+        again[order[first]] = np.diff(np.append(first, len(k))) > 1
+        own = np.flatnonzero(again >= 0)
+        name = np.frombuffer(textcore.flat_text(batch.column(0))[0].tobytes(), "<i8").reshape(-1, 4)[:, 0] & ~1
+        yield pa.RecordBatch.from_arrays([pa.array(k[own]), pa.array(name[row[own]] | again[own])], names=["k", "v"])
+
+
+def _candidates(keys, tids):
+    """The triggers whose key and document the two bitmaps can't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(may_have(tids, batch.column(0).to_numpy())))
+            k, row, idx = _exploded(batch.column(1))
+            ok = may_have(keys, k)
+            yield pa.RecordBatch.from_arrays([pa.array(k[ok]), pa.array(batch.column(0).to_numpy()[row[ok]]), pa.array(idx[ok].astype(np.int32))], names=["k", "tid", "idx"])
+
+    return run
 
 
 _RECORD = "c long, c2 long, k long, k2 long, tid long, t int, low short, high short, left binary, right binary"
@@ -382,42 +408,46 @@ def _at(column: str = "key") -> Column:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id", most: int = RANGE_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, texts, spans): rows has a row per document (digest, key, n_bytes, n_chars); texts one per
+    """(rows, texts, spans): rows has a row per document (digest, key, n_bytes, n_chars, tid); texts one per
     different text (tid, digest, key of one holder, n_bytes, copies, elsewhere: whether a stretch of ``KEY``
     bytes at a trigger stands in another text too); spans the removed runs of texts (tid, spans as pairs of
     little-endian 32-bit integers), without those that go as a whole for having copies."""
     bounded_batches(docs.sparkSession)
     parser = Parser(length)
     source = _source(docs, text, key)
-    rows = written(source.mapInArrow(_scan(parser), "digest binary, key long, n_bytes long, n_chars long, keys binary"), "parsed")
-    texts = rows.groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("keys").alias("keys"))
-    texts = written(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
-
-    triggers = texts.where(F.octet_length("keys") > 0).select("tid", "keys").mapInArrow(_explode, "k long, tid long, idx int")
-    twice = triggers.groupBy("k").agg(F.count("*").alias("n"), (F.min("tid") < F.max("tid")).alias("elsewhere")).where("n > 1").select("k", "elsewhere")
+    # the triggers' keys are stored once, with the documents; what is shuffled of a text is told by a number
+    rows = source.mapInArrow(_scan(parser), "digest binary, key long, n_bytes long, n_chars long, keys binary")
+    rows = written(rows.withColumn("tid", F.monotonically_increasing_id()), "parsed")
+    texts = written(rows.groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.min("tid").alias("tid")), "texts")
+
+    keyed = rows.where(F.octet_length("keys") > 0)
+    twice = keyed.select("digest", "keys").mapInArrow(_holders, "k long, v long").groupBy("k").agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    twice = twice.where("a <> b or a % 2 <> 0").select("k", (F.shiftright("a", 1) != F.shiftright("b", 1)).alias("elsewhere"))
     twice = written(twice, "repeated")  # a plain scan, so that Spark can split a skewed join with it
-    wanted = written(triggers.join(twice, "k").groupBy("tid").agg(F.collect_list("idx").alias("idx"), F.max("elsewhere").alias("elsewhere")), "wanted")
-    holders = wanted.select("tid", "idx").join(texts.select("tid", "digest", _at().alias("at")), "tid")
+    triggers = keyed.select("tid", "keys").mapInArrow(_candidates(_bits(twice, "k"), _bits(texts, "tid")), "k long, tid long, idx int")
+    wanted = triggers.join(twice, "k").groupBy("tid").agg(F.collect_list("idx").alias("idx"), F.max("elsewhere").alias("elsewhere"))
+    wanted = written(wanted.join(texts.select("tid", "digest", _at().alias("at")), "tid"), "wanted")
     # by key and digest, so that copies of one text don't meet
-    full = source.select("text", _at().alias("at"), F.unhex(F.sha2("text", 256)).alias("digest")).join(holders, ["digest", "at"])
+    full = _among(source, wanted).join(wanted, ["digest", "at"])
     records = written(full.select("tid", "text", "idx").mapInArrow(_contexts(parser), _RECORD), "contexts")
 
     seen = written(records.groupBy("k", "k2", "c", "c2").agg(F.count("*").alias("n")), "counts")
-    large = written(seen.groupBy("k", "k2").agg(F.count("*").alias("m")).where(F.col("m") > most).select("k", "k2"), "large")
+    several = written(seen.groupBy("k", "k2").agg(F.count("*").alias("m")).where("m > 1"), "several")
+    large = written(several.where(F.col("m") > most).select("k", "k2"), "large")
     found = seen.where("n > 1").select("c", "c2", F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"))
     bodies = records.where("left is not null").select("c", "c2", "k", "k2", "low", "high", "left", "right")
+    compared = may_pass(bodies, "k", _bits(several, "k"))  # a context alone in its range needs no shuffle
     if large.head(1):
         big = bodies.join(large, ["k", "k2"], "left_semi").dropDuplicates(["c", "c2"])
-        bodies = bodies.join(large, ["k", "k2"], "left_anti")
         small, more = _cut_ranges(parser, big, most)
-        bodies = bodies.unionByName(small)
+        bodies, compared = (x.join(large, ["k", "k2"], "left_anti").unionByName(small) for x in (bodies, compared))
         found = found.unionByName(more)
     tasks = max(1, -(-bodies.count() // TASK_ROWS))
-    found = found.unionByName(bodies.repartition(tasks, "k").mapInArrow(_match(parser), _FOUND))
+    found = found.unionByName(compared.repartition(tasks, "k").mapInArrow(_match(parser), _FOUND))
     hits = records.select("c", "c2", "tid", "t", F.col("low").alias("least"), F.col("high").alias("largest")).join(written(found, "found"), ["c", "c2"])
     runs = hits.select("tid", F.struct((F.col("t") - F.coalesce("high", "largest")).alias("a"), (F.col("t") - F.coalesce("low", "least")).alias("b")).alias("s"))
-    spans = runs.groupBy("tid").agg(F.collect_list("s").alias("s")).mapInArrow(_merge_spans(length), "tid long, spans binary")
-    texts = texts.drop("keys").join(wanted.select("tid", "elsewhere"), "tid", "left")
+    spans = written(runs.groupBy("tid").agg(F.collect_list("s").alias("s")).mapInArrow(_merge_spans(length), "tid long, spans binary"), "spans")
+    texts = texts.join(wanted.select("tid", "elsewhere"), "tid", "left")
     return rows.drop("keys"), texts, spans
 
 
@@ -425,6 +455,19 @@ def _source(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def _bits(df: DataFrame, column: str):
+    """A bitmap of the column's values, of a size that fits a stored table."""
+    return hash_filter(df, column, df.count())
+
+
+def _among(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(text, at, digest) of the documents that may be those of ``wanted``, by their key: others need no shuffle, nor a
+    digest."""
+    place = F.xxhash64("at").alias("place")
+    rows = may_pass(source.select("text", _at().alias("at")).select("text", "at", place), "place", _bits(wanted.select(place), "place"))
+    return rows.select("text", "at", F.unhex(F.sha2("text", 256)).alias("digest"))
+
+
 def _cut(text: bytes, spans: bytes) -> bytes:
     at = np.frombuffer(spans, "<i4").reshape(-1, 2)
     ends = np.concatenate([[0], at[:, 1]])
@@ -449,9 +492,8 @@ def removal_digests(docs: DataFrame, length: int = LENGTH, text: str = "text", k
     may be shorter than what is removed, stands in another text too)."""
     rows, texts, spans = repeated_spans(docs, length, text, key)
     enough = F.col("n_bytes") >= length
-    partial = texts.where((F.col("copies") == 1) & enough).select("tid", "digest", _at().alias("at")).join(spans, "tid").drop("tid")
-    source = _source(docs, text, key).select("text", _at().alias("at"), F.unhex(F.sha2("text", 256)).alias("digest"))
-    cut = source.join(partial, ["digest", "at"]).select("digest", "text", "spans").mapInArrow(_digest_cut, "digest binary, n_removed long, n_spans long, kept_chars long, kept binary")
+    partial = written(texts.where((F.col("copies") == 1) & enough).select("tid", "digest", _at().alias("at")).join(spans, "tid").drop("tid"), "partial")
+    cut = _among(_source(docs, text, key), partial).join(partial, ["digest", "at"]).select("digest", "text", "spans").mapInArrow(_digest_cut, "digest binary, n_removed long, n_spans long, kept_chars long, kept binary")
     zero = F.lit(0).cast("long")
     whole = texts.where((F.col("copies") > 1) & enough).select("digest", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), zero.alias("kept_chars"), F.unhex(F.sha2(F.lit(""), 256)).alias("kept"))
     near = texts.where("elsewhere").select("digest", F.lit(True).alias("elsewhere"))
