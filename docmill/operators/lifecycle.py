@@ -284,7 +284,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, config, version:
         return spark.read.schema(rows.schema).parquet(at)
 
     dead = _dead(spark, path, segments)
-    return vectorblocks.search(_rows(spark, path, segments, "blocks", vectorblocks.BLOCK_SCHEMA), queries, config, keep, keep(dead, "dead") if dead is not None else None)
+    return vectorblocks.search(_rows(spark, path, segments, "blocks", vectorblocks.BLOCK_SCHEMA), queries, config, keep, _small(keep(dead, "dead")) if dead is not None else None)
 
 
 def embeddable(chunks: DataFrame) -> DataFrame:
