@@ -255,9 +255,8 @@ def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bare questions to the index: what was found, what kind of hits, resolved identifiers, and the message."""
     path = _alarm_index(spark, sf_dir)
-    made, hits = answering.ask(spark, path, _alarm_questions(spark, sf_dir), _embed_questions, LOOKUP, DEFAULT_CODE_PATTERNS[:1], "digests")
-    kinds = hits.groupBy("query_id").agg(*(F.count_if(F.col("match_type") == k).alias(k) for k in ("code", "semantic", "hybrid")))
-    return made.join(kinds, "query_id", "left").select("query_id", "found", F.coalesce(F.size("retrieved"), F.lit(0)).cast("long").alias("passages"), "code", "semantic", "hybrid", F.array_join("resolved", ",").alias("resolved"), F.md5(F.col("messages")[1]["content"]).alias("asked_md5"))
+    made, _ = answering.ask(spark, path, _alarm_questions(spark, sf_dir), _embed_questions, LOOKUP, DEFAULT_CODE_PATTERNS[:1], "digests")
+    return made.select("query_id", "found", F.coalesce(F.size("retrieved"), F.lit(0)).cast("long").alias("passages"), "matched.*", F.array_join("resolved", ",").alias("resolved"), F.md5(F.col("messages")[1]["content"]).alias("asked_md5"))
 
 
 def index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from docmill.functions.codes import extract
 from docmill.functions.text import strip
 from docmill.operators import lifecycle, prompts
 from docmill.operators.retrieval import hybrid, lookup
+from docmill.session import stored
 
 #: What a model is told ahead of a question and its passages.
 SYSTEM_MESSAGE = f"""Use nothing but the passages below to answer the question.
@@ -27,8 +28,8 @@ steps holds a procedure in order, answer anything else, used the ids of the pass
 _CITATION = ("chunk_id", "source_path", "page", "section")
 
 
-def prepare(questions: DataFrame, hits: DataFrame, chunks: DataFrame, resolved: DataFrame | None = None, system: str = SYSTEM_MESSAGE) -> DataFrame:
-    """(query_id, question, found, retrieved, resolved, messages) of every question.
+def prepare(questions: DataFrame, hits: DataFrame, chunks: DataFrame, resolved: DataFrame | None = None, system: str = SYSTEM_MESSAGE, *beside: str) -> DataFrame:
+    """(query_id, question, found, retrieved, resolved, messages, the questions' columns beside) of every question.
 
     ``hits`` has query_id, rank and chunk_id, and source_path where it is part of a chunk's key; ``chunks`` chunk_id, source_path, page, section, kind, text and
     codes (array of values); ``resolved`` query_id, position, value of identifiers that the index holds.
@@ -39,7 +40,7 @@ def prepare(questions: DataFrame, hits: DataFrame, chunks: DataFrame, resolved:
     key = ["chunk_id", *(c for c in ("source_path",) if c in hits.columns)]
     rows = hits.select("query_id", "rank", *key).join(chunks.select(*_CITATION, "kind", "text", "codes"), key)
     own = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", *_CITATION, "codes", passage.alias("passage")))).alias("retrieved"))
-    made = questions.select("query_id", "question").join(own, "query_id", "left")
+    made = questions.select("query_id", "question", *beside).join(own, "query_id", "left")
     none = F.array().cast("array<string>")
     if resolved is None:
         made = made.withColumn("resolved", none)
@@ -49,7 +50,7 @@ def prepare(questions: DataFrame, hits: DataFrame, chunks: DataFrame, resolved:
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     asked = F.array(message("system", F.lit(system)), message("user", prompts.user_prompt(F.col("question"), F.col("retrieved")["passage"])))
     found = F.col("retrieved").isNotNull()
-    return made.select("query_id", "question", found.alias("found"), "retrieved", "resolved", F.when(found, asked).alias("messages"))
+    return made.select("query_id", "question", found.alias("found"), "retrieved", "resolved", F.when(found, asked).alias("messages"), *beside)
 
 
 def ask(
@@ -59,8 +60,12 @@ def ask(
     in its postings, their vectors in its blocks, both kinds of hits are merged, and messages are made.
 
     ``embed`` turns (query_id, embedding_text) into (query_id, v). Hits are (query_id, chunk_id, source_path, score,
-    match_type, rank). All of it reads one version of the index. A question that is null or empty has no identifiers;
+    match_type, rank); beside ``prepare``'s columns, prepared has matched, how many hits of each type there are, null without any.
+    All of it reads one version of the index. A question that is null or empty has no identifiers;
     a model that is not the index's own gives a warning. Chunks without a page, section or kind have none.
+
+    An equal question is asked once: ``embed`` is given a checksum of the question as its query_id, and what it found goes to all
+    queries that have it. The hits are stored once, and only chunks that are hits leave the place where they lie.
     """
     config = config or RetrievalConfig()
     version = lifecycle.latest(spark, path)
@@ -69,18 +74,24 @@ def ask(
         raise lifecycle.NoIndex(path)
     if said := lifecycle.model_warning(spark, path, model):
         warnings.warn(said, stacklevel=2)
-    named = questions.select("query_id", F.posexplode(extract(F.col("question"), rules)["value"]).alias("position", "value")).withColumn("bucket", lifecycle.bucket(F.col("value")))
-    near, _ = lifecycle.search(spark, path, embed(questions.select("query_id", F.coalesce("question", F.lit("")).alias("embedding_text"))), config, version)
+    who = questions.select("query_id", "question", F.coalesce(F.sha2("question", 256), F.lit("")).alias("asked"))
+    once = stored(who.select(F.col("asked").alias("query_id"), "question").distinct(), "asked")
+    named = once.select("query_id", F.posexplode(extract(F.col("question"), rules)["value"]).alias("position", "value")).withColumn("bucket", lifecycle.bucket(F.col("value")))
+    near, _ = lifecycle.search(spark, path, embed(once.select("query_id", F.coalesce("question", F.lit("")).alias("embedding_text"))), config, version)
     by_code = lookup(named, now["postings"], "source_path")
-    hits = hybrid(near, by_code, config, None, "source_path")
-    chunks = now["chunks"]
+    hits = stored(hybrid(near, by_code, config, None, "source_path"), "hits")
+    chunks = lifecycle.chunks_of(spark, path, hits.select("source_path", "chunk_id").distinct(), version)
     defaults = {"page": "int", "section": "string", "kind": "string", "codes": "array<struct<kind:string,value:string,raw:string>>"}
     for name, kind in defaults.items():
         if name not in chunks.columns:
             chunks = chunks.withColumn(name, F.lit(None).cast(kind))
     chunks = chunks.withColumn("codes", F.col("codes")["value"])
     resolved = named.join(now["postings"].select("bucket", "value"), ["bucket", "value"], "left_semi")
-    return prepare(questions, hits, chunks, resolved, system), hits
+    kinds = hits.groupBy("query_id").agg(F.struct(*(F.count_if(F.col("match_type") == k).alias(k) for k in ("code", "semantic", "hybrid"))).alias("matched"))
+    made = prepare(once.join(kinds, "query_id", "left"), hits, chunks, resolved, system, "matched")
+    own = lambda rows: rows.withColumnRenamed("query_id", "asked")
+    prepared = who.join(own(made).drop("question"), "asked")
+    return prepared.select("query_id", "question", "found", "retrieved", "resolved", "messages", "matched"), own(hits).join(who.select("query_id", "asked"), "asked").select("query_id", *hits.columns[1:])
 
 
 def citations(ids: Column, retrieved: Column) -> Column:

@@ -271,6 +271,17 @@ def load(spark: SparkSession, path: str, version: int = 0) -> dict[str, DataFram
     }
 
 
+def chunks_of(spark: SparkSession, path: str, keys: DataFrame, version: int = 0) -> DataFrame:
+    """The chunks of a version that keys (source_path, chunk_id) name; few keys are sent to the chunks. They are picked before
+    it is asked whether their documents are still there, so that no other text is shuffled for that."""
+    version = version or latest(spark, path)
+    if not version:
+        raise NoIndex(path)
+    segments = _manifest(spark, path, version)["segments"]
+    rows = _rows(spark, path, segments, "chunks", "source_path string, chunk_id string")
+    return _alive(rows.join(_small(keys), ["source_path", "chunk_id"], "left_semi"), _dead(spark, path, segments))
+
+
 def search(spark: SparkSession, path: str, queries: DataFrame, config, version: int = 0) -> tuple[DataFrame, DataFrame]:
     """(hits, work) of ``vectorblocks.search`` over the vectors of a version of the index."""
     version = version or latest(spark, path)
